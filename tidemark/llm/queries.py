@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import decontaminate, mixing, quality_rules
 from .common import table
 
 
@@ -17,5 +17,9 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs).drop("text", "clean_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_line_quality)}
-SQL = {"op1_source_mix": mixing.SQL, "op4_line_quality": quality_rules.SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_line_quality, op9_decontamination)}
+SQL = {"op1_source_mix": mixing.SQL, "op4_line_quality": quality_rules.SQL, "op9_decontamination": decontaminate.SQL}
