@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, language, mixing, quality_model, quality_rules
 from .common import table
 
 
@@ -21,5 +21,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_line_quality, op9_decontamination)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs.select("doc_id", "text"), language.train(docs))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.predict(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_language_id, op4_line_quality, op8_quality_model, op9_decontamination)}
 SQL = {"op1_source_mix": mixing.SQL, "op4_line_quality": quality_rules.SQL, "op9_decontamination": decontaminate.SQL}
