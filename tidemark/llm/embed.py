@@ -62,7 +62,11 @@ class Features:
                 first = np.searchsorted(chars, starts)
                 within = np.arange(len(chars)) - np.repeat(first, np.diff(np.append(first, len(chars))))
                 power = np.cumprod(np.full(64, 0x01000193, np.uint32), dtype=np.uint32)[within & 63]
-                yield starts, self._mix(np.add.reduceat((c[chars] + np.uint32(0x9E37)) * power, first, dtype=np.uint32))
+                word = np.add.reduceat((c[chars] + np.uint32(0x9E37)) * power, first, dtype=np.uint32)
+                document = np.cumsum(c == 0)[starts]
+                again = 1 + np.flatnonzero((word[1:] == word[:-1]) & (document[1:] == document[:-1]))
+                yield starts, self._mix(word)
+                yield starts[again], np.full(len(again), 1, np.uint32)  # a word that follows itself is a feature of its own
 
     def pieces(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document numbers, their starts, code points) for runs of texts of about PIECE characters."""

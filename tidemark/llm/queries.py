@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality_model, quality_rules
+from . import decontaminate, language, licenses, mixing, quality_model, quality_rules, secrets, token_file, toxicity
 from .common import table
 
 
@@ -31,5 +33,30 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.predict(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_language_id, op4_line_quality, op8_quality_model, op9_decontamination)}
-SQL = {"op1_source_mix": mixing.SQL, "op4_line_quality": quality_rules.SQL, "op9_decontamination": decontaminate.SQL}
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.withColumn("base_sha256", F.sha2(F.col("base_spans").cast("binary"), 256)).drop("base_spans")
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_license_digests, op3_language_id, op4_line_quality, op5_toxicity, op6_secret_scan, op8_quality_model,
+    op9_decontamination, op10_token_file,
+)}
+SQL = {
+    "op1_source_mix": mixing.SQL, "op2_license_digests": licenses.SQL, "op4_line_quality": quality_rules.SQL,
+    "op9_decontamination": decontaminate.SQL,
+}
