@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, quality_model, quality_rules, secrets, token_file, toxicity
+from . import decontaminate, jaccard, language, licenses, mixing, quality_model, quality_rules, secrets, token_file, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), language.train(docs))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_model.predict(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -53,10 +57,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_license_digests, op3_language_id, op4_line_quality, op5_toxicity, op6_secret_scan, op8_quality_model,
+    op1_source_mix, op2_license_digests, op3_language_id, op4_line_quality, op5_toxicity, op6_secret_scan, op7_ngram_jaccard, op8_quality_model,
     op9_decontamination, op10_token_file,
 )}
 SQL = {
     "op1_source_mix": mixing.SQL, "op2_license_digests": licenses.SQL, "op4_line_quality": quality_rules.SQL,
-    "op9_decontamination": decontaminate.SQL,
+    "op7_ngram_jaccard": jaccard.SQL, "op9_decontamination": decontaminate.SQL,
 }
