@@ -186,7 +186,7 @@ def train(texts: Sequence[str | None], labels: Sequence, features: Features, dim
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without text, with ``probs``: a probability for each class; null for a null text is that of an empty one."""
+    """``docs`` without text, with ``__probs``: a probability for each class; null for a null text is that of an empty one."""
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
 
@@ -194,9 +194,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             p = model.probabilities(batch.column("text").to_pylist())
             probs = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64())) if len(p) else pa.array([], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], probs], names=[*names, "probs"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], probs], names=[*names, "__probs"])
 
-    return docs.select(*names, "text").mapInArrow(run, T.StructType([*keep, T.StructField("probs", T.ArrayType(T.DoubleType()))]))
+    return docs.select(*names, "text").mapInArrow(run, T.StructType([*keep, T.StructField("__probs", T.ArrayType(T.DoubleType()))]))
 
 
 def bounded_sample(rows: DataFrame, label: str, per_class: int, seed: int = 11) -> tuple[list, list]:

@@ -297,16 +297,16 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, component_id) for each row."""
+    """(doc_id, text_hash, n, label, component_id) for each row; label tells components apart whose smallest ids are equal."""
     docs = docs.select("doc_id", "text")
     sets = materialise(_sets(docs))
     labels = components(links(docs, sets)).withColumnRenamed("v", "fp")
     smallest = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     labelled = smallest.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    of = materialise(labelled.join(of, "label").select("fp", "component_id"))
+    of = materialise(labelled.join(of, "label").select("fp", "label", "component_id"))
     out = sets.join(of, "fp", "left")
-    return out.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -325,9 +325,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows without words stay, and so do rows of a component that has no doc_id at all.
     """
     found = materialise(_classified(docs).filter("n > 0 AND component_id IS NOT NULL"))
-    texts = found.groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    kept = texts.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("kept"))
-    texts = materialise(texts.join(kept, "component_id").withColumn("keep", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept")), F.lit(False))))
+    texts = found.groupBy("label", "component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    kept = texts.filter("doc_id = component_id").groupBy("label").agg(F.min("text_hash").alias("kept"))
+    texts = materialise(texts.join(kept, "label").withColumn("keep", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept")), F.lit(False))))
     go = _small(materialise(texts.filter("NOT keep").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))))
     match = lambda side: docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"])
     again = materialise(texts.filter("keep AND rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))

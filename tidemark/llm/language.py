@@ -30,13 +30,13 @@ def predict(docs: DataFrame, model: embed.Model) -> DataFrame:
     names = ("held_out", "lang_pred", "score", "rejected")
     rows = docs.drop(*names).withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = embed.score(rows, model)
-    best = F.array_max("probs")
+    best = F.array_max("__probs")
     return (
         out.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
-        .withColumn("lang_pred", F.when(F.col("__letters"), F.array(*[F.lit(x) for x in model.classes])[F.array_position("probs", best).cast("int") - 1]).otherwise(F.lit(UNKNOWN)))
+        .withColumn("lang_pred", F.when(F.col("__letters"), F.array(*[F.lit(x) for x in model.classes])[F.array_position("__probs", best).cast("int") - 1]).otherwise(F.lit(UNKNOWN)))
         .withColumn("score", F.when(F.col("__letters"), best).otherwise(0.0))
         .withColumn("rejected", ~F.col("__letters") | (best < model.reject_below))
-        .drop("probs", "__letters")
+        .drop("__probs", "__letters")
     )
 
 

@@ -117,7 +117,9 @@ def registry() -> dict[str, str]:
                 known[hashlib.md5(canonical(s.format(n=n)).encode()).hexdigest()] = spdx
     for spdx, text in TEXTS.items():
         known[hashlib.md5(canonical(text).encode()).hexdigest()] = spdx
-        known[hashlib.md5(canonical(f"{NAMES[spdx][0]}\n{text}").encode()).hexdigest()] = spdx
+        for n in NAMES[spdx]:
+            for title in (n, f"The {n}"):
+                known[hashlib.md5(canonical(f"{title}\n{text}").encode()).hexdigest()] = spdx
     return known
 
 

@@ -52,9 +52,9 @@ def predict(docs: DataFrame, model: embed.Model, threshold: float = THRESHOLD) -
     A null text scores as an empty one; held_out is false for a null id. Columns of these names are replaced.
     """
     rows = docs.drop("held_out", "score", "predicted")
-    score = F.get("probs", F.lit(model.classes.index(1))) if 1 in model.classes else F.lit(0.0)
+    score = F.get("__probs", F.lit(model.classes.index(1))) if 1 in model.classes else F.lit(0.0)
     return (
         embed.score(rows, model)
         .withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
-        .withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("probs")
+        .withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__probs")
     )

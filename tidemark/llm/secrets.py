@@ -36,7 +36,7 @@ _KNOWN = re.compile(
     [0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}  # digests
     |[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}                                              # UUID
     |(sha(1|256|384|512)|md5)-[A-Za-z0-9+/=]+                                                         # integrity digests
-    |[0-9][0-9+/_=-]*                                                                                 # numbers, dates, phones
+    |[0-9][0-9TZ+/_=-]*                                                                               # numbers, dates, phones
     |([A-Za-z]+[0-9]{0,4}|[0-9]{1,4})([_/=+-]+([A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*[_/=+-]*              # identifiers, paths
     """
 )

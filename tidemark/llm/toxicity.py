@@ -41,7 +41,7 @@ LEET = str.maketrans("@4013$5!7+|", "aaoiessittl")
 NEAR = 5
 EDGE = ".,;:!?\"'()[]{}<>«»“”„…—–-*#%&|~_`"
 _DOUBLED = re.compile(r"[!?]{2,}")
-_HIDDEN = re.compile(r"(?i)[a-z][@$!*+|0134579][a-z]")
+_HIDDEN = re.compile(r"(?i)[a-z][@$!*+|0134579]+[a-z]")
 NAMES = (
     "lexicon_rate", "lexicon_log", "lexicon_kinds", "learned_rate", "learned_log", "learned_kinds", "second_person_rate", "near_rate",
     "capital_share", "shouted_share", "mark_rate", "doubled_rate", "hidden_rate", "hidden_lexicon_log", "stretched_rate", "log_words",
@@ -71,7 +71,7 @@ def describe(text: str | None, learned: frozenset[str]) -> list[float]:
         near += k < len(second) and second[k] <= i + NEAR
     letters = sum(map(str.isalpha, text)) or 1
     hidden = [w for w in raw if not w.isalpha() and _HIDDEN.search(w)]
-    uncovered = sum(1 for w in hidden if (d := plain(w.lower().translate(LEET).replace("*", ""))) in LEXICON or d in learned)
+    uncovered = sum(1 for w in hidden if (d := plain(w.lower()).translate(LEET).replace("*", "")) in LEXICON or d in learned)
     stretched = len(re.findall(r"([^\W\d_])\1{3,}", text))
     return [
         len(hits) * rate, math.log1p(len(hits)), float(len({words[i] for i in hits})), len(own) * rate, math.log1p(len(own)), float(len(set(own))),
@@ -118,11 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
         place[v] += 1
     learned = learn_lexicon([texts[i] for i in parts["lexicon"]], [y[i] for i in parts["lexicon"]])
     rows = [(float(y[i]), name, describe(texts[i], learned)) for name in ("trees", "calibration") for i in parts[name]]
-    data = spark.createDataFrame(rows, "label double, part string, features array<double>").coalesce(2)
-    data = data.withColumn("features", array_to_vector("features")).cache()
-    trees = GBTClassifier(maxIter=30, maxDepth=3, stepSize=0.2, maxBins=64, seed=5, cacheNodeIds=False).fit(data.filter("part = 'trees'"))
-    raw = trees.transform(data.filter("part = 'calibration'")).select("label", vector_to_array("probability")[1].alias("raw"))
-    calibration = IsotonicRegression(featuresCol="raw", predictionCol="calibrated").fit(raw)
+    data = spark.createDataFrame(rows, "label double, part string, __vector array<double>").coalesce(2)
+    data = data.withColumn("__vector", array_to_vector("__vector")).cache()
+    learner = GBTClassifier(featuresCol="__vector", predictionCol="__class", maxIter=30, maxDepth=3, stepSize=0.2, maxBins=64, seed=5)
+    trees = learner.setProbabilityCol("__probability").setRawPredictionCol("__margin").fit(data.filter("part = 'trees'"))
+    raw = trees.transform(data.filter("part = 'calibration'")).select("label", vector_to_array("__probability")[1].alias("__raw"))
+    calibration = IsotonicRegression(featuresCol="__raw", predictionCol="__calibrated").fit(raw)
     data.unpersist()
     return Model(learned, trees, calibration)
 
@@ -147,8 +148,8 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     if model.trees is None:
         out = out.withColumn("score", 1 - F.exp(-F.exp(F.col("__features")[1]) + 1))
     else:
-        scored = model.trees.transform(out.withColumn("features", array_to_vector("__features"))).withColumn("raw", vector_to_array("probability")[1])
-        out = model.calibration.transform(scored).withColumn("score", 0.999 * F.col("calibrated") + 0.001 * F.col("raw"))
+        scored = model.trees.transform(out.withColumn("__vector", array_to_vector("__features"))).withColumn("__raw", vector_to_array("__probability")[1])
+        out = model.calibration.transform(scored).withColumn("score", 0.999 * F.col("__calibrated") + 0.001 * F.col("__raw"))
     return (
         out.select(*names, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
         .withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
