@@ -1,0 +1,7 @@
+"""Column functions that more than one operator uses."""
+
+from ..operators.profile import percentiles
+from ..operators.splits import md5_order
+from ..operators.vectors import dot, norm, normalised
+
+__all__ = ["dot", "md5_order", "norm", "normalised", "percentiles"]

@@ -1,0 +1 @@
+"""The engine is batch only: none of its operators is defined over streams."""
