@@ -8,8 +8,10 @@ d + c parts that either set occupies at least c are equal. A signature is one oc
 with all the set's features in it; each set emits its first d + c. Empty parts emit nothing.
 
 What keeps the join linear: equal sets are one class; a set needs c shared signatures to stay;
-a signature's sets are first compared with one of them only, and sets already in a component
-are not compared again. Only what is still apart is paired, by at least c shared signatures.
+features that only one of the remaining sets has are counted, and as they lie in its difference
+with any other, a set with many of them goes too; a signature's sets are first compared with one
+of them only, and sets already in a component are not compared again. Only what is still apart,
+and by those counts could link, is paired, by at least c shared signatures.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ BROADCAST_IDS = 1_000_000
 #: Bands whose top is at most SMALL have parts of one feature and c = 1; others TOP_FILL features a part at the top.
 SMALL, TOP_FILL, SHARED = 64, 2.0, 0.02
 #: Rounds of dropping sets with too few shared signatures, and of comparing with one set a signature.
-PEEL, HUBS = 2, 2
+PEEL, HUBS = 2, 1
 
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -226,12 +228,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose texts' sets link, with their similarity. Written out."""
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    ids = materialise(ends.join(classes, "fp").select("fp", "doc_id", "text_hash"))
-    found = docs.select("doc_id", "text").join(_small(ids), "doc_id").filter(F.xxhash64("text") == F.col("text_hash")).select("fp", "text").dropDuplicates(["fp"])
-    texts = materialise(found)
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(fp, text) of one row of each class of ``ids`` (fp, doc_id, text_hash), written out."""
+    found = docs.select("doc_id", "text").join(_small(ids), "doc_id").filter(F.xxhash64("text") == F.col("text_hash"))
+    return materialise(found.select("fp", "text").dropDuplicates(["fp"]))
+
+
+def _own_features(texts: DataFrame) -> DataFrame:
+    """(fp, own): how many features of a class no other class of ``texts`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                sets = list(shingle_sets(part.column("text").to_pylist()))
+                features = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+                fps = np.repeat(part.column("fp").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(features), pa.array(fps)], names=["feature", "fp"])
+
+    rows = texts.mapInArrow(run, "feature long, fp long")
+    alone = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("fp")).filter("k = 1")
+    return alone.groupBy("fp").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose texts' sets link. Written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,17 +271,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return materialise(with_b.join(texts.withColumnsRenamed({"fp": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None, classes: DataFrame) -> DataFrame:
-    """``shared`` with each set's size and component, without signatures that one component has alone."""
-    rows = shared.join(classes.select("fp", "n"), "fp")
-    rows = rows.withColumn("label", F.col("fp")) if labels is None else rows.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+#: What two sets of sizes n and m, with p and q features of their own, must satisfy to link: their
+#: difference holds p + q features at least, their intersection n - p and m - q at most.
+_MAY_LINK = "4 * {n} >= 3 * {m} AND 4 * {m} >= 3 * {n} AND 7 * ({p} + {q}) <= {n} + {m} AND 7 * ({n} - {p}) >= 3 * ({n} + {m}) AND 7 * ({m} - {q}) >= 3 * ({n} + {m})"
+
+
+def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``shared`` (sig, fp, n, own) with each set's component, without rows that cannot link beyond it.
+
+    A signature that one component has alone goes, and so do sets too poor in shared features
+    to link even with the signature's smallest set.
+    """
+    rows = shared.withColumn("label", F.col("fp")) if labels is None else shared.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     same = W.partitionBy("sig")
-    return rows.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).filter("low <> high").drop("low", "high")
+    rows = rows.withColumn("least", F.min("n").over(same)).filter("7 * (n - own) >= 3 * (n + least)")
+    return rows.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).filter("low <> high").drop("low", "high", "least")
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes of equal sets, enough to connect all that link. ``sets`` is from _sets(), written out."""
-    classes = materialise(
+    classes = (
         sets.filter("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"), F.max("n").alias("n"))
         .select("fp", "n", "m.doc_id", "m.text_hash")
     )
@@ -268,27 +298,31 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     shared = materialise(_shared(_signed(docs)).distinct())
     for _ in range(PEEL):
         shared = materialise(_shared(_enough(shared, weak)))
+    ids = materialise(classes.join(shared.select("fp").distinct(), "fp", "left_semi"))
+    texts = _texts(docs, ids.drop("n"))
+    sized = ids.join(_own_features(texts), "fp", "left").select("fp", "n", F.coalesce("own", F.lit(0)).alias("own")).filter("4 * own <= n")
+    shared = materialise(shared.join(sized, "fp"))
     labels, edges, tried = None, None, None
     for turn in range(HUBS):
-        rows = materialise(_labelled(shared, labels, classes))
-        # The signature's hub is its set of least size-independent rank, another one each turn.
-        rank = F.struct(F.xxhash64(F.col("label"), F.lit(turn)), F.col("fp"))
-        hub = F.min(F.struct(rank.alias("rank"), "fp", "label", "n")).over(W.partitionBy("sig")).alias("hub")
-        near = rows.select("fp", "label", "n", hub).filter("label <> hub.label AND 4 * n >= 3 * hub.n AND 4 * hub.n >= 3 * n")
+        rows = _labelled(shared, labels)
+        # A signature's hub is the set with the fewest features of its own, the next turn one of a random component.
+        rank = F.col("own") / F.col("n") if turn == 0 else F.xxhash64("label", F.lit(turn)).cast("double")
+        hub = F.min(F.struct(rank.alias("rank"), "fp", "label", "n", "own")).over(W.partitionBy("sig")).alias("hub")
+        near = rows.select("fp", "label", "n", "own", hub).filter("label <> hub.label AND " + _MAY_LINK.format(n="n", m="hub.n", p="own", q="hub.own"))
         best = near.groupBy("fp", F.col("hub.fp").alias("other")).count().groupBy("fp").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
         pairs = materialise(best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
         tried = pairs if tried is None else tried.union(pairs)
-        good = _verified(pairs, docs, classes)
+        good = _verified(pairs, texts)
         edges = good if edges is None else materialise(edges.union(good))
         labels = components(edges)
-    rows = materialise(_labelled(shared, labels, classes))
-    other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b"})
+    rows = materialise(_labelled(shared, labels))
+    other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"})
     apart = (
-        rows.withColumnRenamed("fp", "a").join(other, "sig").filter("a < b AND label <> label_b AND 4 * n >= 3 * n_b AND 4 * n_b >= 3 * n")
+        rows.withColumnRenamed("fp", "a").join(other, "sig").filter("a < b AND label <> label_b AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b"))
         .groupBy("a", "b", F.col("sig").bitwiseAND(31).alias("band")).count().filter(F.col("count") >= _need(F.col("band"), weak)).select("a", "b").distinct()
     )
     rest = materialise(apart.join(tried, ["a", "b"], "left_anti"))
-    return edges if rest.isEmpty() else materialise(edges.union(_verified(rest, docs, classes)))
+    return edges if rest.isEmpty() else materialise(edges.union(_verified(rest, texts)))
 
 
 def _small(rows: DataFrame) -> DataFrame:
