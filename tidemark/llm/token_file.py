@@ -14,8 +14,10 @@ offset of each checkpoint, then the code words as big-endian u32.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,8 +34,8 @@ CHECKPOINT = 128
 #: A block is closed once it has so many ids.
 BLOCK = 1 << 16
 END = 0
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Pieces of text whose ids a worker remembers, once and while they recur, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 40
 
 
 # ---- tokenising
@@ -49,43 +51,87 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 def pieces(text: str) -> list[str]:
-    """A text cut before each lone space between two other characters.
+    """A text cut at each lone space between two other characters.
 
     The tokenizer's pattern joins such a space to what follows and never crosses it, so the ids
-    of a text are those of its pieces.
+    of a text are those of its first piece and of each other piece after a space.
     """
     parts = text.split(" ")
+    if "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " " and not _OTHER_SPACE.search(text):
+        return parts
     out = [parts[0]]
     for p in parts[1:]:
         if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(" " + p)
+            out.append(p)
         else:
             out[-1] += " " + p
     return out
 
 
+def inner(piece: str) -> tuple[str, list[str]]:
+    """A piece's beginning and the rest of it, cut where the pattern always cuts: at a lone newline, and before a last . or , that follows a letter."""
+    lines = piece.split("\n") if "\n" in piece else [piece]
+    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+        lines = [piece]
+    out = []
+    for k, line in enumerate(lines):
+        if k:
+            out.append("\n")
+        if len(line) > 1 and line[-1] in ".," and line[-2].isalpha():
+            out += [line[:-1], line[-1]]
+        else:
+            out.append(line)
+    return out[0], out[1:]
+
+
 class Ids:
-    """Ids of texts as little-endian bytes, remembering short pieces."""
+    """Ids of texts as little-endian bytes, remembering those of short pieces after a space and of what pieces are cut into."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")  # array's H and I, on machines that are little-endian
+        self.end = np.array([END], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for k in range(0, len(texts), 20_000):
+            part = texts[k : k + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                yield p, array(self.kind.char, e.ids).tobytes()
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [pieces(t) if t else [] for t in texts]
-        new = list({p for ps in cut for p in ps if p not in known})
-        passing: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            for p, e in zip(new[k : k + 20_000], self.tokenizer.encode_batch(new[k : k + 20_000], add_special_tokens=False), strict=True):
-                (known if len(p) <= 40 else passing)[p] = np.array(e.ids, self.kind).tobytes()
-        get = {**known, **passing}.__getitem__ if passing else known.__getitem__
-        end = np.array([END], self.kind).tobytes()
-        return [b"".join(map(get, ps)) + end for ps in cut]
+        heads, odd = [], []
+        for p in set().union(*[ps[1:] for ps in cut]) - known.keys():
+            if (v := older.get(p)) is not None:
+                known[p] = v
+            elif p.isalpha():
+                heads.append(p)
+            else:
+                odd.append((p, *inner(p)))
+        # Words after a space are remembered under the bare word, text that no space precedes under a newline and itself.
+        starts = [(ps[0], *inner(ps[0])) for ps in cut if ps]
+        heads += {h for _, h, _ in odd}.difference(known, heads)
+        bare = {x for _, _, rest in odd for x in rest} | {x for _, h, rest in starts for x in (h, *rest)}
+        plain = {x: v for x in bare if (v := known.get("\n" + x) or older.get("\n" + x)) is not None}
+        plain.update(self.encode([x for x in bare if x not in plain]))
+        known.update(("\n" + x, v) for x, v in plain.items() if len(x) <= LONGEST)
+        known.update((p[1:], v) for p, v in self.encode([" " + h for h in heads]))
+        for p, h, rest in odd:
+            known[p] = known[h] + b"".join([plain[x] for x in rest])
+        begin = {p: plain[h] + b"".join([plain[x] for x in rest]) for p, h, rest in starts}
+        out = [begin[ps[0]] + b"".join(map(known.__getitem__, ps[1:])) + self.end if ps else self.end for ps in cut]
+        for p in [p for p, _, _ in odd if len(p) > LONGEST] + [h for h in heads if len(h) > LONGEST]:
+            known.pop(p, None)
+        return out
 
 
 @functools.cache
