@@ -64,7 +64,7 @@ def by_history(users: DataFrame, lengths: DataFrame, column: str, parts: int = 4
 
     Cut points are exact percentiles of (length, uid) order found from counts of equal lengths.
     """
-    rows = users.join(lengths.select("uid", "length"), "uid")
+    rows = users.select("uid", F.col(column).alias("value")).join(lengths.select("uid", "length"), "uid")
     same = rows.groupBy("length").agg(F.count(F.lit(1)).alias("m"))
     whole = W.partitionBy(F.lit(1))
     spots = same.withColumns({"before": F.coalesce(F.sum("m").over(W.orderBy("length").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("m").over(whole)})
@@ -72,4 +72,4 @@ def by_history(users: DataFrame, lengths: DataFrame, column: str, parts: int = 4
     big, size = F.col("n") % parts, F.expr(f"n div {parts}")
     edge = big * (size + 1)
     segment = F.when(F.col("i") < edge, F.floor(F.col("i") / (size + 1))).otherwise(big + F.floor((F.col("i") - edge) / F.greatest(size, F.lit(1)))) + 1
-    return at.groupBy(segment.cast("int").alias("segment")).agg(F.count(F.lit(1)).alias("users"), F.avg(column).alias("value"))
+    return at.groupBy(segment.cast("int").alias("segment")).agg(F.count(F.lit(1)).alias("users"), F.avg("value").alias("value"))
