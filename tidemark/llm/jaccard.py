@@ -11,7 +11,8 @@ What keeps the join linear: equal sets are one class; a set needs c shared signa
 features that only one of the remaining sets has are counted, and as they lie in its difference
 with any other, a set with many of them goes too; a signature's sets are first compared with one
 of them only, and sets already in a component are not compared again. Only what is still apart,
-and by those counts could link, is paired, by at least c shared signatures.
+and could link by those counts and by a sketch that bounds the difference from below, is paired,
+by at least c shared signatures.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BROADCAST_IDS = 1_000_000
 SMALL, TOP_FILL, SHARED = 64, 2.0, 0.02
 #: Rounds of dropping sets with too few shared signatures, and of comparing with one set a signature.
 PEEL, HUBS = 2, 1
+#: Words of 64 bits of a sketch.
+SKETCH = 8
 
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -251,6 +254,18 @@ def _own_features(texts: DataFrame) -> DataFrame:
     return alone.groupBy("fp").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(fp, x0..x7): for each class a bit for each of 512 parts of the feature domain, whether it has an odd number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.bincount(((s >> _U(7)) & _U(511)).astype(np.int64), minlength=512) & 1).view(np.int64) for s in shingle_sets(batch.column("text").to_pylist())]
+            columns = np.array(bits, np.int64).reshape(-1, SKETCH).T
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), *map(pa.array, columns)], names=["fp", *(f"x{i}" for i in range(SKETCH))])
+
+    return texts.mapInArrow(run, "fp long, " + ", ".join(f"x{i} long" for i in range(SKETCH)))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose texts' sets link. Written out."""
 
@@ -315,10 +330,13 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         good = _verified(pairs, texts)
         edges = good if edges is None else materialise(edges.union(good))
         labels = components(edges)
-    rows = materialise(_labelled(shared, labels))
-    other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"})
+    rows = materialise(_labelled(shared, labels).join(materialise(_sketches(texts)), "fp"))
+    other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"} | {f"x{i}": f"y{i}" for i in range(SKETCH)})
+    # Two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one.
+    differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
     apart = (
-        rows.withColumnRenamed("fp", "a").join(other, "sig").filter("a < b AND label <> label_b AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b"))
+        rows.withColumnRenamed("fp", "a").join(other, "sig")
+        .filter("a < b AND label <> label_b AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
         .groupBy("a", "b", F.col("sig").bitwiseAND(31).alias("band")).count().filter(F.col("count") >= _need(F.col("band"), weak)).select("a", "b").distinct()
     )
     rest = materialise(apart.join(tried, ["a", "b"], "left_anti"))

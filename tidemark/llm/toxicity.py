@@ -1,6 +1,6 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features are rates and counts of a text: words of a lexicon (given and learned), such words
+Features are rates and counts of a text: words of a lexicon (given and learned), parts of words learned, such words
 near the second person, capitals, punctuation, and spellings that hide words. The trees and the
 calibration are Spark ML's; the sample they learn from is bounded.
 """
@@ -42,9 +42,10 @@ NEAR = 5
 EDGE = ".,;:!?\"'()[]{}<>«»“”„…—–-*#%&|~_`"
 _DOUBLED = re.compile(r"[!?]{2,}")
 _HIDDEN = re.compile(r"(?i)[a-z][@$!*+|0134579]+[a-z]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 NAMES = (
     "lexicon_rate", "lexicon_log", "lexicon_kinds", "learned_rate", "learned_log", "learned_kinds", "second_person_rate", "near_rate",
-    "capital_share", "shouted_share", "mark_rate", "doubled_rate", "hidden_rate", "hidden_lexicon_log", "stretched_rate", "log_words",
+    "stem_rate", "stem_log", "stem_kinds", "capital_share", "shouted_share", "mark_rate", "doubled_rate", "hidden_rate", "hidden_lexicon_log", "stretched_rate", "log_words",
 )
 
 
@@ -52,13 +53,15 @@ def plain(word: str) -> str:
     return word.strip(EDGE)
 
 
-def describe(text: str | None, learned: frozenset[str]) -> list[float]:
+def describe(text: str | None, learned: frozenset[str], stems: Sequence[str] = ()) -> list[float]:
     """The values of NAMES for a text; zeros for a null or empty one. Rates are per 100 words."""
     text = text or ""
     raw = text.split()
     if not raw:
         return [0.0] * len(NAMES)
-    words = [w.strip(EDGE) for w in text.lower().split()]
+    low = text.lower()
+    words = [w.strip(EDGE) for w in low.split()]
+    found = [k for k in map(low.count, stems) if k]
     n = len(raw)
     rate = 100.0 / n
     hits = [i for i, w in enumerate(words) if w in LEXICON]
@@ -75,26 +78,60 @@ def describe(text: str | None, learned: frozenset[str]) -> list[float]:
     stretched = len(re.findall(r"([^\W\d_])\1{3,}", text))
     return [
         len(hits) * rate, math.log1p(len(hits)), float(len({words[i] for i in hits})), len(own) * rate, math.log1p(len(own)), float(len(set(own))),
-        len(second) * rate, near * rate, sum(map(str.isupper, text)) / letters, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n,
+        len(second) * rate, near * rate, sum(found) * rate, math.log1p(sum(found)), float(len(found)), sum(map(str.isupper, text)) / letters, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n,
         (text.count("!") + text.count("?")) * rate, len(_DOUBLED.findall(text)) * rate, len(hidden) * rate, math.log1p(uncovered), stretched * rate, math.log(n),
     ]
 
 
-def learn_lexicon(texts: Sequence[str | None], labels: Sequence[int], least: int = 5, share: float = 0.05, odds: float = 10.0, most: int = 200) -> frozenset[str]:
+def _gain(toxic: int, n_toxic: int, other: int, n_other: int) -> float:
+    """How much likelier something is in toxic documents than in others."""
+    return (toxic + 0.5) / (n_toxic + 1) / ((other + 0.5) / (n_other + 1))
+
+
+def learn_lexicon(texts: Sequence[str | None], labels: Sequence[int], least: int = 5, share: float = 0.015, odds: float = 10.0, most: int = 300) -> frozenset[str]:
     """Words far likelier in toxic documents than in others, by distinct texts that have them."""
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     n = {0: 0, 1: 0}
     for text, y in dict(zip(texts, labels, strict=True)).items():
         n[y] += 1
         seen[y].update({plain(w) for w in (text or "").lower().split()})
-    gain = lambda w: (seen[1][w] + 0.5) / (n[1] + 1) / ((seen[0][w] + 0.5) / (n[0] + 1))
+    gain = lambda w: _gain(seen[1][w], n[1], seen[0][w], n[0])
     good = [w for w, k in seen[1].items() if w and k >= max(least, share * n[1]) and gain(w) >= odds]
     return frozenset(sorted(good, key=lambda w: (-gain(w), w))[:most])
 
 
+def learn_stems(texts: Sequence[str | None], labels: Sequence[int], sizes: Sequence[int] = (4, 5, 6), least: int = 3, share: float = 0.01, odds: float = 10.0, most: int = 40) -> tuple[str, ...]:
+    """Parts of words that few letters of toxic documents share and others lack: words that are inflected or made up still show them.
+
+    Of the parts that are likely enough, those are taken in turn that cover most toxic documents not yet covered.
+    """
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    toxic, n = [], {0: 0, 1: 0}
+    for text, y in dict(zip(texts, labels, strict=True)).items():
+        n[y] += 1
+        words = {w for w in _LETTERS.findall((text or "").lower())}
+        parts = {w[i : i + k] for w in words for k in sizes for i in range(len(w) - k + 1)}
+        seen[y].update(parts)
+        if y:
+            toxic.append(parts)
+    enough = max(least, share * n[1])
+    good = {p for p, k in seen[1].items() if k >= enough and _gain(k, n[1], seen[0][p], n[0]) >= odds}
+    left = [d for d in (parts & good for parts in toxic) if d]
+    stems: list[str] = []
+    while left and len(stems) < most:
+        covers = Counter(p for d in left for p in d)
+        best = min(covers, key=lambda p: (-covers[p], -len(p), p))
+        if covers[best] < enough:
+            break
+        stems.append(best)
+        left = [d for d in left if best not in d]
+    return tuple(stems)
+
+
 @dataclass(frozen=True)
 class Model:
     learned: frozenset[str]
+    stems: tuple[str, ...]
     trees: object | None
     calibration: object | None
 
@@ -110,14 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     texts, y = sample(docs, labels, "toxic", per_label)
     y = [int(v > 0) for v in y]
     if min(sum(y), len(y) - sum(y)) < 8:
-        return Model(frozenset(), None, None)
+        return Model(frozenset(), (), None, None)
     place = {0: 0, 1: 0}
     parts: dict[str, list[int]] = {"lexicon": [], "trees": [], "calibration": []}
     for i, v in enumerate(y):
         parts[("lexicon", "trees", "lexicon", "trees", "calibration")[place[v] % 5]].append(i)
         place[v] += 1
-    learned = learn_lexicon([texts[i] for i in parts["lexicon"]], [y[i] for i in parts["lexicon"]])
-    rows = [(float(y[i]), name, describe(texts[i], learned)) for name in ("trees", "calibration") for i in parts[name]]
+    some = [texts[i] for i in parts["lexicon"]], [y[i] for i in parts["lexicon"]]
+    learned, stems = learn_lexicon(*some), learn_stems(*some)
+    rows = [(float(y[i]), name, describe(texts[i], learned, stems)) for name in ("trees", "calibration") for i in parts[name]]
     data = spark.createDataFrame(rows, "label double, part string, __vector array<double>").coalesce(2)
     data = data.withColumn("__vector", array_to_vector("__vector")).cache()
     learner = GBTClassifier(featuresCol="__vector", predictionCol="__class", maxIter=30, maxDepth=3, stepSize=0.2, maxBins=64, seed=5)
@@ -125,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     raw = trees.transform(data.filter("part = 'calibration'")).select("label", vector_to_array("__probability")[1].alias("__raw"))
     calibration = IsotonicRegression(featuresCol="__raw", predictionCol="__calibrated").fit(raw)
     data.unpersist()
-    return Model(learned, trees, calibration)
+    return Model(learned, stems, trees, calibration)
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -137,11 +175,11 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     rows = docs.drop("held_out", "score", "predicted", "__features", "__vector")
     keep = [f for f in rows.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
-    learned = model.learned
+    learned, stems = model.learned, model.stems
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([describe(t, learned) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            made = pa.array([describe(t, learned, stems) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], made], names=[*names, "__features"])
 
     out = rows.select(*names, "text").mapInArrow(run, T.StructType([*keep, T.StructField("__features", T.ArrayType(T.DoubleType()))]))
