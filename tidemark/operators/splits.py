@@ -113,10 +113,29 @@ def sample_size(n: int, fraction: float, least: int) -> int:
     return size
 
 
+def first_by_key(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (key, uid) of least key, by a cut-off found digit by digit.
+
+    Each step counts rows by three more hexadecimal digits, at most 4096 counts; only the rows
+    that agree with the cut-off in nine digits are sorted.
+    """
+    spent, prefix, within = 0, "", rows
+    for _ in range(3):
+        for digits, count in sorted(map(tuple, within.groupBy(F.substring("key", len(prefix) + 1, 3)).count().collect())):
+            if spent + count >= n:
+                prefix += digits
+                break
+            spent += count
+        within = within.filter(F.col("key").startswith(prefix))
+    key, uid = within.orderBy("key", "uid").limit(n - spent).agg(F.max(F.struct("key", "uid"))).first()[0]
+    return rows.filter((F.col("key") < key) | ((F.col("key") == key) & (F.col("uid") <= uid)))
+
+
 def nested_users(users: DataFrame, fractions: tuple[float, float], least: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Two samples of distinct users, the second inside the first: prefixes of one random order.
 
     The prefixes are cut by the key of their last user, so no list of users is gathered.
+    A sample larger than what it is drawn from is an error.
     """
     users = users.select("uid").distinct()
     n = users.count()
@@ -124,8 +143,7 @@ def nested_users(users: DataFrame, fractions: tuple[float, float], least: int, s
     if small > big:
         raise ValueError(f"a sample of {small} inside one of {big}")
     ordered = users.withColumn("key", md5_order(seed, "uid"))
-    first = ordered.orderBy("key", "uid").limit(big)
-    return first.select("uid"), first.orderBy("key", "uid").limit(small).select("uid")
+    return tuple(first_by_key(ordered, k).select("uid") for k in (big, small))
 
 
 def subsample(train: DataFrame, val: DataFrame, test: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
