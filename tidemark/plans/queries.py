@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import FIXTURE, WEEK
 from ..operators import cleaning, metrics, neural, profile, ranking, sequences, significance, splits, vectors
-from ..sources import schema, tables
+from ..sources import schema, sinks, tables
+from ..sources.work import shared_dir
 from .prepare import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,6 +301,11 @@ def _(spark, d):
     return r6(profile.interaction_profile(prepare(spark, d).raw), "organic_share", "over_100_share", "played_p25", "played_p50", "played_p75", "played_p95")
 
 
+@register("A15_vector_profile", ", i AS (SELECT item_id, count(*) AS n FROM raw GROUP BY 1) SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT min(len(embedding)) FROM embeddings)::INT AS min_dim, (SELECT max(len(embedding)) FROM embeddings)::INT AS max_dim, count(*) AS items, count(*) FILTER (item_id IN (SELECT vec_id FROM embeddings)) AS items_known, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (item_id IN (SELECT vec_id FROM embeddings)), 0)::BIGINT AS rows_known FROM i")
+def _(spark, d):
+    return profile.vector_profile(prepare(spark, d).raw, tables.vectors(spark, d))
+
+
 @register("A16_loss_profile", f", {_LOSS} SELECT count(*) AS users, count(*) FILTER (n_after = 0) AS fully_lost, count(*) FILTER (n_after > 0 AND loss >= 0.8::DOUBLE) AS heavy_loss, " + ", ".join(f"round(quantile_cont(loss, {x / 100}) FILTER (n_after > 0), 6) AS loss_p{x}" for x in (25, 50, 75, 95)) + " FROM loss")
 def _(spark, d):
     raw = prepare(spark, d).raw
@@ -442,6 +448,13 @@ def _(spark, d):
     return splits.sample_invariants(parts, users, p.train, least).run(spark).agg(F.count(F.lit(1)).alias("checks"), F.min("ok").alias("ok"))
 
 
+@register("S6_S8_export_import", "SELECT 'train' AS split, * FROM train UNION ALL SELECT 'val', * FROM val UNION ALL SELECT 'test', * FROM test")
+def _(spark, d):
+    p, path = prepare(spark, d), shared_dir(spark)
+    sinks.export_splits({"train": p.train, "val": p.val, "test": p.test}, path)
+    return tables.scan_union([df.select(F.lit(k).alias("split"), "*") for k, df in sinks.import_splits(spark, path, ["train", "val", "test"]).items()])
+
+
 # ---- ranking
 
 _DOT = f"round({DOT.format(a='u.embedding', b='v.embedding')}, 10)"
