@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word, everywhere in these operators: a run of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 #: The same characters, as a literal string for translate().
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -48,6 +50,17 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def in_batches(df: DataFrame, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> DataFrame:
+    """``df``, with the session's Arrow batches set to at most so many rows and bytes.
+
+    Texts are long: by default a task's Python worker would hold 10,000 of them at once. The
+    setting is the session's, as results are computed after this returns.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def words_of(text: Column) -> Column:
     """array<string> of the words; empty for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

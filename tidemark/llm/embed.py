@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 #: Characters that are hashed at a time; longer texts are cut at a space for hashing and summed.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _PAD = "\0\0\0"
 
 
@@ -196,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             probs = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64())) if len(p) else pa.array([], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], probs], names=[*names, "__probs"])
 
-    return docs.select(*names, "text").mapInArrow(run, T.StructType([*keep, T.StructField("__probs", T.ArrayType(T.DoubleType()))]))
+    return in_batches(docs.select(*names, "text")).mapInArrow(run, T.StructType([*keep, T.StructField("__probs", T.ArrayType(T.DoubleType()))]))
 
 
 def bounded_sample(rows: DataFrame, label: str, per_class: int, seed: int = 11) -> tuple[list, list]:

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import discard, materialise, stored
+from .common import discard, in_batches, materialise, stored
 
 SHINGLE = 5
 #: Texts are hashed about so many bytes at a time; a longer text is hashed alone.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Ids of the documents to verify are broadcast up to this many (16 MB), else shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bands whose top is at most SMALL have parts of one feature and c = 1; others TOP_FILL features a part at the top.
@@ -169,7 +169,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in made)], names=["doc_id", "text_hash", "n", "fp", "weak"])
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("text_hash", "n", "fp", "weak"))])
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).mapInArrow(run, schema)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), lists], names=["fp", "sigs"])
 
-    return docs.select("text").mapInArrow(run, "fp long, sigs array<long>").select(F.explode("sigs").alias("sig"), "fp")
+    return in_batches(docs.select("text")).mapInArrow(run, "fp long, sigs array<long>").select(F.explode("sigs").alias("sig"), "fp")
 
 
 def _shared(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 #: Characters per token under which a candidate is random.
 MAX_RATIO = 2.2
 MIN_LENGTH = 16
@@ -108,7 +110,7 @@ def scan(docs: DataFrame, ranks: str, max_ratio: float = MAX_RATIO) -> DataFrame
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=[*names, *made.fieldNames()])
 
-    return docs.select(*names, "text").mapInArrow(run, T.StructType([*keep, *made.fields]))
+    return in_batches(docs.select(*names, "text")).mapInArrow(run, T.StructType([*keep, *made.fields]))
 
 
 def redact(text: str | None, spans: str, mask: str = "[SECRET]") -> str | None:

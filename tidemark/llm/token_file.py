@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import in_batches, materialise, shared_dir
 
 MAGIC = b"THB1"
 MAX_BITS = 16
@@ -266,7 +266,7 @@ def _blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if doc_ids:
             yield block()
 
-    return placed.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(placed.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:

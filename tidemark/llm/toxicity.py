@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, in_batches
 from .quality_model import sample
 
 #: At most so many documents of each label are learned from.
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
             made = pa.array([describe(t, learned, stems) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], made], names=[*names, "__features"])
 
-    out = rows.select(*names, "text").mapInArrow(run, T.StructType([*keep, T.StructField("__features", T.ArrayType(T.DoubleType()))]))
+    out = in_batches(rows.select(*names, "text")).mapInArrow(run, T.StructType([*keep, T.StructField("__features", T.ArrayType(T.DoubleType()))]))
     if model.trees is None:
         out = out.withColumn("score", 1 - F.exp(-F.exp(F.col("__features")[1]) + 1))
     else:
