@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import discard, materialise, shared_dir, stored
+
+__all__ = ["SPACES", "WORD", "bind", "discard", "fold", "in_batches", "materialise", "shared_dir", "stored", "table", "words_of"]
+
 #: A word, everywhere in these operators: a run of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch of texts.
@@ -18,38 +17,6 @@ BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name inside ``spark.checkpoint.dir``, which all executors can reach.
-
-    Only where that setting is absent (tests, a laptop) a temporary local folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage for good."""
-    return stored(df)[0]
-
-
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """As materialise(), with the folder, for discard()."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that stored() wrote and nothing reads any more."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def in_batches(df: DataFrame, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> DataFrame:
     """``df``, with the session's Arrow batches set to at most so many rows and bytes.
 
