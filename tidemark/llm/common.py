@@ -11,10 +11,10 @@ __all__ = ["SPACES", "WORD", "bind", "discard", "fold", "in_batches", "materiali
 
 #: A word, everywhere in these operators: a run of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The characters that WORD leaves out, as a literal string for translate().
+SPACES = " \t\n\x0b\x0c\r"
 #: Rows and bytes of an Arrow batch of texts.
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
-#: The same characters, as a literal string for translate().
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def in_batches(df: DataFrame, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> DataFrame:
