@@ -51,45 +51,38 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Marks before a piece that no space precedes: punctuation or a newline, and the first word of a line.
+JOINED, BEGIN = "\x01", "\x02"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_ODD_MARK = re.compile(r"[.,](?<![^\W\d_][.,])[ \n]")
 
 
 def pieces(text: str) -> list[str]:
-    """A text cut at each lone space between two other characters.
+    """A text cut where the tokenizer's pattern always cuts.
 
-    The tokenizer's pattern joins such a space to what follows and never crosses it, so the ids
-    of a text are those of its first piece and of each other piece after a space.
+    That is at a lone space between two other characters, which the pattern joins to what
+    follows; around a lone newline between two others; and between a letter or digit and the
+    one full stop or comma that follows it before such a space or newline. So the ids of a text
+    are those of its pieces. A piece is what follows a space, or bears a mark if none does.
     """
-    parts = text.split(" ")
-    if "  " not in text and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " " and not _OTHER_SPACE.search(text):
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
-
-
-def inner(piece: str) -> tuple[str, list[str]]:
-    """A piece's beginning and the rest of it, cut where the pattern always cuts: at a lone newline, and before a last . or , that follows a letter."""
-    lines = piece.split("\n") if "\n" in piece else [piece]
-    if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-        lines = [piece]
-    out = []
-    for k, line in enumerate(lines):
-        if k:
-            out.append("\n")
-        if len(line) > 1 and line[-1] in ".," and line[-2].isalpha():
-            out += [line[:-1], line[-1]]
-        else:
-            out.append(line)
-    return out[0], out[1:]
+    if JOINED in text or BEGIN in text:
+        return [BEGIN + text]
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text):
+        first, *rest = text.split(" ")
+        out = [BEGIN + first]
+        for p in rest:
+            if p and not p[0].isspace() and out[-1] != BEGIN and not out[-1][-1].isspace():
+                out.append(p)
+            else:
+                out[-1] += " " + p
+        return out
+    if not _ODD_MARK.search(text):
+        text = text.replace("\n", f" {JOINED}\n {BEGIN}").replace(". ", f" {JOINED}. ").replace(", ", f" {JOINED}, ")
+    return (BEGIN + text).split(" ")
 
 
 class Ids:
-    """Ids of texts as little-endian bytes, remembering those of short pieces after a space and of what pieces are cut into."""
+    """Ids of texts as little-endian bytes, remembering those of short pieces while they recur."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
@@ -98,39 +91,26 @@ class Ids:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        for k in range(0, len(texts), 20_000):
-            part = texts[k : k + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                yield p, array(self.kind.char, e.ids).tobytes()
-
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         cut = [pieces(t) if t else [] for t in texts]
-        heads, odd = [], []
-        for p in set().union(*[ps[1:] for ps in cut]) - known.keys():
+        new = []
+        for p in set().union(*cut) - known.keys():
             if (v := older.get(p)) is not None:
                 known[p] = v
-            elif p.isalpha():
-                heads.append(p)
             else:
-                odd.append((p, *inner(p)))
-        # Words after a space are remembered under the bare word, text that no space precedes under a newline and itself.
-        starts = [(ps[0], *inner(ps[0])) for ps in cut if ps]
-        heads += {h for _, h, _ in odd}.difference(known, heads)
-        bare = {x for _, _, rest in odd for x in rest} | {x for _, h, rest in starts for x in (h, *rest)}
-        plain = {x: v for x in bare if (v := known.get("\n" + x) or older.get("\n" + x)) is not None}
-        plain.update(self.encode([x for x in bare if x not in plain]))
-        known.update(("\n" + x, v) for x, v in plain.items() if len(x) <= LONGEST)
-        known.update((p[1:], v) for p, v in self.encode([" " + h for h in heads]))
-        for p, h, rest in odd:
-            known[p] = known[h] + b"".join([plain[x] for x in rest])
-        begin = {p: plain[h] + b"".join([plain[x] for x in rest]) for p, h, rest in starts}
-        out = [begin[ps[0]] + b"".join(map(known.__getitem__, ps[1:])) + self.end if ps else self.end for ps in cut]
-        for p in [p for p, _, _ in odd if len(p) > LONGEST] + [h for h in heads if len(h) > LONGEST]:
-            known.pop(p, None)
+                new.append(p)
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            plain = [p[1:] if p[0] == JOINED or p[0] == BEGIN else " " + p for p in part]
+            for p, e in zip(part, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
+                known[p] = array(self.kind.char, e.ids).tobytes()
+        out = [b"".join(map(known.__getitem__, ps)) + self.end for ps in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
         return out
 
 
@@ -254,15 +234,13 @@ def _blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"part": part, "start": start, "doc_ids": doc_ids, "sizes": [len(b) // width for b in got], "ids": b"".join(got)}], arrow)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                piece = batch.slice(low, 500)
-                for d, b in zip(piece.column("doc_id").to_pylist(), make(piece.column("text").to_pylist()), strict=True):
-                    doc_ids.append(d)
-                    got.append(b)
-                    size += len(b) // width
-                    if size >= BLOCK:
-                        yield block()
-                        start, size, doc_ids, got = start + size, 0, [], []
+            for d, b in zip(batch.column("doc_id").to_pylist(), make(batch.column("text").to_pylist()), strict=True):
+                doc_ids.append(d)
+                got.append(b)
+                size += len(b) // width
+                if size >= BLOCK:
+                    yield block()
+                    start, size, doc_ids, got = start + size, 0, [], []
         if doc_ids:
             yield block()
 
