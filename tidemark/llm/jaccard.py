@@ -38,7 +38,7 @@ SMALL, TOP_FILL, SHARED = 64, 2.0, 0.02
 #: Rounds of dropping sets with too few shared signatures, and of comparing with one set a signature.
 PEEL, HUBS = 2, 1
 #: Words of 64 bits of a sketch.
-SKETCH = 8
+SKETCH = 32
 
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -255,11 +255,11 @@ def _own_features(texts: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(fp, x0..x7): for each class a bit for each of 512 parts of the feature domain, whether it has an odd number of them."""
+    """(fp, x0..): for each class a bit for each of 64 * SKETCH parts of the feature domain, whether it has an odd number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.bincount(((s >> _U(7)) & _U(511)).astype(np.int64), minlength=512) & 1).view(np.int64) for s in shingle_sets(batch.column("text").to_pylist())]
+            bits = [np.packbits(np.bincount(((s >> _U(7)) % _U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64) for s in shingle_sets(batch.column("text").to_pylist())]
             columns = np.array(bits, np.int64).reshape(-1, SKETCH).T
             yield pa.RecordBatch.from_arrays([batch.column("fp"), *map(pa.array, columns)], names=["fp", *(f"x{i}" for i in range(SKETCH))])
 
