@@ -10,9 +10,9 @@ with all the set's features in it; each set emits its first d + c. Empty parts e
 What keeps the join linear: equal sets are one class; a set needs c shared signatures to stay;
 features that only one of the remaining sets has are counted, and as they lie in its difference
 with any other, a set with many of them goes too; a signature's sets are first compared with one
-of them only, and sets already in a component are not compared again. Only what is still apart,
-and could link by those counts and by a sketch that bounds the difference from below, is paired,
-by at least c shared signatures.
+of them only, and sets already in a component are not compared again: a signature's largest
+component is met by the others only. Only what is still apart, and could link by those counts
+and by a sketch that bounds the difference from below, is paired, by at least c shared signatures.
 """
 
 from __future__ import annotations
@@ -330,14 +330,19 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         good = _verified(pairs, texts)
         edges = good if edges is None else materialise(edges.union(good))
         labels = components(edges)
-    rows = materialise(_labelled(shared, labels).join(materialise(_sketches(texts)), "fp"))
+    rows = _labelled(shared, labels).withColumn("rows", F.count(F.lit(1)).over(W.partitionBy("sig", "label")))
+    rows = rows.withColumn("major", F.col("label") == F.max(F.struct("rows", "label")).over(W.partitionBy("sig"))["label"]).drop("rows")
+    rows = materialise(rows.join(materialise(_sketches(texts)), "fp"))
+    # Of two components at least one is not the signature's largest, so that one's own rows are never paired.
+    minor = rows.filter("NOT major").drop("major").withColumnRenamed("fp", "a")
     other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"} | {f"x{i}": f"y{i}" for i in range(SKETCH)})
     # Two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one.
     differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
     apart = (
-        rows.withColumnRenamed("fp", "a").join(other, "sig")
-        .filter("a < b AND label <> label_b AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
-        .groupBy("a", "b", F.col("sig").bitwiseAND(31).alias("band")).count().filter(F.col("count") >= _need(F.col("band"), weak)).select("a", "b").distinct()
+        minor.join(other, "sig")
+        .filter("label <> label_b AND (major OR a < b) AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sig").bitwiseAND(31).alias("band")).count()
+        .filter(F.col("count") >= _need(F.col("band"), weak)).select("a", "b").distinct()
     )
     rest = materialise(apart.join(tried, ["a", "b"], "left_anti"))
     return edges if rest.isEmpty() else materialise(edges.union(_verified(rest, texts)))
