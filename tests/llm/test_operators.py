@@ -210,6 +210,24 @@ def test_toxicity(spark, odd, none):
     assert toxicity.describe("YOU 1d10t!!", frozenset())[toxicity.NAMES.index("hidden_lexicon_log")] > 0
 
 
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(2700):
+        bad = i % 9 == 0
+        rows.append((i, prose(rng, 30) + (" you stupid idiot" if rng.random() < (0.7 if bad else 0.15) else " green hills") + " " + prose(rng, 5)))
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    labels = spark.createDataFrame([(i, int(i % 9 == 0), int(i % 9 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    for model in (quality_model, toxicity):
+        means, flagged = [], []
+        for per_label in (3000, 200):
+            got = model.predict(df, model.train(df, labels, per_label)).collect()
+            means.append(np.mean([r.score for r in got]))
+            flagged.append(np.mean([r.score >= 0.5 for r in got]))
+        assert abs(means[0] - means[1]) < 0.06 and abs(flagged[0] - flagged[1]) < 0.08, (model.__name__, means, flagged)
+        assert all(abs(m - 1 / 9) < 0.06 for m in means), (model.__name__, means)
+
+
 def brute_secrets(text):
     import re
 

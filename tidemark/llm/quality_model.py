@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tuple[list, list]:
-    """A bounded sample by label; the ids are chosen before any text is read."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tuple[list, list, list[float]]:
+    """A bounded sample by label: texts, labels and weights; the ids are chosen before any text is read.
+
+    A row's weight is its label's share of all rows that may be learned from / its share of the
+    sample, so that weighted the sample has the labels' own shares, however many are drawn.
+    """
     known = labelled(docs.withColumn("text", F.lit("")), labels, label).select("doc_id", label).distinct()
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
@@ -34,16 +41,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tu
         part = known.filter(F.col(label) == k).withColumn("spot", spot).orderBy("spot", "doc_id").limit(per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return [], []
+        return [], [], []
     ids = F.broadcast(chosen.select("doc_id", label))  # at most per_label rows of each label
     got = docs.select("doc_id", "text").join(ids, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable", na_position="first")
-    return got["text"].tolist(), got[label].tolist()
+    weight = got[label].map({k: n / min(n, per_label) for k, n in counts.items()})
+    return got["text"].tolist(), got[label].tolist(), (weight / weight.mean()).tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> embed.Model:
     """Learn quality, then shift the bias to the labels' own shares, which the sample levels."""
-    texts, y = sample(docs, labels, "quality", per_label)
-    return embed.train(texts, y, FEATURES, epochs=6)
+    texts, y, weights = sample(docs, labels, "quality", per_label)
+    model = embed.train(texts, y, FEATURES, epochs=6)
+    share = dict(zip(y, weights, strict=True))
+    shift = np.log([share[k] for k in model.classes])
+    return replace(model, bias=model.bias + model.temperature * shift)  # probabilities divide the bias by the temperature
 
 
 def predict(docs: DataFrame, model: embed.Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -140,11 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     """Learn from labelled documents whose fold (crc32 of the id, modulo 5) is not 0.
 
     Of a bounded sample two fifths give the learned lexicon, two fifths the trees and a fifth
-    the calibration, so that trees see lexicon rates as they are in new text. With fewer than
-    eight of either label there is nothing to fit, and scores come from the given lexicon.
+    the calibration, so that trees see lexicon rates as they are in new text. Trees and
+    calibration weigh the rows by the labels' own shares, which the sample levels. With fewer
+    than eight of either label there is nothing to fit, and scores come from the given lexicon.
     """
     spark = docs.sparkSession
-    texts, y = sample(docs, labels, "toxic", per_label)
+    texts, y, weights = sample(docs, labels, "toxic", per_label)
     y = [int(v > 0) for v in y]
     if min(sum(y), len(y) - sum(y)) < 8:
         return Model(frozenset(), (), None, None)
@@ -155,13 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
         place[v] += 1
     some = [texts[i] for i in parts["lexicon"]], [y[i] for i in parts["lexicon"]]
     learned, stems = learn_lexicon(*some), learn_stems(*some)
-    rows = [(float(y[i]), name, describe(texts[i], learned, stems)) for name in ("trees", "calibration") for i in parts[name]]
-    data = spark.createDataFrame(rows, "label double, part string, __vector array<double>").coalesce(2)
+    rows = [(float(y[i]), weights[i], name, describe(texts[i], learned, stems)) for name in ("trees", "calibration") for i in parts[name]]
+    data = spark.createDataFrame(rows, "label double, weight double, part string, __vector array<double>").coalesce(2)
     data = data.withColumn("__vector", array_to_vector("__vector")).cache()
-    learner = GBTClassifier(featuresCol="__vector", predictionCol="__class", maxIter=30, maxDepth=3, stepSize=0.2, maxBins=64, seed=5)
+    learner = GBTClassifier(featuresCol="__vector", weightCol="weight", predictionCol="__class", maxIter=30, maxDepth=3, stepSize=0.2, maxBins=64, seed=5)
     trees = learner.setProbabilityCol("__probability").setRawPredictionCol("__margin").fit(data.filter("part = 'trees'"))
-    raw = trees.transform(data.filter("part = 'calibration'")).select("label", vector_to_array("__probability")[1].alias("__raw"))
-    calibration = IsotonicRegression(featuresCol="__raw", predictionCol="__calibrated").fit(raw)
+    raw = trees.transform(data.filter("part = 'calibration'")).select("label", "weight", vector_to_array("__probability")[1].alias("__raw"))
+    calibration = IsotonicRegression(featuresCol="__raw", weightCol="weight", predictionCol="__calibrated").fit(raw)
     data.unpersist()
     return Model(learned, stems, trees, calibration)
 
