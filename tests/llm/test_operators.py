@@ -167,6 +167,18 @@ def test_decontamination_finds_changed_numbers_and_names(spark, odd, none):
     assert decontaminate.decontaminate(odd, bench).count() == odd.count()
 
 
+def test_decontamination_pairs_values_after_numbers_with_a_suffix(spark):
+    item = "a train leaves the station at a speed of 60 km per hour and slows to 5 after the bridge but reaches 60 again before the tunnel ends"
+    ordinal = "the 3rd rider passes the old mill before the 3rd runner reaches the gate of the town by the river"
+    bench = spark.createDataFrame([(1, item), (2, ordinal)], "item_id long, text string")
+    before = ["call 555-7713 now or", "on the 3rd day of a 5-year plan", "write to Anna.Smith@x or Bob at 9 km/h"]
+    docs = [(i, f"{b} {item} and so on", "a") for i, b in enumerate(before)]
+    docs += [(7, ordinal, "a"), (8, ordinal.replace("3rd", "23rd"), "a"), (9, ordinal.replace("3rd runner", "23rd runner"), "a")]
+    got = {(r.doc_id, r.item_id): (r.covered_words == r.item_words, r.reparameterised) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert all(got.get((i, 1)) == (True, False) for i in range(3)), got
+    assert got.get((7, 2)) == (True, False) and got.get((8, 2)) == (True, True) and got.get((9, 2)) != (True, False), got
+
+
 def test_language_and_quality_models(spark, odd, none):
     rng = random.Random(8)
     make = {"xx": "ka ro ti mu", "yy": "sch ung ber eit"}

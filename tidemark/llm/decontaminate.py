@@ -56,6 +56,11 @@ def slot_values(text: Column) -> Column:
     )
 
 
+def _slotted(token: Column) -> Column:
+    """Whether a token has a placeholder: it starts with one, which a rest of the word may follow ('3rd', '5-year')."""
+    return F.substring(token, 1, 2).isin(*[MARK + x for x in "ndu"])
+
+
 def _windows(tokens: Column, n: int) -> Column:
     hashed = F.transform(tokens, lambda t: F.xxhash64(t))
     return bind(hashed, lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))))
@@ -64,9 +69,9 @@ def _windows(tokens: Column, n: int) -> Column:
 def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, value) of each placeholder of rows' texts, by token position from 0."""
     at = rows.select(*keys, slot_values(F.col("text")).alias("v"), F.posexplode(template(F.col("text"))).alias("pos", "token"))
-    nth = W.partitionBy(*keys, "token").orderBy("pos")
-    at = at.filter(F.col("token").isin(*[MARK + x for x in "ndu"])).withColumn("k", F.row_number().over(nth) - 1)
-    value = F.coalesce(*[F.when(F.col("token") == MARK + x, F.get(f"v.{x}", F.col("k"))) for x in "ndu"], F.lit(""))
+    nth = W.partitionBy(*keys, "mark").orderBy("pos")
+    at = at.filter(_slotted(F.col("token"))).withColumn("mark", F.substring("token", 1, 2)).withColumn("k", F.row_number().over(nth) - 1)
+    value = F.coalesce(*[F.when(F.col("mark") == MARK + x, F.get(f"v.{x}", F.col("k"))) for x in "ndu"], F.lit(""))
     return at.select(*keys, "pos", F.lower(value).alias("value"))
 
 
@@ -86,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     for n in lengths:
         of = tokens.filter(F.col("item_words") >= window if n == window else F.col("item_words") == n)
         part = of.select("item_id", "item_words", F.lit(n).alias("n"), F.posexplode(_windows(F.col("tokens"), n)).alias("ipos", "h"), "tokens")
-        slots = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, n), lambda x: x.isin(*[MARK + c for c in "ndu"])))
+        slots = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, n), _slotted))
         part = part.select("item_id", "item_words", "n", "ipos", "h", (slots > 0).alias("slotted"))
         known = part if known is None else known.unionByName(part)
     known = materialise(known.distinct())
