@@ -273,10 +273,10 @@ def test_licenses(spark, odd, none):
 
 def test_huffman_codes_are_canonical_and_limited():
     rng = np.random.default_rng(12)
-    for counts in (np.array([0, 5, 0]), np.array([3, 1]), rng.integers(0, 1000, 300), np.array([1 << min(k, 60) for k in range(40)]), np.ones(1 << 12, np.int64)):
+    for counts in (np.array([0, 5, 0]), np.array([3, 1]), rng.integers(0, 1000, 300), np.array([1 << min(k, 60) for k in range(40)]), np.ones(1 << 12, np.int64), rng.integers(1, 9, 70_000)):
         lengths = token_file.code_lengths(counts)
         used = counts > 0
-        assert (lengths[used] > 0).all() and (lengths[~used] == 0).all() and lengths.max() <= token_file.MAX_BITS
+        assert (lengths[used] > 0).all() and (lengths[~used] == 0).all() and lengths.max() <= token_file.bit_limit(counts)
         assert sum(2.0 ** -float(x) for x in lengths[used]) <= 1 + 1e-12
         words = token_file.codes(lengths)
         text = {format(int(w), f"0{n}b") for w, n in zip(words[used], lengths[used], strict=True)}
@@ -300,6 +300,7 @@ def test_token_file_round_trip(spark, odd, none):
     rng = random.Random(13)
     texts = ["hello  world \n\n x", None, "", " lead", "trail ", "a b c", "日本 語 text", "it's we'll  'd", prose(rng, 40_000), "tab\t tab \tx", "<|endoftext|> a <|endoftext|>"]
     texts += ["".join(rng.choice("ab 1.'\n\t　é") for _ in range(80)) for _ in range(80)]
+    texts += ["".join(rng.choice([*"abé1 .,!?-'\"%*&$#|<>()\n", "…", "👩‍🚀", "🙂", "e\u0301", "n\u0303", "\u200d", "ﬁ", "'ll ", " '", "Ġ", "ß", "\xa0"]) for _ in range(3000)) for _ in range(12)]
     df = frame(spark, [(i * 3 - 5, t, "s") for i, t in enumerate(texts)])
     got = {r.doc_id: r for r in token_file.round_trip(df.repartition(5), BPE).collect()}
     slow, at = Tokenizer.from_file(BPE), 0
@@ -308,4 +309,8 @@ def test_token_file_round_trip(spark, odd, none):
         r = got[i * 3 - 5]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    ours = token_file.Ids(BPE)
+    for _ in range(3):
+        rng.shuffle(texts)
+        assert ours(texts) == [np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u2").tobytes() for t in texts]
     assert token_file.round_trip(none, BPE).count() == 0 and token_file.round_trip(odd, BPE).count() == odd.count()

@@ -1,14 +1,15 @@
 """Token ids as canonical, length-limited Huffman codes.
 
-Documents are ordered by id, tokenised and cut into blocks of whole documents. A code is made
-from the counts of all ids; each block is then packed and unpacked without any other, and
-within a block the bit offset of every CHECKPOINT-th id lets a table-driven decoder run many
-places at once. The output is a table of blocks, each a self-contained binary record, beside a
-table with the code's lengths: Spark writes and reads both, on any store it knows.
-
-A record, little-endian: magic "THB1", u32 documents, u32 ids, u64 global number of the first
-id, i64 document ids (with a bitmap byte each for null), u32 ids of each document, u32 bit
-offset of each checkpoint, then the code words as big-endian u32.
+Documents are tokenised where they lie, which also counts the ids; then only ids move, to the
+order of document ids, and are cut into blocks of whole documents. The code is made from the
+counts of all ids; each block is packed and unpacked without any other, and within a block the
+bit offset of every CHECKPOINT-th id lets a table-driven decoder run many places at once. The
+output is three tables that Spark writes and reads on any store it knows: blocks (binary
+records by part), the code's lengths, and for each part the number of ids before it.
+
+A record, little-endian: magic "THB2", u32 documents, u32 ids, u64 number of the first id
+within the part, i64 document ids (with a byte each for null), u32 ids of each document, u64
+bit offset of each checkpoint, then the code words as big-endian u32.
 """
 
 from __future__ import annotations
@@ -25,17 +26,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import in_batches, materialise, shared_dir
+from .common import discard, in_batches, shared_dir, stored
 
-MAGIC = b"THB1"
+MAGIC = b"THB2"
+#: The longest code word, or more where the ids in use need it.
 MAX_BITS = 16
 CHECKPOINT = 128
 #: A block is closed once it has so many ids.
 BLOCK = 1 << 16
 END = 0
 #: Pieces of text whose ids a worker remembers, once and while they recur, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 600_000, 40
+#: Pieces that are encoded as one string.
+TOGETHER = 2_000
 
 
 # ---- tokenising
@@ -53,6 +58,8 @@ def tokenizer(path: str):
 
 #: Marks before a piece that no space precedes: punctuation or a newline, and the first word of a line.
 JOINED, BEGIN = "\x01", "\x02"
+#: How a byte-level vocabulary writes a space.
+SPACE = "Ġ"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _ODD_MARK = re.compile(r"[.,](?<![^\W\d_][.,])[ \n]")
 
@@ -86,11 +93,41 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")  # array's H and I, on machines that are little-endian
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_ids = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")  # array's H and I, on machines that are little-endian
+        self.spaced = np.zeros(self.n_ids, bool)  # ids of tokens that start with a space
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
         self.end = np.array([END], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _alone(self, plain: list[str]) -> list[bytes]:
+        return [array(self.kind.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words that each follow a space: encoded as one string, and cut where a token starts with a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        first = np.flatnonzero(self.spaced[ids])
+        if len(first) != len(words) or first[0] != 0:
+            return self._alone([" " + w for w in words])
+        raw, at = ids.tobytes(), [*(first * self.kind.itemsize).tolist(), ids.nbytes]
+        return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [p for p in new if p[0] == JOINED or p[0] == BEGIN]
+        for k in range(0, len(odd), 20_000):
+            part = odd[k : k + 20_000]
+            self.known.update(zip(part, self._alone([p[1:] for p in part]), strict=True))
+        words = sorted(p for p in new if p[0] != JOINED and p[0] != BEGIN)  # neighbours share their merges
+        whole = [p for p in words if " " not in p]
+        for k in range(0, len(whole), TOGETHER):
+            part = whole[k : k + TOGETHER]
+            self.known.update(zip(part, self._together(part), strict=True))
+        if len(whole) < len(words):
+            part = [p for p in words if " " in p]
+            self.known.update(zip(part, self._alone([" " + p for p in part]), strict=True))
+
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -102,11 +139,7 @@ class Ids:
                 known[p] = v
             else:
                 new.append(p)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            plain = [p[1:] if p[0] == JOINED or p[0] == BEGIN else " " + p for p in part]
-            for p, e in zip(part, self.tokenizer.encode_batch(plain, add_special_tokens=False), strict=True):
-                known[p] = array(self.kind.char, e.ids).tobytes()
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, ps)) + self.end for ps in cut]
         for p in new:
             if len(p) > LONGEST:
@@ -122,12 +155,16 @@ def ids_of(path: str) -> Ids:
 # ---- the code
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most ``limit`` bits; 0 for ids that never occur."""
+def bit_limit(counts: np.ndarray) -> int:
+    """MAX_BITS, or as many bits as tell the ids in use apart and one more."""
+    return max(MAX_BITS, int(np.count_nonzero(counts) - 1).bit_length() + 1)
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of an optimal prefix code of at most bit_limit() bits; 0 for ids that never occur."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids need more than {limit} bits")
+    limit = bit_limit(counts)
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
@@ -163,7 +200,7 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def decoding_table(lengths: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def decoding_table(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(id, bits) for each value of the next ``limit`` bits."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
@@ -187,11 +224,11 @@ def pack(first: int, doc_ids: Sequence[int | None], sizes: np.ndarray, ids: np.n
         packed[word[group] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), group)
     return b"".join([
         MAGIC, struct.pack("<IIQ", len(doc_ids), len(ids), first), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), bytes(x is None for x in doc_ids),
-        sizes.astype("<u4").tobytes(), start[::CHECKPOINT].astype("<u4").tobytes(), packed.astype(">u4").tobytes(),
+        sizes.astype("<u4").tobytes(), start[::CHECKPOINT].astype("<u8").tobytes(), packed.astype(">u4").tobytes(),
     ])
 
 
-def unpack(record: bytes, ids_at: np.ndarray, bits_at: np.ndarray) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
+def unpack(record: bytes, ids_at: np.ndarray, bits_at: np.ndarray, limit: int) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
     """(number of the first id, document ids, ids of each document, ids) of a record."""
     if record[:4] != MAGIC:
         raise ValueError("not a block of token ids")
@@ -201,14 +238,14 @@ def unpack(record: bytes, ids_at: np.ndarray, bits_at: np.ndarray) -> tuple[int,
     null = np.frombuffer(record, np.uint8, n_docs, p := p + 8 * n_docs)
     sizes = np.frombuffer(record, "<u4", n_docs, p := p + n_docs)
     lanes = -(-n // CHECKPOINT)
-    at = np.frombuffer(record, "<u4", lanes, p := p + 4 * n_docs).astype(np.int64)
-    packed = np.frombuffer(record, ">u4", -1, p + 4 * lanes).astype(np.uint64)
+    at = np.frombuffer(record, "<u8", lanes, p := p + 4 * n_docs).astype(np.int64)
+    packed = np.frombuffer(record, ">u4", -1, p + 8 * lanes).astype(np.uint64)
     packed = np.append(packed, np.zeros(2, np.uint64))
     out = np.empty((CHECKPOINT, lanes), np.uint32)
     for k in range(min(CHECKPOINT, n)):
         word = np.minimum(at >> 5, len(packed) - 2)
-        window = ((packed[word] << np.uint64(32)) | packed[word + 1]) >> (64 - MAX_BITS - (at & 31)).astype(np.uint64)
-        window = (window & np.uint64((1 << MAX_BITS) - 1)).astype(np.int64)
+        window = ((packed[word] << np.uint64(32)) | packed[word + 1]) >> (64 - limit - (at & 31)).astype(np.uint64)
+        window = (window & np.uint64((1 << limit) - 1)).astype(np.int64)
         out[k] = ids_at[window]
         at += bits_at[window]
     return first, [None if z else int(d) for d, z in zip(docs, null, strict=True)], sizes.astype(np.int64), out.T.ravel()[:n]
@@ -217,97 +254,108 @@ def unpack(record: bytes, ids_at: np.ndarray, bits_at: np.ndarray) -> tuple[int,
 # ---- on Spark
 
 
-def _blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(part, start, doc_ids, sizes, ids): blocks in order of id; start counts ids within the part."""
-    spot = F.xxhash64("text")
-    placed = docs.select("doc_id", "text", spot.alias("spot")).repartitionByRange("doc_id", "spot").sortWithinPartitions("doc_id", "spot", "text")
-    schema = "part int, start long, doc_ids array<long>, sizes array<long>, ids binary"
-    arrow = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
+def _tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, spot, nth, ids, used, times): a row for each document, and one for each task with the ids it used and how often.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, make = TaskContext.get().partitionId(), 0, ids_of(tokenizer_path)
-        doc_ids: list = []
-        got: list[bytes] = []
-        size, width = 0, make.kind.itemsize
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "start": start, "doc_ids": doc_ids, "sizes": [len(b) // width for b in got], "ids": b"".join(got)}], arrow)
+    spot is a hash of the text, nth tells the rows of all tasks apart.
+    """
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("spot", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("used", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())),
+    ])
+    names = schema.fieldNames()
+    lists = pa.list_(pa.int64())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, nth = ids_of(tokenizer_path), TaskContext.get().partitionId() << 33
+        n, id_type = np.zeros(make.n_ids, np.int64), pa.int64()
         for batch in batches:
-            for d, b in zip(batch.column("doc_id").to_pylist(), make(batch.column("text").to_pylist()), strict=True):
-                doc_ids.append(d)
-                got.append(b)
-                size += len(b) // width
-                if size >= BLOCK:
-                    yield block()
-                    start, size, doc_ids, got = start + size, 0, [], []
-        if doc_ids:
-            yield block()
+            id_type = batch.column("doc_id").type
+            for low in range(0, batch.num_rows, 250):
+                part = batch.slice(low, 250)
+                made = make(part.column("text").to_pylist())
+                n += np.bincount(np.frombuffer(b"".join(made), make.kind), minlength=make.n_ids)
+                none = pa.nulls(len(made), lists)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("spot"), pa.array(np.arange(nth, nth + len(made))), pa.array(made, pa.binary()), none, none], names=names)
+                nth += len(made)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([nth]), pa.nulls(1, pa.binary()), pa.array([at], lists), pa.array([n[at]], lists)], names=names)
 
-    return in_batches(placed.select("doc_id", "text")).mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", F.xxhash64("text").alias("spot"), "text")).mapInArrow(run, schema)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
-    """Tokenise ``docs`` (doc_id, text) and write ``path``/blocks and ``path``/code.
+    """Tokenise ``docs`` (doc_id, text) and write ``path``/blocks, ``path``/parts and ``path``/code.
 
     Each document ends with the id 0; a null or empty text is just that. Documents come in
-    order of id, nulls first; equal ids in order of a hash of the text, then the text. An empty
+    order of id, nulls first; equal ids in order of a hash of the text, then the ids. An empty
     table gives no blocks. Other columns are not read.
     """
-    spark = docs.sparkSession
-    kind = ids_of(tokenizer_path).kind
-    n_ids = ids_of(tokenizer_path).tokenizer.get_vocab_size()
-    blocks = materialise(_blocks(docs, tokenizer_path))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(n_ids, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                n += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=n_ids)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
-
+    spark, make = docs.sparkSession, ids_of(tokenizer_path)
+    kind, n_ids = make.kind, make.n_ids
+    rows, rows_path = stored(_tokenised(docs, tokenizer_path))
     counts = np.zeros(n_ids, np.int64)
-    for i, n in blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # a row an id of the vocabulary
+    used = rows.filter("used IS NOT NULL").select(F.explode(F.arrays_zip("used", "times")).alias("x"))
+    for i, n in used.groupBy("x.used").agg(F.sum("x.times")).collect():  # a row an id of the vocabulary
         counts[i] = n
     lengths = code_lengths(counts)
-    words = codes(lengths)
-    offsets, total = {}, 0
-    for part, n in sorted(map(tuple, blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).collect())):  # a row a task
-        offsets[part], total = total, total + n
+    words, limit = codes(lengths), bit_limit(counts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, size = TaskContext.get().partitionId(), 0, 0
+        doc_ids: list = []
+        got: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            sizes = np.array([len(b) // kind.itemsize for b in got], np.int64)
+            record = pack(first, doc_ids, sizes, np.frombuffer(b"".join(got), kind), lengths, words)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([size]), pa.array([record])], names=["part", "n", "record"])
+
         for batch in batches:
-            for r in range(batch.num_rows):
-                part, start, doc_ids, sizes = (batch.column(c)[r].as_py() for c in ("part", "start", "doc_ids", "sizes"))
-                ids = np.frombuffer(batch.column("ids")[r].as_buffer(), kind)
-                record = pack(offsets[part] + start, doc_ids, np.array(sizes, np.int64), ids, lengths, words)
-                yield pa.RecordBatch.from_arrays([pa.array([offsets[part] + start]), pa.array([record])], names=["first", "record"])
+            for d, b in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                doc_ids.append(d)
+                got.append(b)
+                size += len(b) // kind.itemsize
+                if size >= BLOCK:
+                    yield block()
+                    first, size, doc_ids, got = first + size, 0, [], []
+        if doc_ids:
+            yield block()
 
-    blocks.mapInArrow(encode, "first long, record binary").write.option("compression", "none").parquet(f"{path}/blocks")
-    spark.createDataFrame([(n_ids, MAX_BITS, lengths.tobytes())], "ids int, max_bits int, lengths binary").coalesce(1).write.parquet(f"{path}/code")
+    placed = rows.filter("used IS NULL").select("doc_id", "spot", "nth", "ids").repartitionByRange("doc_id", "spot", "nth").sortWithinPartitions("doc_id", "spot", "ids")
+    placed.select("doc_id", "ids").mapInArrow(encode, "part int, n long, record binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(spark, rows_path)
+    sizes = spark.read.schema("part int, n long").parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n")).collect()  # a row a task
+    parts, start = [], 0
+    for part, n in sorted(map(tuple, sizes)):
+        parts.append((part, start))
+        start += n
+    spark.createDataFrame(parts, "part int, start long").coalesce(1).write.parquet(f"{path}/parts")
+    spark.createDataFrame([(n_ids, limit, lengths.tobytes())], "ids int, max_bits int, lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
 
 def read(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files, decoded from them."""
-    lengths = np.frombuffer(spark.read.schema("ids int, max_bits int, lengths binary").parquet(f"{path}/code").first()["lengths"], np.uint8)
+    code = spark.read.schema("ids int, max_bits int, lengths binary").parquet(f"{path}/code").first()
+    lengths, limit = np.frombuffer(code["lengths"], np.uint8), code["max_bits"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_at, bits_at = decoding_table(lengths)
+        ids_at, bits_at = decoding_table(lengths, limit)
         for batch in batches:
-            for record in batch.column("record"):
-                first, doc_ids, sizes, ids = unpack(record.as_buffer().to_pybytes(), ids_at, bits_at)
+            for start, record in zip(batch.column("start").to_pylist(), batch.column("record"), strict=True):
+                first, doc_ids, sizes, ids = unpack(record.as_buffer().to_pybytes(), ids_at, bits_at, limit)
                 ends = np.cumsum(sizes)
                 wide = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(wide[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + first + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = spark.read.schema("first long, record binary").parquet(f"{path}/blocks").select("record")
+    parts = spark.read.schema("part int, start long").parquet(f"{path}/parts")  # a row a task of write()
+    rows = spark.read.schema("part int, record binary").parquet(f"{path}/blocks").join(F.broadcast(parts), "part").select("start", "record")
     return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Write ``docs`` to a new shared folder and read them back."""
-    path = shared_dir(docs.sparkSession)
+def round_trip(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
+    """Write ``docs`` to the new folder ``path``, or one in the shared folder, and read them back."""
+    path = path or shared_dir(docs.sparkSession)
     write(docs, path, tokenizer_path)
     return read(docs.sparkSession, path)
