@@ -13,20 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside ``spark.checkpoint.dir``, which all executors can reach.
 
-    Only where that setting is absent (tests, a laptop) a temporary local folder is made.
+    Only where that setting is absent and the master is local (tests, a laptop) a temporary
+    folder is made; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         base = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """``df`` written to a new shared folder and read back, with the folder."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
