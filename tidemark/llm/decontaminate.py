@@ -3,7 +3,13 @@
 Texts become sequences of lower-case tokens in which names, numbers and units are typed
 placeholders. Windows of tokens are hash-joined with the benchmark's windows, so a question
 whose numbers or names were changed still matches. For matches that go through placeholders
-the values are compared: one benchmark value must stand for one document value throughout.
+the values are compared: benchmark values and document values must stand for one another, one
+to one, wherever the two texts run in parallel.
+
+A window with few ordinary words says little once its values are gone, so such windows are not
+joined; an item that mostly consists of them is joined by its literal tokens instead. A window
+that an item repeats stands where the item has it first: each place of a document meets an
+item's window once, however often either repeats it.
 """
 
 from __future__ import annotations
@@ -17,6 +23,10 @@ from .common import SPACES, bind, materialise
 WINDOW = 8
 #: A document is contaminated by an item when its matching windows cover this share of the item's tokens.
 MIN_COVERED = 0.5
+#: Windows with fewer tokens that are no placeholders are not evidence.
+MIN_ORDINARY = 3
+#: An item of fewer tokens matches only a document that is nothing else.
+MIN_ITEM = 4
 #: The benchmark's windows are broadcast up to this many (about 10 MB), else shuffled.
 BROADCAST_WINDOWS = 200_000
 
@@ -66,6 +76,19 @@ def _windows(tokens: Column, n: int) -> Column:
     return bind(hashed, lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))))
 
 
+def _literal(text: Column) -> Column:
+    """array<string> of a text's lower-case tokens as they are."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES + MARK, " " * len(SPACES))
+    return F.filter(F.split(F.translate(F.lower(spaced), PUNCTUATION, ""), " +"), lambda x: x != "")
+
+
+def _covered(starts: Column, n: int | Column) -> Column:
+    """How many positions windows of ``n`` cover that start at the distinct ``starts``."""
+    return bind(F.array_sort(starts), lambda t: F.aggregate(
+        F.transform(t, lambda x, j: F.least(F.coalesce(F.get(t, j + 1) - x, F.lit(1 << 30)), F.lit(n) if isinstance(n, int) else n)), F.lit(0), lambda a, x: a + x,
+    ))
+
+
 def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, value) of each placeholder of rows' texts, by token position from 0."""
     at = rows.select(*keys, slot_values(F.col("text")).alias("v"), F.posexplode(template(F.col("text"))).alias("pos", "token"))
@@ -75,76 +98,100 @@ def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
     return at.select(*keys, "pos", F.lower(value).alias("value"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_covered: float = MIN_COVERED) -> DataFrame:
-    """(doc_id, item_id, item_words, covered_words, slots, reparameterised) of contaminated pairs.
+def _known(items: DataFrame, window: int, min_covered: float) -> DataFrame:
+    """(item_id, item_words, literal, n, h, ipos, starts, slotted): an item's windows of n tokens, each once.
 
-    ``slots`` is the number of distinct placeholder values that were compared and
-    ``reparameterised`` says that one of them differs. Items shorter than a window match as a
-    whole. A null or empty text, in either table, matches nothing; repeated rows count once; a
-    null doc_id or item_id is ignored. Only doc_id, item_id and text are read.
+    ipos is where the item has it first and starts are all its places; n is 0 for an item that
+    only matches as a whole document.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    tokens = items.withColumn("tokens", template(F.col("text"))).withColumn("item_words", F.size("tokens")).filter("item_words > 0")
-    lengths = [window] + sorted(r[0] for r in tokens.filter(F.col("item_words") < window).select("item_words").distinct().collect())
-    known = None
-    for n in lengths:
-        of = tokens.filter(F.col("item_words") >= window if n == window else F.col("item_words") == n)
-        part = of.select("item_id", "item_words", F.lit(n).alias("n"), F.posexplode(_windows(F.col("tokens"), n)).alias("ipos", "h"), "tokens")
-        slots = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, n), _slotted))
-        part = part.select("item_id", "item_words", "n", "ipos", "h", (slots > 0).alias("slotted"))
-        known = part if known is None else known.unionByName(part)
-    known = materialise(known.distinct())
+    sized = items.withColumn("tokens", template(F.col("text"))).filter(F.size("tokens") > 0)
+    sized = sized.withColumn("n", F.when(F.size("tokens") < MIN_ITEM, 0).otherwise(F.least(F.size("tokens"), F.lit(window))))
+    starts = F.sequence(F.lit(0), F.size("tokens") - F.col("n"))
+    plain = lambda i: F.size(F.filter(F.slice("tokens", i + 1, F.col("n")), lambda t: ~_slotted(t)))
+    sized = sized.withColumn("telling", F.when(F.col("n") > 0, F.filter(starts, lambda i: plain(i) >= MIN_ORDINARY)).otherwise(F.array().cast("array<int>")))
+    sized = sized.withColumn("literal", _covered(F.col("telling"), F.col("n")) < min_covered * F.size("tokens"))
+    sized = sized.withColumn("tokens", F.when(F.col("literal"), _literal(F.col("text"))).otherwise(F.col("tokens"))).filter(F.size("tokens") > 0)
+    sized = sized.withColumn("n", F.when(F.col("n") > 0, F.least("n", F.size("tokens"))).otherwise(0))
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.xxhash64(F.transform("tokens", lambda t: F.xxhash64(t))).alias("h")))
+    places = F.when(F.col("n") == 0, whole).otherwise(bind(F.transform("tokens", lambda t: F.xxhash64(t)), lambda g: F.transform(
+        F.when(F.col("literal"), starts).otherwise(F.col("telling")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(g, i + 1, F.col("n"))).alias("h")))))
+    rows = sized.select("item_id", F.size("tokens").alias("item_words"), "literal", "n", "tokens", F.explode(places).alias("p"))
+    rows = rows.select("item_id", "item_words", "literal", "n", "p.i", "p.h", (~F.col("literal") & (F.size(F.filter(F.slice("tokens", F.col("p.i") + 1, F.greatest("n", F.lit(1))), _slotted)) > 0)).alias("slotted"))
+    return rows.groupBy("item_id", "item_words", "literal", "n", "h").agg(F.min("i").alias("ipos"), F.collect_set("i").alias("starts"), F.max("slotted").alias("slotted"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_covered: float) -> DataFrame:
+    """contaminated() for each (doc_id, hash of its text)."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    known = materialise(_known(items, window, min_covered))
     side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    kinds = sorted(map(tuple, known.select("literal", "n").distinct().collect())) or [(False, window)]  # at most two a length up to the window
     found = None
-    for n in lengths:
-        seen = docs.select("doc_id", F.posexplode(_windows(template(F.col("text")), n)).alias("pos", "h"))
-        part = seen.join(side.filter(F.col("n") == n), "h").select("doc_id", "item_id", "item_words", "n", "pos", "ipos", "slotted")
+    for literal, n in kinds:
+        tokens = (_literal if literal else template)(F.col("text"))
+        if n:
+            seen = docs.select("doc_id", "th", F.posexplode(_windows(tokens, n)).alias("pos", "h"))
+        else:
+            seen = docs.select("doc_id", "th", F.lit(0).alias("pos"), F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t))).alias("h"))
+        of = side.filter((F.col("n") == n) & (F.col("literal") == literal)).select("h", "item_id", "n", "ipos", "slotted")
+        part = seen.join(of, "h").select("doc_id", "th", "item_id", "n", "pos", "ipos", "slotted")
         found = part if found is None else found.unionByName(part)
     hits = materialise(found)
-    bad, compared = None, None
+    key = ["doc_id", "th", "item_id"]
+    good = hits.filter("NOT slotted").select(*key, "ipos")
+    values = None
     if not hits.filter("slotted").isEmpty():
-        compared = materialise(_compare(docs, items, hits))
-        bad = compared.filter("clashes > 0").select("doc_id", "item_id", "diagonal")
-    good = hits.withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    if bad is not None:
-        verbatim = good.filter("NOT slotted")
-        good = verbatim.unionByName(good.filter("slotted").join(bad, ["doc_id", "item_id", "diagonal"], "left_anti").select(*verbatim.columns))
-    covered = bind(F.array_sort(F.collect_set("ipos")), lambda t: F.aggregate(
-        F.transform(t, lambda x, j: F.coalesce(F.get(t, j + 1) - x, F.lit(1_000_000))), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")),
-        lambda s, gap: F.struct((s["a"] + F.least(gap, F.lit(window))).cast("int").alias("a"), s["b"].alias("b")),
-    )["a"])
-    pairs = good.groupBy("doc_id", "item_id", "item_words").agg(covered.alias("covered_words"))
-    pairs = pairs.withColumn("covered_words", F.least("covered_words", "item_words")).filter(F.col("covered_words") >= min_covered * F.col("item_words"))
-    if compared is None:
-        return pairs.select("*", F.lit(0).cast("long").alias("slots"), F.lit(False).alias("reparameterised"))
-    values = compared.filter("clashes = 0").groupBy("doc_id", "item_id").agg(F.sum("slots").alias("slots"), F.max("changed").alias("reparameterised"))
-    return pairs.join(values, ["doc_id", "item_id"], "left").select(*pairs.columns, F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
-
-
-def _compare(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, item_id, diagonal, slots, clashes, changed) of the hits that go through placeholders.
+        through = hits.filter("slotted").withColumn("diagonal", F.col("pos") - F.col("ipos")).distinct()
+        pairs = materialise(_compare(docs, items, through))
+        value = ["item_value", "doc_value"]
+        count = pairs.groupBy(*key, "diagonal").agg(F.count_distinct(*value).alias("both"), F.count_distinct("item_value").alias("a"), F.count_distinct("doc_value").alias("b"))
+        one_to_one = materialise(count.filter("both = a AND both = b").select(*key, "diagonal"))
+        good = good.unionByName(through.join(one_to_one, [*key, "diagonal"], "left_semi").select(*key, "ipos"))
+        values = pairs.join(one_to_one, [*key, "diagonal"], "left_semi").groupBy(*key).agg(F.count_distinct("item_value").alias("slots"), F.max(F.col("item_value") != F.col("doc_value")).alias("reparameterised"))
+    places = good.distinct().join(side.select("item_id", "item_words", "n", "ipos", "starts"), ["item_id", "ipos"])
+    out = places.groupBy(*key, "item_words").agg(F.max("n").alias("n"), F.flatten(F.collect_list("starts")).alias("starts"))
+    out = out.withColumn("covered_words", F.least("item_words", F.when(F.col("n") == 0, F.col("item_words")).otherwise(_covered(F.col("starts"), F.col("n")))))
+    out = out.filter(F.col("covered_words") >= min_covered * F.col("item_words")).select(*key, "item_words", "covered_words")
+    if values is None:
+        return out.select("*", F.lit(0).cast("long").alias("slots"), F.lit(False).alias("reparameterised"))
+    return out.join(values, key, "left").select(*out.columns, F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_covered: float = MIN_COVERED) -> DataFrame:
+    """(doc_id, item_id, item_words, covered_words, slots, reparameterised) of contaminated pairs.
+
+    ``covered_words`` counts the item's tokens inside windows that the document has, ``slots``
+    the distinct values of the item that were compared, and ``reparameterised`` says that one of
+    them differs. Items shorter than a window match as a whole inside a document, those of
+    under MIN_ITEM tokens only a document that is nothing else. A null or empty text, in either
+    table, matches nothing; repeated rows count once; of rows with one doc_id and different
+    texts the best counts, of those with one item_id the smallest text; a null doc_id or
+    item_id is ignored. Only doc_id, item_id and text are read.
+    """
+    best = F.max(F.struct("covered_words", "slots", "reparameterised")).alias("best")
+    return _found(docs, benchmark, window, min_covered).groupBy("doc_id", "item_id", "item_words").agg(best).select("doc_id", "item_id", "item_words", "best.*")
+
+
+def _compare(docs: DataFrame, items: DataFrame, through: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, diagonal, item_value, doc_value): the values that meet in hits through placeholders, once each.
 
     Only documents with such a hit are tokenised again.
     """
-    through = hits.filter("slotted").withColumn("diagonal", F.col("pos") - F.col("ipos"))
-    ours = _slots(docs.join(through.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), ["doc_id"])
-    theirs = _slots(items.join(through.select("item_id").distinct(), "item_id", "left_semi").distinct(), ["item_id"])
-    at = through.select("doc_id", "item_id", "diagonal", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("n") - 1)).alias("ipos")).distinct()
+    ours = _slots(docs.join(through.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
+    theirs = _slots(items.join(through.select("item_id").distinct(), "item_id", "left_semi"), ["item_id"])
+    at = through.select("doc_id", "th", "item_id", "diagonal", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("n") - 1)).alias("ipos")).distinct()
     both = (
         at.join(theirs.withColumnsRenamed({"pos": "ipos", "value": "item_value"}), ["item_id", "ipos"]).withColumn("pos", F.col("ipos") + F.col("diagonal"))
-        .join(ours.withColumnRenamed("value", "doc_value"), ["doc_id", "pos"])
-    )
-    return both.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.countDistinct("item_value").alias("slots"),
-        (F.countDistinct("item_value", "doc_value") - F.countDistinct("item_value")).alias("clashes"),
-        F.max(F.col("item_value") != F.col("doc_value")).alias("changed"),
+        .join(ours.withColumnRenamed("value", "doc_value"), ["doc_id", "th", "pos"])
     )
+    return both.select("doc_id", "th", "item_id", "diagonal", "item_value", "doc_value").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_covered: float = MIN_COVERED) -> DataFrame:
     """``docs`` without the contaminated documents; rows with a null doc_id or text stay."""
-    return docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    bad = _found(docs, benchmark, window, min_covered).select(F.col("doc_id").alias("__id"), F.col("th").alias("__hash")).distinct()
+    return docs.join(bad, (docs["doc_id"] == bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"]), "left_anti")
 
 
 def _sql_tokens(table: str, key: str) -> str:
