@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, embed, jaccard, language, licenses, mixing, quality_model, quality_rules, secrets, token_file, toxicity
+from tidemark.llm import decontaminate, embed, jaccard, language, licenses, mixing, quality_model, quality_rules, sample, secrets, token_file, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -152,7 +152,7 @@ def test_quality_rules(spark, odd, none):
 def test_decontamination_finds_changed_numbers_and_names(spark, odd, none):
     item = "A train leaves the station at a speed of 60 km per hour while Anna Smith walks 5 km towards it, and later Anna Smith stops after 60 minutes."
     other = "Completely different question about birds that sing in the early morning over green hills by the sea."
-    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, ""), (5, "Only four words here")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, ""), (5, "Only four words here"), (6, "Yes"), (7, "42")], "item_id long, text string")
     renamed = item.replace("walks 5 km", "walks 9 km").replace("60", "75").replace("Anna Smith", "Bob Jones")
     clash = item.replace("60 km", "75 km").replace("Anna Smith walks", "Bob walks")
     rng = random.Random(7)
@@ -179,6 +179,124 @@ def test_decontamination_pairs_values_after_numbers_with_a_suffix(spark):
     assert got.get((7, 2)) == (True, False) and got.get((8, 2)) == (True, True) and got.get((9, 2)) != (True, False), got
 
 
+def test_decontamination_of_short_and_repetitive_items(spark):
+    rng = random.Random(30)
+    numbers = " ".join(str(rng.randrange(1000)) for _ in range(1000))
+    chant = " ".join(["row the 5 boats"] * 300)
+    bench = spark.createDataFrame([(1, "Yes"), (2, numbers), (3, chant), (4, "7 8"), (5, "one 2 three 4 five")], "item_id long, text string")
+    docs = [(i, f"{prose(rng, 9)} yes {prose(rng, 9)}", "a") for i in range(20)] + [(100, "YES!", "a"), (101, " ".join(str(rng.randrange(1000)) for _ in range(2000)), "a"), (102, f"x {numbers} y", "a")]
+    docs += [(103, " ".join(["row the 6 boats"] * 900), "a"), (104, "7 8", "a"), (105, f"{prose(rng, 9)} 7 8 {prose(rng, 9)}", "a"), (106, "say one 2 three 4 five now", "a"), (107, "say one 3 three 3 five now", "a")]
+    df = frame(spark, docs)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {(100, 1), (102, 2), (103, 3), (104, 4), (106, 5)}
+    assert got[103, 3].reparameterised and got[103, 3].slots == 1 and got[103, 3].covered_words == 1200 and not got[102, 2].reparameterised
+    left = {r.doc_id for r in decontaminate.decontaminate(df, bench).collect()}
+    assert left == {d[0] for d in docs} - {100, 102, 103, 104, 106}
+    twice = frame(spark, [(1, "YES!", "a"), (1, prose(rng, 30), "a")])
+    assert decontaminate.decontaminate(twice, bench).count() == 1
+
+
+def slow_template(text):
+    """(tokens, value of each placeholder by position) of the operator's template, by a loop over the text's pieces."""
+    import regex
+
+    m = decontaminate.MARK
+    spaced = "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text)
+    names, digits, units = [], [], []
+
+    def name(x):
+        names.append(x[2])
+        return x[1] + m + "n"
+
+    def number(x):
+        digits.append(x[0])
+        return f" {m}d"
+
+    def unit(x):
+        units.append(x[1])
+        return f"{m}d {m}u"
+
+    t = regex.sub(decontaminate.NAME, name, spaced)
+    t = regex.sub(decontaminate.UNIT, unit, regex.sub(decontaminate.NUMBER, number, t))
+    tokens = [w for w in "".join(c for c in t.lower() if c not in decontaminate.PUNCTUATION).split(" ") if w]
+    queues, values = {"n": names, "d": digits, "u": units}, {}
+    for i, w in enumerate(tokens):
+        if w[0] == m:
+            values[i] = queues[w[1]].pop(0).lower()
+    return tokens, values
+
+
+def slow_contaminated(docs, items, n=8):
+    out = {}
+    made = {i: slow_template(t) for i, t in items}
+    for d, text in docs:
+        tokens, values = slow_template(text)
+        at = {}
+        for p in range(len(tokens) - n + 1):
+            at.setdefault(tuple(tokens[p : p + n]), []).append(p)
+        for i, (own, own_values) in made.items():
+            first, places = {}, {}
+            for q in range(len(own) - n + 1):
+                w = tuple(own[q : q + n])
+                if sum(x[0] != decontaminate.MARK for x in w) >= decontaminate.MIN_ORDINARY:
+                    first.setdefault(w, q)
+                    places.setdefault(w, []).append(q)
+            met, good = {}, set()
+            for w, q in first.items():
+                for p in at.get(w, ()):
+                    if any(k in own_values for k in range(q, q + n)):
+                        met.setdefault(p - q, []).append((w, q))
+                    else:
+                        good.add(w)
+            slots, changed = set(), False
+            for diagonal, hits in met.items():
+                pairs = {(own_values[k], values[k + diagonal]) for _, q in hits for k in range(q, q + n) if k in own_values}
+                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                    good |= {w for w, _ in hits}
+                    slots |= {a for a, _ in pairs}
+                    changed |= any(a != b for a, b in pairs)
+            covered = {k for w in good for q in places[w] for k in range(q, q + n)}
+            if len(covered) >= 0.5 * len(own):
+                out[d, i] = (len(covered), len(slots), changed)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(31)
+    names, units = ["Anna", "Bob Jones", "Carla", "Dan"], ["km", "kg", "hours", "dollars"]
+
+    def question(k):
+        kinds = random.Random(k)
+        return [kinds.choice(["word", "word", "word", "number", "name", "unit"]) if j % 3 else "word" for j in range(kinds.randrange(9, 40))], [kinds.choice(VOCAB) for _ in range(40)]
+
+    def fill(k, values, noise=0.0):
+        kinds, words = question(k)
+        out = []
+        for j, kind in enumerate(kinds):
+            v = values[j % 5]
+            out += {"word": [words[j]], "number": [str(v)], "name": ["so", names[v % 4]], "unit": [str(v), units[v % 4]]}[kind if rng.random() >= noise else "word"]
+        return " ".join(out)
+
+    same = [3, 8, 21, 34, 7]
+    items = [(k, fill(k, same)) for k in range(25)]
+    docs = []
+    for d in range(250):
+        k, values = rng.randrange(25), list(same)
+        style = d % 5
+        if style == 1:
+            values = rng.sample(range(40, 90), 5)
+        elif style == 2:
+            values = [rng.choice([50, 51]) for _ in range(5)]
+        elif style == 3:
+            values[rng.randrange(5)] = rng.choice([3, 99])
+        body = fill(k, values, 0.15 if style == 4 else 0.0)
+        docs.append((d, f"{prose(rng, rng.randrange(20))} 5 then {body} {prose(rng, rng.randrange(20))}" + (f" and {fill(k, rng.sample(range(40, 90), 5))}" if d % 7 == 0 else "")))
+    got = decontaminate.contaminated(frame(spark, [(d, t, "a") for d, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = slow_contaminated(docs, items)
+    assert {(r.doc_id, r.item_id): (r.covered_words, r.slots, r.reparameterised) for r in got} == want
+    assert any(v[2] for v in want.values()) and any(v[1] and not v[2] for v in want.values()) and 50 < len(want) < 250
+
+
 def test_language_and_quality_models(spark, odd, none):
     rng = random.Random(8)
     make = {"xx": "ka ro ti mu", "yy": "sch ung ber eit"}
@@ -196,8 +314,141 @@ def test_language_and_quality_models(spark, odd, none):
     quality = quality_model.predict(df, quality_model.train(df, labels)).collect()
     truth = {i: int(k == "xx") for i, _, k in rows}
     assert np.mean([r.predicted == truth[r.doc_id] for r in quality if r.held_out]) > 0.99 and all(0 <= r.score <= 1 for r in quality)
-    with pytest.raises(ValueError):
-        language.train(none)
+    model = quality_model.train(df, labels)
+    for rows in (odd, none):
+        got = quality_model.predict(rows, model)
+        assert got.count() == rows.count() and {"doc_id", "held_out", "score", "predicted"} <= set(got.columns) and got.filter("NOT score BETWEEN 0 AND 1 OR predicted <> int(score >= 0.3)").count() == 0
+    empty = quality_model.predict(df, model).columns
+    same = quality_model.predict(frame(spark, [(1, None, "s"), (2, "", "s")]), model).collect()
+    assert same[0].score == same[1].score and empty[-1] in ("predicted", "score")
+
+
+def test_models_without_labels(spark, odd, none):
+    rng = random.Random(21)
+    df = frame(spark, [(i, prose(rng, 30), "s") for i in range(60)])
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    for docs in (none, bare):
+        model = language.train(docs)
+        got = language.predict(df, model).collect()
+        assert len(got) == 60 and all((r.lang_pred, r.score, r.rejected) == ("und", 0.0, False) for r in got)
+        assert language.accepted(df, model).count() == 60 and language.accepted(odd, model).count() == odd.filter(r"text rlike '\\p{L}'").count()
+    one = language.predict(df, language.train(df)).collect()
+    assert all(r.lang_pred == "en" and r.score == 1 and not r.rejected for r in one)
+    few = language.predict(df, language.train(df.limit(4))).collect()
+    assert all(r.lang_pred == "en" for r in few)
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 2)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for some in (labels.limit(0), labels.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))):
+        assert {(r.score, r.predicted) for r in quality_model.predict(df, quality_model.train(df, some)).collect()} == {(0.5, 1)}
+        got = toxicity.predict(df.unionByName(frame(spark, [(100, prose(rng, 20) + " you are an idiot you moron", "s")])), toxicity.train(df, some)).collect()
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.doc_id == 100) for r in got)
+    for k in (0, 1):
+        only = labels.filter(f"quality = {k}")
+        assert {(r.score, r.predicted) for r in quality_model.predict(df, quality_model.train(df, only)).collect()} == {(float(k), k)}
+        got = toxicity.predict(df, toxicity.train(df, only)).collect()
+        assert len(got) == 60 and all(0 <= r.score <= 1 for r in got)
+    assert quality_model.predict(none, quality_model.train(none, labels)).count() == 0 and toxicity.predict(none, toxicity.train(none, labels)).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    rng = random.Random(22)
+    rows = [(7, f"text number {i}", "a") for i in range(20_000)] + [(8, "the same text", "a")] * 5_000 + [(100 + i, prose(rng, 20), "ab"[i % 2]) for i in range(4000)] + [(9_000, "long " * 200_000, "b"), (9_001, None, "b"), (None, "no id", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    texts, labels, weights = sample.bounded(df, "label", 300)
+    assert (labels.count("a"), labels.count("b")) == (300, 300) and max(map(len, texts)) < 1000
+    assert (texts, labels, weights) == sample.bounded(df.repartition(7), "label", 300)
+    texts, labels, weights = sample.bounded(df, "label", 10_000)
+    assert 1990 <= len([t for t, y in zip(texts, labels, strict=True) if y == "a"]) <= 2002 and texts.count("the same text") == 1 and len([t for t in texts if t.startswith("text number")]) == 1
+    texts, labels, _ = sample.bounded(df, "label", 10_000, most_chars=20_000)
+    assert sum(map(len, texts)) <= 20_000 + 2 * 1000
+    assert len(set(sample.bounded(df, "label", 10, most_classes=1)[1])) == 1
+
+
+def slow_probabilities(model, text):
+    """The model's scores by loops over characters."""
+    f, low = model.features, 0xFFFFFFFF
+    text = (text or "").replace("\0", " ")
+    text = text.lower() if f.lower else text
+
+    def bucket(h):
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & low
+        h ^= h >> 12
+        return (h * 0x297A2D39 & low) >> (32 - f.bits)
+
+    seen = {}
+    for n in f.orders:
+        for i in range(len(text) - n + 1):
+            h = 0x9E3779B1 * n & low
+            for c in text[i : i + n]:
+                h = (h * 0x01000193 + ord(c)) & low
+            b = bucket(h)
+            seen[b] = seen.get(b, 0) + 1
+    if f.words:
+        before = None
+        for w in "".join(c if ord(c) > 32 and ord(c) != 0xA0 else " " for c in text).split(" "):
+            if w:
+                h = sum((ord(c) + 0x9E37) * pow(0x01000193, i % 64 + 1, 1 << 32) for i, c in enumerate(w)) & low
+                for b in [bucket(h), *([1] if h == before else [])]:
+                    seen[b] = seen.get(b, 0) + 1
+                before = h
+    mean = sum(k * model.table[b] for b, k in seen.items()) / max(sum(seen.values()), 1) + model.bias
+    e = np.exp(mean / model.temperature)
+    return e / e.sum()
+
+
+def test_embedding_scores_equal_loops():
+    rng = random.Random(23)
+    texts = ["", None, "a", "a a a b b", "Ünïcode tëxt 日本 🙂 mixed", "x" * 70 + " " + "x" * 70, "nul\0 nul\xa0nul", *["".join(rng.choice("abc ABÇ.1\n\t") for _ in range(rng.randrange(300))) for _ in range(60)]]
+    for features in (language.FEATURES, quality_model.FEATURES, embed.Features(bits=9, orders=(1, 3), words=True, lower=True)):
+        model = embed.train(texts * 3, [i % 3 for i in range(3 * len(texts))], features, epochs=2)
+        fast = model.probabilities(texts)
+        assert np.allclose(fast, [slow_probabilities(model, t) for t in texts], atol=1e-9)
+
+
+def slow_description(text, learned, stems):
+    """The features of toxicity by loops over words and characters."""
+    words, out = (text or "").split(), dict.fromkeys(toxicity.NAMES, 0.0)
+    if not words:
+        return list(out.values())
+    bare = [w.lower().strip(toxicity.EDGE) for w in words]
+    hits = [i for i, w in enumerate(bare) if w in toxicity.LEXICON]
+    own = [w for w in bare if w in learned]
+    second = [i for i, w in enumerate(bare) if w in toxicity.SECOND_PERSON]
+    stem_counts = [0] * len(stems)
+    for k, s in enumerate(stems):
+        i = 0
+        while i <= len(text.lower()) - len(s):
+            step = text.lower()[i : i + len(s)] == s
+            stem_counts[k] += step
+            i += len(s) if step else 1
+    hidden = [w for w in words if any(len(w) - i > 2 for i in range(len(w))) and any(
+        w[i].isascii() and w[i].isalpha() and w[j].isascii() and w[j].isalpha() and j > i + 1 and all(c in "@$!*+|0134579" for c in w[i + 1 : j]) for i in range(len(w)) for j in range(i + 2, len(w)))]
+    uncovered = sum(1 for w in hidden if w.lower().strip(toxicity.EDGE).translate(toxicity.LEET).replace("*", "") in toxicity.LEXICON | learned)
+    doubled = stretched = run = 0
+    for i, c in enumerate(text):
+        doubled += c in "!?" and text[i + 1 : i + 2] in ("!", "?") and (i == 0 or text[i - 1] not in "!?")
+        run = run + 1 if i and c == text[i - 1] and c.isalpha() else 1
+        stretched += run == 4 and c.isalpha()
+    letters = [c for c in text if c.isalpha()]
+    n = len(words)
+    out |= {
+        "lexicon_rate": 100 * len(hits) / n, "lexicon_log": np.log1p(len(hits)), "lexicon_kinds": len({bare[i] for i in hits}),
+        "learned_rate": 100 * len(own) / n, "learned_log": np.log1p(len(own)), "learned_kinds": len(set(own)),
+        "second_person_rate": 100 * len(second) / n, "near_rate": 100 * sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hits) / n,
+        "stem_rate": 100 * sum(stem_counts) / n, "stem_log": np.log1p(sum(stem_counts)), "stem_kinds": sum(k > 0 for k in stem_counts),
+        "capital_share": sum(c.isupper() for c in text) / max(len(letters), 1), "shouted_share": sum(len(w) > 2 and w.isupper() for w in words) / n,
+        "mark_rate": 100 * sum(c in "!?" for c in text) / n, "doubled_rate": 100 * doubled / n, "hidden_rate": 100 * len(hidden) / n,
+        "hidden_lexicon_log": np.log1p(uncovered), "stretched_rate": 100 * stretched / n, "log_words": np.log(n),
+    }
+    return [float(out[k]) for k in toxicity.NAMES]
+
+
+def test_toxicity_features_equal_loops():
+    rng = random.Random(24)
+    words = ["you", "YOU", "idiot", "Idiot!", "1d10t", "st*pid", "st@pid!", "sooooo", "aaaa", "hill", "green", "moron,", "(scum)", "u", "???", "!!", "!?!", "a1b", "dich", "é", "ßßßß", "x1111y", "$$", "ha!ha"]
+    texts = [None, "", " \n", *[" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(200)]]
+    for t in texts:
+        assert np.allclose(toxicity.describe(t, frozenset({"hill"}), ("gree", "iot")), slow_description(t, frozenset({"hill"}), ("gree", "iot")), atol=1e-9), t
 
 
 def test_embedding_scores_do_not_depend_on_the_batch():

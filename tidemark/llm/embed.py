@@ -140,21 +140,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: Sequence[str | None], labels: Sequence, features: Features, dim: int = 16, epochs: int = 8, rate: float = 0.3, batch: int = 64, seed: int = 7, reject_share: float = 0.002) -> Model:
-    """Fit by stochastic gradient descent; a fifth of the sample sets temperature and rejection.
+    """Fit by stochastic gradient descent; a fifth of the sample sets temperature, bias and rejection.
 
     Step sizes shrink by parameter with the gradients seen so far. The rejection limit is the
     ``reject_share`` quantile of the confidence in held-back documents that were classified
-    rightly. The result depends on the order of ``texts`` and on ``seed`` only.
+    rightly. Under five texts none can be held back and those learned from are taken instead;
+    without any there is a model of no classes. The result depends on the order of ``texts``
+    and on ``seed`` only.
     """
     classes = tuple(sorted(set(labels)))
     if not classes:
-        raise ValueError("no labelled documents to learn from")
+        return Model(features, (), np.zeros((features.size, 0)), np.zeros(0))
     y = np.array([classes.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     rows = [features.counts(t) for t in texts]
     order = rng.permutation(len(rows))
-    held = order[: len(rows) // 5] if len(rows) >= 50 else order[:0]
-    learn = order[len(held) :]
+    held, learn = order[: len(rows) // 5], order[len(rows) // 5 :].copy()
     e = rng.normal(0, 0.1, (features.size, dim)).astype(np.float32)
     w = rng.normal(0, 0.1, (dim, len(classes))).astype(np.float32)
     b = np.log(np.bincount(y[learn], minlength=len(classes)) + 1.0).astype(np.float32)
@@ -176,21 +177,26 @@ def train(texts: Sequence[str | None], labels: Sequence, features: Features, dim
                 seen += grad * grad
                 value -= rate * grad / np.sqrt(seen)
     model = Model(features, classes, (e @ w).astype(np.float64), b.astype(np.float64))
-    if not len(held):
-        return model
+    held = held if len(held) else learn
     logits = model.logits([texts[i] for i in held])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
     temperature = float(min(np.geomspace(0.5, 8, 41), key=loss))
-    p = softmax(logits / temperature)
+    share = (np.bincount(y[held], minlength=len(classes)) + 1) / (len(held) + len(classes))
+    shift = np.zeros(len(classes))
+    for _ in range(20):  # until the mean probabilities are the classes' shares
+        shift += np.log(share / softmax(logits / temperature + shift).mean(0))
+    p = softmax(logits / temperature + shift)
     right = p.argmax(1) == y[held]
     limit = float(np.quantile(p.max(1)[right], reject_share)) if right.any() else 0.0
-    return Model(features, classes, model.table, model.bias, temperature, min(limit, 0.5))
+    return Model(features, classes, model.table, model.bias + temperature * shift, temperature, min(limit, 0.5))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without text, with ``__probs``: a probability for each class; null for a null text is that of an empty one."""
+    """``docs`` without text, with ``__probs``: a probability for each class of the model, if any; a null text is as an empty one."""
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
+    if not model.classes:
+        return docs.select(*names, F.array().cast("array<double>").alias("__probs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,21 +205,3 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], probs], names=[*names, "__probs"])
 
     return in_batches(docs.select(*names, "text")).mapInArrow(run, T.StructType([*keep, T.StructField("__probs", T.ArrayType(T.DoubleType()))]))
-
-
-def bounded_sample(rows: DataFrame, label: str, per_class: int, seed: int = 11) -> tuple[list, list]:
-    """Texts and labels of at most ``per_class`` documents of each class, chosen by a hash of the id.
-
-    ``rows`` has doc_id, text and the label column; null labels and ids are left out. One job
-    counts the classes, one fetches the sample: what reaches the driver is bounded by the
-    number of classes times ``per_class``.
-    """
-    rows = rows.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return [], []
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(int(min(1.0, 1.1 * per_class / n) * (1 << 30))))])
-    got = rows.withColumn("spot", spot).filter(F.col("spot") < rate[F.col(label)]).select("text", label, "spot", "doc_id").toPandas()
-    got = got.sort_values([label, "spot", "doc_id"], kind="stable").groupby(label, sort=True).head(per_class)
-    return got["text"].tolist(), got[label].tolist()

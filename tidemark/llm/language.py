@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed
+from . import embed, sample
 from .common import fold
 
 FEATURES = embed.Features(bits=13, orders=(1, 2, 3, 4), words=False, lower=True)
@@ -15,8 +15,12 @@ UNKNOWN = "und"
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> embed.Model:
-    """Learn from documents with a language whose fold (crc32 of the id, modulo 4) is not 2."""
-    texts, labels = embed.bounded_sample(docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"), "lang", per_language)
+    """Learn from documents with a language whose fold (crc32 of the id, modulo 4) is not 2.
+
+    A bounded sample (sample.bounded) is learned from. Without such documents the model has no
+    language.
+    """
+    texts, labels, _ = sample.bounded(docs.filter(fold(F.col("doc_id"), 4) != 2), "lang", per_language)
     return embed.train(texts, labels, FEATURES)
 
 
@@ -25,15 +29,18 @@ def predict(docs: DataFrame, model: embed.Model) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0 and rejected; others get the
     likeliest learned language, and are rejected when its calibrated probability is under the
-    model's limit. held_out is false for a null id. Columns of these names are replaced.
+    model's limit. With a model of no language they are ``und`` with score 0 and not rejected.
+    held_out is false for a null id; an empty table gives an empty result. Columns of these
+    names are replaced.
     """
     names = ("held_out", "lang_pred", "score", "rejected")
     rows = docs.drop(*names).withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = embed.score(rows, model)
-    best = F.array_max("__probs")
+    best = F.coalesce(F.array_max("__probs"), F.lit(0.0))
+    likeliest = F.element_at(F.array(*[F.lit(x) for x in model.classes]), F.array_position("__probs", best).cast("int")) if model.classes else F.lit(UNKNOWN)
     return (
         out.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
-        .withColumn("lang_pred", F.when(F.col("__letters"), F.array(*[F.lit(x) for x in model.classes])[F.array_position("__probs", best).cast("int") - 1]).otherwise(F.lit(UNKNOWN)))
+        .withColumn("lang_pred", F.when(F.col("__letters"), likeliest).otherwise(F.lit(UNKNOWN)))
         .withColumn("score", F.when(F.col("__letters"), best).otherwise(0.0))
         .withColumn("rejected", ~F.col("__letters") | (best < model.reject_below))
         .drop("__probs", "__letters")

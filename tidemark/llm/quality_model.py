@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import embed
+from . import embed, sample
 from .common import fold
 
 FEATURES = embed.Features(bits=14, orders=(2, 3, 4), words=True, lower=False)
@@ -27,30 +27,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tuple[list, list, list[float]]:
-    """A bounded sample by label: texts, labels and weights; the ids are chosen before any text is read.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> embed.Model:
+    """Learn quality from a bounded sample (sample.bounded), then shift the bias from the sample's shares of labels to their own.
 
-    A row's weight is its label's share of all rows that may be learned from / its share of the
-    sample, so that weighted the sample has the labels' own shares, however many are drawn.
+    Without usable labels the model has no class; with one label it has that one.
     """
-    known = labelled(docs.withColumn("text", F.lit("")), labels, label).select("doc_id", label).distinct()
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    chosen = None
-    for k in sorted(counts):
-        part = known.filter(F.col(label) == k).withColumn("spot", spot).orderBy("spot", "doc_id").limit(per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return [], [], []
-    ids = F.broadcast(chosen.select("doc_id", label))  # at most per_label rows of each label
-    got = docs.select("doc_id", "text").join(ids, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable", na_position="first")
-    weight = got[label].map({k: n / min(n, per_label) for k, n in counts.items()})
-    return got["text"].tolist(), got[label].tolist(), (weight / weight.mean()).tolist()
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> embed.Model:
-    """Learn quality, then shift the bias to the labels' own shares, which the sample levels."""
-    texts, y, weights = sample(docs, labels, "quality", per_label)
+    texts, y, weights = sample.bounded(labelled(docs, labels, "quality"), "quality", per_label)
     model = embed.train(texts, y, FEATURES, epochs=6)
     share = dict(zip(y, weights, strict=True))
     shift = np.log([share[k] for k in model.classes])
@@ -60,10 +42,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> emb
 def predict(docs: DataFrame, model: embed.Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without text, with held_out, score (probability of label 1) and predicted.
 
-    A null text scores as an empty one; held_out is false for a null id. Columns of these names are replaced.
+    A null text scores as an empty one; held_out is false for a null id; an empty table gives an
+    empty result. Every score is 0.5 from a model of no class, 0 or 1 from one that knows that
+    label only. Columns of these names are replaced.
     """
     rows = docs.drop("held_out", "score", "predicted")
-    score = F.get("__probs", F.lit(model.classes.index(1))) if 1 in model.classes else F.lit(0.0)
+    score = F.get("__probs", F.lit(model.classes.index(1))) if 1 in model.classes else F.lit(0.0 if model.classes else 0.5)
     return (
         embed.score(rows, model)
         .withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))

@@ -293,7 +293,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     """
     spark, make = docs.sparkSession, ids_of(tokenizer_path)
     kind, n_ids = make.kind, make.n_ids
-    rows, rows_path = stored(_tokenised(docs, tokenizer_path))
+    rows, rows_path = stored(_tokenised(docs, tokenizer_path), "zstd")
     counts = np.zeros(n_ids, np.int64)
     used = rows.filter("used IS NOT NULL").select(F.explode(F.arrays_zip("used", "times")).alias("x"))
     for i, n in used.groupBy("x.used").agg(F.sum("x.times")).collect():  # a row an id of the vocabulary

@@ -2,7 +2,9 @@
 
 Features are rates and counts of a text: words of a lexicon (given and learned), parts of words learned, such words
 near the second person, capitals, punctuation, and spellings that hide words. The trees and the
-calibration are Spark ML's; the sample they learn from is bounded.
+calibration are Spark ML's; the sample they learn from is bounded. Beside it they always see
+PRIOR, short texts made of the given lexicon with the weight of one document a label, so there
+is one way to fit, whatever labels there are.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold, in_batches
-from .quality_model import sample
+from .quality_model import labelled
+from .sample import bounded
 
 #: At most so many documents of each label are learned from.
 PER_LABEL = 3000
@@ -38,6 +41,12 @@ LEXICON = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself yourselves youre you're u ur ya thou du dich dir dein euch tu te toi ton vous votre tú ti usted".split())
 LEET = str.maketrans("@4013$5!7+|", "aaoiessittl")
+_PLAIN = ("the plain line about a green hill and you " * 20).split()
+#: (text, label) that stand in where labels are lacking: plain words of many lengths, and the same with words of the lexicon.
+PRIOR = tuple((" ".join(_PLAIN[:n]), 0) for n in range(1, 161)) + tuple(
+    (" ".join([*_PLAIN[: n // 2], *words.split(), *_PLAIN[n // 2 : n]]), 1)
+    for i, w in enumerate(sorted(LEXICON)) for n in (2 * i % 160, (2 * i + 41) % 160) for words in (w, f"you are a {w}")
+)
 NEAR = 5
 EDGE = ".,;:!?\"'()[]{}<>«»“”„…—–-*#%&|~_`"
 _DOUBLED = re.compile(r"[!?]{2,}")
@@ -132,23 +141,20 @@ def learn_stems(texts: Sequence[str | None], labels: Sequence[int], sizes: Seque
 class Model:
     learned: frozenset[str]
     stems: tuple[str, ...]
-    trees: object | None
-    calibration: object | None
+    trees: GBTClassificationModel
+    calibration: IsotonicRegressionModel
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from labelled documents whose fold (crc32 of the id, modulo 5) is not 0.
 
-    Of a bounded sample two fifths give the learned lexicon, two fifths the trees and a fifth
-    the calibration, so that trees see lexicon rates as they are in new text. Trees and
-    calibration weigh the rows by the labels' own shares, which the sample levels. With fewer
-    than eight of either label there is nothing to fit, and scores come from the given lexicon.
+    Of a bounded sample (sample.bounded) two fifths give the learned lexicon, two fifths the
+    trees and a fifth the calibration, so that trees see lexicon rates as they are in new text.
+    Trees and calibration weigh the rows by the labels' own shares, which the sample levels.
+    Where a label is missing, what is known of it is PRIOR.
     """
-    spark = docs.sparkSession
-    texts, y, weights = sample(docs, labels, "toxic", per_label)
+    texts, y, weights = bounded(labelled(docs, labels, "toxic"), "toxic", per_label)
     y = [int(v > 0) for v in y]
-    if min(sum(y), len(y) - sum(y)) < 8:
-        return Model(frozenset(), (), None, None)
     place = {0: 0, 1: 0}
     parts: dict[str, list[int]] = {"lexicon": [], "trees": [], "calibration": []}
     for i, v in enumerate(y):
@@ -157,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     some = [texts[i] for i in parts["lexicon"]], [y[i] for i in parts["lexicon"]]
     learned, stems = learn_lexicon(*some), learn_stems(*some)
     rows = [(float(y[i]), weights[i], name, describe(texts[i], learned, stems)) for name in ("trees", "calibration") for i in parts[name]]
-    data = spark.createDataFrame(rows, "label double, weight double, part string, __vector array<double>").coalesce(2)
+    share = {v: sum(1 for _, k in PRIOR if k == v) for v in (0, 1)}
+    rows += [(float(v), 1 / share[v], name, describe(t, learned, stems)) for name in ("trees", "calibration") for t, v in PRIOR]
+    data = docs.sparkSession.createDataFrame(rows, "label double, weight double, part string, __vector array<double>").coalesce(2)
     data = data.withColumn("__vector", array_to_vector("__vector")).cache()
     learner = GBTClassifier(featuresCol="__vector", weightCol="weight", predictionCol="__class", maxIter=30, maxDepth=3, stepSize=0.2, maxBins=64, seed=5)
     trees = learner.setProbabilityCol("__probability").setRawPredictionCol("__margin").fit(data.filter("part = 'trees'"))
@@ -170,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without text, with held_out, score and predicted; columns of these names are replaced.
 
-    A null text scores as an empty one; held_out is false for a null id. A thousandth of the
-    uncalibrated probability orders documents that the calibration ties.
+    A null text scores as an empty one; held_out is false for a null id; an empty table gives an
+    empty result. A thousandth of the uncalibrated probability orders documents that the
+    calibration ties.
     """
     rows = docs.drop("held_out", "score", "predicted", "__features", "__vector")
     keep = [f for f in rows.schema.fields if f.name != "text"]
@@ -184,11 +193,8 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], made], names=[*names, "__features"])
 
     out = in_batches(rows.select(*names, "text")).mapInArrow(run, T.StructType([*keep, T.StructField("__features", T.ArrayType(T.DoubleType()))]))
-    if model.trees is None:
-        out = out.withColumn("score", 1 - F.exp(-F.exp(F.col("__features")[1]) + 1))
-    else:
-        scored = model.trees.transform(out.withColumn("__vector", array_to_vector("__features"))).withColumn("__raw", vector_to_array("__probability")[1])
-        out = model.calibration.transform(scored).withColumn("score", 0.999 * F.col("__calibrated") + 0.001 * F.col("__raw"))
+    scored = model.trees.transform(out.withColumn("__vector", array_to_vector("__features"))).withColumn("__raw", vector_to_array("__probability")[1])
+    out = model.calibration.transform(scored).withColumn("score", 0.999 * F.col("__calibrated") + 0.001 * F.col("__raw"))
     return (
         out.select(*names, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
         .withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
