@@ -15,12 +15,8 @@ from tidemark.llm.common import materialise, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts; those it rejects go. Without any labelled language all with a letter stay."""
-    try:
-        model = language.train(docs)
-    except ValueError:
-        return docs.filter(docs["text"].rlike(r"\p{L}"))
-    return language.accepted(docs, model)
+    """Documents whose language the model accepts; those it rejects go. Where no language is labelled all with a letter stay."""
+    return language.accepted(docs, language.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
