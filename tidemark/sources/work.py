@@ -42,3 +42,23 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that stored() wrote and nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables that are needed for a while: ``with Scratch(spark) as tables`` deletes those of store() at the end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """As materialise(), until the end of the block."""
+        out, path = stored(df)
+        self.paths.append(path)
+        return out
