@@ -1,11 +1,16 @@
 """Similarity self-join of documents on word-shingle sets, by PartEnum signatures.
 
 Two sets link when their Jaccard similarity is at least 3/4, so with sizes a and b they differ
-in at most (a + b) / 7 features. Sets are put in bands of equal size (a factor of two); a set
+in at most k = (a + b) / 7 features. Sets are put in bands of equal size (a factor of two); a set
 near its band's top also enters the next, so two that link share a band. In a band the feature
-domain is cut into m parts, the same for all; at most d parts can differ, hence of the first
-d + c parts that either set occupies at least c are equal. A signature is one occupied part
-with all the set's features in it; each set emits its first d + c. Empty parts emit nothing.
+domain is cut into first-level parts, the same for all, and each of these into three pieces. Of
+any parts at most k / 2 hold two differences or more; in any other, all differences lie in one
+piece, so the two sets agree on one of the part's three subsets of two pieces. A signature is
+such a subset with the set's features in it, unless it has none. A part in which a set has
+features in one piece only promises nothing, so each set takes the first parts of which enough
+promise: then it shares at least c signatures with every set that links with it. Small sets,
+and sets that would need more parts than there are, use parts of about one feature instead, the
+first d + c that they occupy, of which any linked pair has c in common.
 
 What keeps the join linear: equal sets are one class; a set needs c shared signatures to stay;
 features that only one of the remaining sets has are counted, and as they lie in its difference
@@ -13,6 +18,8 @@ with any other, a set with many of them goes too; a signature's sets are first c
 of them only, and sets already in a component are not compared again: a signature's largest
 component is met by the others only. Only what is still apart, and could link by those counts
 and by a sketch that bounds the difference from below, is paired, by at least c shared signatures.
+Signatures that very many sets have are found on a sample and dealt to many tasks; what else is
+known by signature comes from aggregates that combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -26,15 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import discard, in_batches, materialise, stored
+from .common import Scratch, discard, in_batches, materialise, stored
 
 SHINGLE = 5
 #: Texts are hashed about so many bytes at a time; a longer text is hashed alone.
 PIECE = 1 << 18
 #: Ids of the documents to verify are broadcast up to this many (16 MB), else shuffled.
 BROADCAST_IDS = 1_000_000
-#: Bands whose top is at most SMALL have parts of one feature and c = 1; others TOP_FILL features a part at the top.
-SMALL, TOP_FILL, SHARED = 64, 2.0, 0.02
+#: Bands whose top is at most SMALL have parts of about one feature and c = 1; in others a set at the top has FILL features a part, in PIECES pieces, and c is this share of the top.
+SMALL, FILL, PIECES, SHARED = 64, 5.4, 3, 0.015
+#: A signature is hot if this share of a sample (a text in SAMPLED, by hash) has it, and so many sets at least; hot ones are dealt to SALTS tasks.
+HOT_SHARE, HOT_LEAST, SAMPLED, SALTS = 1 / 1000, 16, 64, 64
 #: Rounds of dropping sets with too few shared signatures, and of comparing with one set a signature.
 PEEL, HUBS = 2, 1
 #: Words of 64 bits of a sketch.
@@ -116,17 +125,34 @@ def fingerprint(s: np.ndarray) -> int:
         return int(_mix(np.array([np.add.reduce(_mix(s ^ _K1)) + _U(len(s)) * _K2]))[0].astype(np.int64))
 
 
-def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
-    """(signatures as signed 64-bit, their five low bits the band; bit set of bands where the set occupies too few parts for d + c).
-
-    Where even d + 1 parts are not occupied, the set adds signatures of ever finer parts until
-    they are, and any two sets share the coarser of their finest levels.
+def _enumerated(s: np.ndarray, parts: int, need: int) -> tuple[np.ndarray, bool]:
+    """(hash of each subset of pieces, whether ``need`` parts promise) over the first parts that do."""
+    cell = ((s >> _U(32)) * _U(parts * PIECES) >> _U(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    sums, sizes = np.zeros(parts * PIECES, np.uint64), np.zeros(parts * PIECES, np.int64)
+    sums[cell[first]] = np.add.reduceat(s, first)
+    sizes[cell[first]] = np.diff(np.append(first, len(s)))
+    sums, sizes = sums.reshape(parts, PIECES), sizes.reshape(parts, PIECES)
+    promise = np.cumsum((sizes > 0).sum(1) >= 2)
+    enough = promise[-1] >= need
+    take = int(np.searchsorted(promise, need)) + 1 if enough else parts
+    rest = sums[:take].sum(1, keepdims=True, dtype=np.uint64) - sums[:take]
+    some = sizes[:take].sum(1, keepdims=True) > sizes[:take]
+    return _mix(rest + (np.arange(1, take + 1, dtype=np.uint64) * _K1)[:, None])[some], bool(enough)
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """Distinct signatures as signed 64-bit, their five low bits the band.
+
+    Sets of parts of about one feature come in levels: where d + c parts are not occupied, a set
+    adds those of ever finer parts until they are, and any two sets share the coarser of their
+    finest levels. Level 0 is that of the two-level parts, for bands that have them.
     """
     n = len(s)
     if not n:
-        return np.empty(0, np.int64), 0
+        return np.empty(0, np.int64)
     band = n.bit_length() - 1
-    out, weak = [], 0
+    out = []
     top = 2 << band
     most = 4 * n // 3
     plan = [(band, (n + min(most, top - 1)) // 7)]
@@ -137,38 +163,37 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
         for k, d in plan:
             top = 2 << k
             c = required(top)
-            parts = 64 * top if top <= SMALL else int(top / TOP_FILL)
-            level = 0
+            mark = lambda x, level, k=k: ((_mix(x + _U(1 + 32 * level + k) * _K3) & ~_U(31)) | _U(k)).view(np.int64)
+            if top > SMALL:
+                found, enough = _enumerated(s, int(top / FILL) + 2, d // 2 + c)
+                out.append(mark(found, 0))
+                if enough:
+                    continue
+            parts, level = 64 * top, 1
             while True:
                 part = high * _U(parts) >> _U(32) if parts < 1 << 31 else s
                 group = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                if len(group) < d + c:
-                    weak |= 1 << k
-                full = len(group)
-                group = np.append(group, n)[: d + c + 1]
-                sums = np.add.reduceat(s[: group[-1]], group[:-1]) if len(group) > d + c or group[-1] == n else np.add.reduceat(s, group)
-                sums = sums[: min(full, d + c)]
-                sig = _mix(_mix(sums + part[group[: len(sums)]] * _K1) + _U(1 + 32 * level + k) * _K3)
-                out.append(((sig & ~_U(31)) | _U(k)).view(np.int64))
-                if full > d or part is s:
+                sums = np.add.reduceat(s, group)[: d + c]
+                out.append(mark(_mix(sums + part[group[: len(sums)]] * _K1), level))
+                if len(group) >= d + c or part is s:
                     break
                 parts, level = parts * 8, level + 1
-    return np.concatenate(out), weak
+    return np.unique(np.concatenate(out))
 
 
 # ---- on Spark
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n, fp, weak) of each row."""
+    """(doc_id, text_hash, n, fp) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), fingerprint(s), signatures(s)[1]) for s in shingle_sets(batch.column("text").to_pylist())]
-            made = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in made)], names=["doc_id", "text_hash", "n", "fp", "weak"])
+            rows = [(len(s), fingerprint(s)) for s in shingle_sets(batch.column("text").to_pylist())]
+            made = list(zip(*rows, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in made)], names=["doc_id", "text_hash", "n", "fp"])
 
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("text_hash", "n", "fp", "weak"))])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("text_hash", "n", "fp"))])
     return in_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")).mapInArrow(run, schema)
 
 
@@ -184,7 +209,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 if len(s) and fp not in seen:
                     seen.add(fp)
                     fps.append(fp)
-                    sigs.append(signatures(s)[0])
+                    sigs.append(signatures(s))
             ends = np.cumsum([0, *map(len, sigs)])
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), lists], names=["fp", "sigs"])
@@ -192,21 +217,36 @@ def _signed(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("text")).mapInArrow(run, "fp long, sigs array<long>").select(F.explode("sigs").alias("sig"), "fp")
 
 
+def _hot(docs: DataFrame) -> DataFrame:
+    """(sig): signatures that at least HOT_SHARE of the sampled sets have, so at most 1 / HOT_SHARE times the signatures of a set."""
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    least = max(HOT_LEAST, int(HOT_SHARE * some.count()))
+    return _signed(some).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select("sig")
+
+
+def _first_shared(docs: DataFrame, hot: DataFrame) -> DataFrame:
+    """(sig, fp) of signatures that more than one set has. Those of ``hot`` (written out) are known to be, and are dealt by set."""
+    rows = _signed(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
+    same = W.partitionBy("sig", "salt")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("fp", F.lit(SALTS))).otherwise(F.lit(-1).cast("long")))
+    return rows.withColumns({"low": F.min("fp").over(same), "high": F.max("fp").over(same)}).filter("hot OR low <> high").select("sig", "fp").distinct()
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """The (sig, fp) rows whose signature more than one set has."""
-    same = W.partitionBy("sig")
-    return rows.select("sig", "fp", F.min("fp").over(same).alias("low"), F.max("fp").over(same).alias("high")).filter("low <> high").select("sig", "fp")
+    """The (sig, fp) rows whose signature more than one set has. ``rows`` is written out."""
+    more = rows.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("sig")
+    return rows.join(more, "sig", "left_semi")
 
 
-def _need(band, weak: int):
+def _need(band):
     """The shared signatures that two linked sets have at least in a band."""
-    return F.array(*[F.lit(1 if weak >> k & 1 else required(2 << k)) for k in range(32)])[band.cast("int")]
+    return F.array(*[F.lit(required(2 << k)) for k in range(32)])[band.cast("int")]
 
 
-def _enough(rows: DataFrame, weak: int) -> DataFrame:
+def _enough(rows: DataFrame) -> DataFrame:
     """Rows of sets with as many shared signatures in the band as any set that links needs."""
     rows = rows.withColumn("band", F.col("sig").bitwiseAND(31))
-    keep = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _need(F.col("band"), weak)).select("fp", "band")
+    keep = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _need(F.col("band"))).select("fp", "band")
     return rows.join(keep, ["fp", "band"], "left_semi").select("sig", "fp")
 
 
@@ -217,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
     so chains shorten by half. Rounds are written to the shared folder.
     """
     spark = edges.sparkSession
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    both, both_path = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels, path = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "v"))
     while True:
         heard = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("heard"))
@@ -228,13 +268,15 @@ def components(edges: DataFrame) -> DataFrame:
         discard(spark, path)
         labels, path = fresh.select("v", "label"), fresh_path
         if done:
+            discard(spark, both_path)
             return labels
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(fp, text) of one row of each class of ``ids`` (fp, doc_id, text_hash), written out."""
-    found = docs.select("doc_id", "text").join(_small(ids), "doc_id").filter(F.xxhash64("text") == F.col("text_hash"))
-    return materialise(found.select("fp", "text").dropDuplicates(["fp"]))
+    """(fp, text) of one row of each class of ``ids`` (fp, doc_id, text_hash)."""
+    rows, of = docs.select("doc_id", "text"), _small(ids.withColumnRenamed("doc_id", "id"))
+    found = rows.join(of, (F.xxhash64(rows["text"]) == of["text_hash"]) & rows["doc_id"].eqNullSafe(of["id"]))
+    return found.select("fp", "text").dropDuplicates(["fp"])
 
 
 def _own_features(texts: DataFrame) -> DataFrame:
@@ -267,7 +309,7 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose texts' sets link. Written out."""
+    """The pairs (a, b) of classes whose texts' sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +325,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     with_b = pairs.join(texts.withColumnsRenamed({"fp": "b", "text": "tb"}), "b")
-    return materialise(with_b.join(texts.withColumnsRenamed({"fp": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return with_b.join(texts.withColumnsRenamed({"fp": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 #: What two sets of sizes n and m, with p and q features of their own, must satisfy to link: their
@@ -291,16 +333,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _MAY_LINK = "4 * {n} >= 3 * {m} AND 4 * {m} >= 3 * {n} AND 7 * ({p} + {q}) <= {n} + {m} AND 7 * ({n} - {p}) >= 3 * ({n} + {m}) AND 7 * ({m} - {q}) >= 3 * ({n} + {m})"
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(shared: DataFrame, labels: DataFrame | None, tables: Scratch) -> DataFrame:
     """``shared`` (sig, fp, n, own) with each set's component, without rows that cannot link beyond it.
 
     A signature that one component has alone goes, and so do sets too poor in shared features
     to link even with the signature's smallest set.
     """
     rows = shared.withColumn("label", F.col("fp")) if labels is None else shared.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    same = W.partitionBy("sig")
-    rows = rows.withColumn("least", F.min("n").over(same)).filter("7 * (n - own) >= 3 * (n + least)")
-    return rows.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).filter("low <> high").drop("low", "high", "least")
+    rows = tables.store(rows)
+    rows = tables.store(rows.join(rows.groupBy("sig").agg(F.min("n").alias("least")), "sig").filter("7 * (n - own) >= 3 * (n + least)").drop("least"))
+    more = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    return tables.store(rows.join(more, "sig", "left_semi"))
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -309,43 +352,44 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         sets.filter("n > 0").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"), F.max("n").alias("n"))
         .select("fp", "n", "m.doc_id", "m.text_hash")
     )
-    weak = sets.agg(F.bit_or("weak")).first()[0] or 0
-    shared = materialise(_shared(_signed(docs)).distinct())
-    for _ in range(PEEL):
-        shared = materialise(_shared(_enough(shared, weak)))
-    ids = materialise(classes.join(shared.select("fp").distinct(), "fp", "left_semi"))
-    texts = _texts(docs, ids.drop("n"))
-    sized = ids.join(_own_features(texts), "fp", "left").select("fp", "n", F.coalesce("own", F.lit(0)).alias("own")).filter("4 * own <= n")
-    shared = materialise(shared.join(sized, "fp"))
-    labels, edges, tried = None, None, None
-    for turn in range(HUBS):
-        rows = _labelled(shared, labels)
-        # A signature's hub is the set with the fewest features of its own, the next turn one of a random component.
-        rank = F.col("own") / F.col("n") if turn == 0 else F.xxhash64("label", F.lit(turn)).cast("double")
-        hub = F.min(F.struct(rank.alias("rank"), "fp", "label", "n", "own")).over(W.partitionBy("sig")).alias("hub")
-        near = rows.select("fp", "label", "n", "own", hub).filter("label <> hub.label AND " + _MAY_LINK.format(n="n", m="hub.n", p="own", q="hub.own"))
-        best = near.groupBy("fp", F.col("hub.fp").alias("other")).count().groupBy("fp").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-        pairs = materialise(best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-        tried = pairs if tried is None else tried.union(pairs)
-        good = _verified(pairs, texts)
-        edges = good if edges is None else materialise(edges.union(good))
-        labels = components(edges)
-    rows = _labelled(shared, labels).withColumn("rows", F.count(F.lit(1)).over(W.partitionBy("sig", "label")))
-    rows = rows.withColumn("major", F.col("label") == F.max(F.struct("rows", "label")).over(W.partitionBy("sig"))["label"]).drop("rows")
-    rows = materialise(rows.join(materialise(_sketches(texts)), "fp"))
-    # Of two components at least one is not the signature's largest, so that one's own rows are never paired.
-    minor = rows.filter("NOT major").drop("major").withColumnRenamed("fp", "a")
-    other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"} | {f"x{i}": f"y{i}" for i in range(SKETCH)})
-    # Two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one.
-    differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
-    apart = (
-        minor.join(other, "sig")
-        .filter("label <> label_b AND (major OR a < b) AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sig").bitwiseAND(31).alias("band")).count()
-        .filter(F.col("count") >= _need(F.col("band"), weak)).select("a", "b").distinct()
-    )
-    rest = materialise(apart.join(tried, ["a", "b"], "left_anti"))
-    return edges if rest.isEmpty() else materialise(edges.union(_verified(rest, texts)))
+    with Scratch(docs.sparkSession) as tables:
+        shared = tables.store(_first_shared(docs, tables.store(_hot(docs))))
+        for _ in range(PEEL):
+            shared = tables.store(_shared(tables.store(_enough(shared))))
+        ids = tables.store(classes.join(shared.select("fp").distinct(), "fp", "left_semi"))
+        texts = tables.store(_texts(docs, ids.drop("n")))
+        sized = ids.join(_own_features(texts), "fp", "left").select("fp", "n", F.coalesce("own", F.lit(0)).alias("own")).filter("4 * own <= n")
+        shared = tables.store(shared.join(sized, "fp"))
+        labels, edges, tried = None, None, None
+        for turn in range(HUBS):
+            rows = _labelled(shared, labels, tables)
+            # A signature's hub is the set with the fewest features of its own, the next turn one of a random component.
+            rank = F.col("own") / F.col("n") if turn == 0 else F.xxhash64("label", F.lit(turn)).cast("double")
+            hub = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "fp", "label", "n", "own")).alias("hub"))
+            near = rows.join(hub, "sig").filter("label <> hub.label AND " + _MAY_LINK.format(n="n", m="hub.n", p="own", q="hub.own"))
+            best = near.groupBy("fp", F.col("hub.fp").alias("other")).count().groupBy("fp").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+            pairs = tables.store(best.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
+            tried = pairs if tried is None else tried.union(pairs)
+            good = tables.store(_verified(pairs, texts))
+            edges = good if edges is None else tables.store(edges.union(good))
+            labels = components(edges)
+        rows = _labelled(shared, labels, tables)
+        major = rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max(F.struct("k", "label"))["label"].alias("major"))
+        rows = rows.join(major, "sig").withColumn("major", F.col("label") == F.col("major"))
+        rows = tables.store(rows.join(tables.store(_sketches(texts.join(rows.select("fp").distinct(), "fp", "left_semi"))), "fp"))
+        # Of two components at least one is not the signature's largest, so that one's own rows are never paired.
+        minor = rows.filter("NOT major").drop("major").withColumnRenamed("fp", "a")
+        other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"} | {f"x{i}": f"y{i}" for i in range(SKETCH)})
+        # Two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one.
+        differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
+        apart = (
+            minor.join(other, "sig")
+            .filter("label <> label_b AND (major OR a < b) AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
+            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sig").bitwiseAND(31).alias("band")).count()
+            .filter(F.col("count") >= _need(F.col("band"))).select("a", "b").distinct()
+        )
+        rest = tables.store(apart.join(tried, ["a", "b"], "left_anti"))
+        return materialise(edges if rest.isEmpty() else edges.union(_verified(rest, texts)))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -359,41 +403,45 @@ def _classified(docs: DataFrame) -> DataFrame:
     sets = materialise(_sets(docs))
     labels = components(links(docs, sets)).withColumnRenamed("v", "fp")
     smallest = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("smallest"))
-    labelled = smallest.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    of = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    of = materialise(labelled.join(of, "label").select("fp", "label", "component_id"))
-    out = sets.join(of, "fp", "left")
+    linked = materialise(smallest.join(labels, "fp"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    of = linked.groupBy("label").agg(F.min("smallest").alias("component_id")).select("label", "component_id", salts)  # a component's classes are met in SALTS tasks
+    linked = linked.withColumn("salt", F.pmod("fp", F.lit(SALTS))).join(of, ["label", "salt"]).select("fp", "label", "component_id")
+    alone = smallest.join(labels, "fp", "left_anti").select("fp", F.col("fp").alias("label"), F.col("smallest").alias("component_id"))
+    out = sets.join(materialise(linked.unionByName(alone)), "fp", "left")
     return out.select("doc_id", "text_hash", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
-    component_id is the smallest doc_id that links reach, the row's own included. Null texts
-    and texts without words have no shingles and link with nothing; rows of equal text are in
-    one component; a null doc_id is never the smallest. Only doc_id and text are read.
+    component_id is the smallest doc_id that links reach, the row's own included; it is null
+    where they reach none. Null texts and texts without words have no shingles and link with
+    nothing; rows of equal text are in one component; rows with a null doc_id link as any
+    others, but a null is never the smallest. Only doc_id and text are read.
     """
     return _classified(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: of its smallest doc_id, and of that one text.
+    """``docs`` with one row of each component: of its smallest doc_id, and of that the text of smallest hash.
 
-    Rows without words stay, and so do rows of a component that has no doc_id at all.
+    In a component without any doc_id the text of smallest hash stays. Rows without words stay.
     """
-    found = materialise(_classified(docs).filter("n > 0 AND component_id IS NOT NULL"))
-    texts = found.groupBy("label", "component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    kept = texts.filter("doc_id = component_id").groupBy("label").agg(F.min("text_hash").alias("kept"))
-    texts = materialise(texts.join(kept, "label").withColumn("keep", F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept")), F.lit(False))))
-    go = _small(materialise(texts.filter("NOT keep").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))))
-    match = lambda side: docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"])
-    again = materialise(texts.filter("keep AND rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
+    found = materialise(_classified(docs).filter("n > 0").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
+    kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))).alias("m")).select("m.__id", "m.__hash")
+    kept = _small(materialise(kept))
+    match = lambda left, right: left["doc_id"].eqNullSafe(right["__id"]) & (left["text_hash"] == right["__hash"])
+    named = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    again = materialise(named(found.filter("rows > 1").join(kept, match(found, kept), "left_semi")))
+    gone = found.join(kept, match(found, kept), "left_anti")
+    of = lambda side: docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"])
     if again.isEmpty():
-        return docs.join(go, match(go), "left_anti")
-    once = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[c for c in docs.columns if c != "doc_id"])
-    repeated = docs.join(again, match(again), "left_semi").withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*docs.columns)
-    gone = _small(materialise(go.union(again)))
-    return docs.join(gone, match(gone), "left_anti").unionByName(repeated)
+        go = _small(materialise(named(gone)))
+        return docs.join(go, of(go), "left_anti")
+    go = _small(materialise(named(gone).union(again)))
+    once = docs.join(again, of(again), "left_semi").groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return docs.join(go, of(go), "left_anti").unionByName(once)
 
 
 #: DuckDB SQL for the rows of op7: all pairs by shared shingles, then what they reach.
