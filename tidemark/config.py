@@ -12,6 +12,8 @@ WEEK = 7 * DAY
 class Settings:
     """Defaults are those of the full-size log; FIXTURE suits the small test tables."""
 
+    #: Whether items without a vector leave before all else.
+    need_vectors: bool = False
     min_played: int = 50
     min_user: int = 5
     min_item: int = 5

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import discard, stored
+from .order import percentiles
 
 KEY = ("uid", "timestamp", "item_id")
 
@@ -30,10 +31,9 @@ def loss_by_user(before: DataFrame, after: DataFrame) -> DataFrame:
 def loss_profile(losses: DataFrame, heavy: float = 0.80) -> DataFrame:
     """One row: users, those fully lost, survivors who lost ``heavy`` or more, and percentiles of survivors' loss."""
     survivor = F.col("n_after") > 0
-    p = F.percentile(F.when(survivor, F.col("loss")), F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)]))
-    return losses.agg(
-        F.count(F.lit(1)).alias("users"), F.count_if(~survivor).alias("fully_lost"), F.count_if(survivor & (F.col("loss") >= heavy)).alias("heavy_loss"), p.alias("p"),
-    ).select("users", "fully_lost", "heavy_loss", *[F.col("p")[i].alias(f"loss_p{x}") for i, x in enumerate((25, 50, 75, 95))])
+    p = percentiles(losses.filter(survivor), "loss", (0.25, 0.5, 0.75, 0.95)).select(*[F.col("p")[i].alias(f"loss_p{x}") for i, x in enumerate((25, 50, 75, 95))])
+    counts = losses.agg(F.count(F.lit(1)).alias("users"), F.count_if(~survivor).alias("fully_lost"), F.count_if(survivor & (F.col("loss") >= heavy)).alias("heavy_loss"))
+    return counts.join(p, how="cross")  # one row each
 
 
 def exact_dedup(log: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import cut_to_targets, hits
+from .order import percentiles
+from .ranking import hits
 
 
 def _first(k: int) -> Column:
@@ -58,35 +59,45 @@ def parse(names: Sequence[str]) -> list[tuple[str, int]]:
 
 
 def per_user(ranked: DataFrame, targets: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(uid, a column for each name@k as name_k) of users with targets, in one pass over their hits."""
+    """(uid, a column for each name@k as name_k) of users with targets, in one pass over their hits.
+
+    Every user with targets needs a ranking that reaches the largest k; one who lacks it fails
+    the job that reads the result.
+    """
     wanted = [(m, k) for m, k in parse(names) if m != "coverage"]
-    width = ranked.agg(F.max("rank")).first()[0] or 0
-    if bad := [k for _, k in wanted if not 0 < k <= width]:
-        raise ValueError(f"cut-offs {bad} outside 1..{width}")
+    if bad := [k for _, k in wanted if k <= 0]:
+        raise ValueError(f"cut-offs {bad}")
     n = targets.select("uid", "item_id").distinct().groupBy("uid").agg(F.count(F.lit(1)).alias("n_targets"))
-    rows = hits(cut_to_targets(ranked, targets), targets).join(n, "uid")
-    return rows.groupBy("uid").agg(*[METRICS[m](k).cast("double").alias(f"{m}_{k}") for m, k in wanted])
+    rows = n.join(hits(ranked, targets), "uid", "left").groupBy("uid").agg(*[METRICS[m](k).cast("double").alias(f"{m}_{k}") for m, k in wanted], F.max("rank").alias("__reach"))
+    most = max(k for _, k in wanted)
+    short = F.when(F.col("__reach").isNull(), "a user with targets has no ranking").when(F.col("__reach") < most, f"cut-off {most} is beyond a user's ranking")
+    sound = lambda c: F.when(short.isNull(), F.col(c)).otherwise(F.raise_error(short).cast("double")).alias(c)
+    return rows.select("uid", *[sound(f"{m}_{k}") for m, k in wanted])
 
 
-def coverage(ranked: DataFrame, k: int, n_items: int) -> DataFrame:
-    """One row: distinct items in the top k of all ranked users over the catalogue's size."""
-    return ranked.filter(F.col("rank") <= k).agg((F.count_distinct("item_id") / F.lit(n_items)).alias("value"))
+def coverage(ranked: DataFrame, ks: Sequence[int], n_items: int) -> DataFrame:
+    """(k, value): distinct items in the top k of all ranked users over the catalogue's size, for each k in one pass."""
+    best = ranked.groupBy("item_id").agg(F.min("rank").alias("best"))
+    counts = best.agg(*[(F.count_if(F.col("best") <= k) / F.lit(n_items)).alias(f"c{k}") for k in ks])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("value")) for k in ks])).alias("x")).select("x.*")
 
 
 def evaluate(ranked: DataFrame, targets: DataFrame, n_items: int, names: Sequence[str]) -> DataFrame:
-    """(metric, k, value): means over users with targets; coverage over all ranked users."""
+    """(metric, k, value): means over users with targets; coverage over all ranked users.
+
+    The ranking is read twice, by user and by item: store one that is dear to compute.
+    """
     wanted = parse(names)
-    plain = [(m, k) for m, k in wanted if m != "coverage"]
+    plain, covered = [(m, k) for m, k in wanted if m != "coverage"], [k for m, k in wanted if m == "coverage"]
     out = None
     if plain:
         means = per_user(ranked, targets, [f"{m}@{k}" for m, k in plain]).agg(*[F.avg(f"{m}_{k}").alias(f"{m}_{k}") for m, k in plain])
         out = means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"{m}_{k}").alias("value")) for m, k in plain])).alias("x")).select("x.*")
-    for m, k in wanted:
-        if m == "coverage":
-            row = coverage(ranked, k, n_items).select(F.lit(m).alias("metric"), F.lit(k).alias("k"), "value")
-            out = row if out is None else out.unionByName(row)
+    if covered:
+        rows = coverage(ranked, covered, n_items).select(F.lit("coverage").alias("metric"), "k", "value")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def user_percentiles(users: DataFrame, column: str) -> DataFrame:
-    return users.agg(F.percentile(column, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p")).select(*[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((10, 50, 90))])
+    return percentiles(users, column, (0.1, 0.5, 0.9)).select(*[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((10, 50, 90))])

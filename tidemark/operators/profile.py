@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import WEEK
+from .order import value_counts, with_before
 from .splits import Cutoffs, with_split
 
 
@@ -19,7 +20,13 @@ def percentiles(value: str | Column, shares: Sequence[float]) -> Column:
 
 def counts(log: DataFrame) -> DataFrame:
     """One row: rows, distinct users, distinct items."""
-    return log.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("uid").alias("users"), F.count_distinct("item_id").alias("items"))
+    return log.agg(F.count(F.lit(1)).alias("rows")).join(distinct_counts(log), how="cross")  # one row each
+
+
+def distinct_counts(log: DataFrame) -> DataFrame:
+    """One row: distinct users and items, each counted by itself: two in one aggregate would double every row."""
+    of = lambda column, name: log.select(column).distinct().agg(F.count(column).alias(name))
+    return of("uid", "users").join(of("item_id", "items"), how="cross")
 
 
 def group_counts(log: DataFrame, column: str) -> DataFrame:
@@ -57,33 +64,23 @@ def same_magnitude(ours: float, published: float) -> bool:
     return published > 0 and 0.1 <= ours / published <= 10
 
 
-def _ranked(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Counts of equal values in ascending order with the rows before them, so ranks need no sort of all rows in one task."""
-    same = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("m"))
-    before = W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    return same.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))), same.agg(F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("s"))
-
-
 def gini(df: DataFrame, column: str) -> DataFrame:
     """One row: 2 * sum(rank * x) / (n * sum(x)) - (n + 1) / n over ascending ranks; 0 if there is nothing."""
-    values, total = _ranked(df, column)
+    values = with_before(value_counts(df, column), ["x"], "m")
     # m equal values x at ranks b+1..b+m: their ranks sum to m * b + m * (m + 1) / 2.
-    weighted = values.agg(F.sum(F.col("x") * (F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2)).alias("w"))
-    n, s = total.first() or (0, 0)
-    if not n or not s:
-        return df.sparkSession.createDataFrame([(0.0,)], "gini double")
-    return weighted.select((2 * F.col("w") / (float(n) * float(s)) - (n + 1) / n).alias("gini"))
+    weighted = F.sum(F.col("x") * (F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2))
+    out = values.agg(weighted.alias("w"), F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("s"))
+    value = 2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")
+    return out.select(F.when(F.col("s") != 0, value).otherwise(0.0).alias("gini"))
 
 
 def head_share(df: DataFrame, column: str, fraction: float) -> DataFrame:
     """One row: the share of the column's sum that its top max(1, ceil(fraction * n)) rows have."""
-    same = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("m"))
-    before = F.coalesce(F.sum("m").over(W.orderBy(F.col("x").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    whole = W.partitionBy(F.lit(1))
-    top = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.sum("m").over(whole)))
-    ranked = same.select("x", "m", before.alias("before"), top.alias("top"))
-    taken = F.greatest(F.lit(0), F.least("m", F.col("top") - F.col("before")))
-    return ranked.agg(F.try_divide(F.sum(F.col("x") * taken), F.sum(F.col("x") * F.col("m"))).alias("head_share"))
+    values = with_before(value_counts(df, column), ["x"], "m")
+    total = values.agg(F.sum("m").alias("n"))
+    above = F.col("n") - F.col("before") - F.col("m")
+    taken = F.greatest(F.lit(0), F.least(F.col("m"), F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("n"))) - above))
+    return values.join(F.broadcast(total), how="cross").agg(F.try_divide(F.sum(F.col("x") * taken), F.sum(F.col("x") * F.col("m"))).alias("head_share"))  # total has one row
 
 
 def time_range(log: DataFrame) -> DataFrame:
@@ -108,10 +105,10 @@ def interaction_profile(log: DataFrame) -> DataFrame:
     """One row over the raw log."""
     p = percentiles("played_ratio_pct", (0.25, 0.5, 0.75, 0.95))
     out = log.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("uid").alias("users"), F.count_distinct("item_id").alias("items"), F.min("timestamp").alias("ts_min"),
+        F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("ts_min"),
         F.max("timestamp").alias("ts_max"), F.avg((F.col("is_organic") == 1).cast("int")).alias("organic_share"), F.avg((F.col("played_ratio_pct") > 100).cast("int")).alias("over_100_share"), p.alias("p"),
     )
-    return out.select("*", *[F.col("p")[i].alias(f"played_p{x}") for i, x in enumerate((25, 50, 75, 95))]).drop("p")
+    return out.join(distinct_counts(log), how="cross").select("*", *[F.col("p")[i].alias(f"played_p{x}") for i, x in enumerate((25, 50, 75, 95))]).drop("p")
 
 
 def coverage_counts(log: DataFrame, known: DataFrame) -> DataFrame:
@@ -188,3 +185,14 @@ def flatten(tree: dict, prefix: str = "") -> dict[str, float]:
         elif isinstance(v, (int, float)) and not isinstance(v, bool):
             out[at] = float(v)
     return out
+
+
+def drift(now: DataFrame, recorded: dict[str, int]) -> DataFrame:
+    """(measure, recorded, found) of each measure of the one-row frame ``now`` that differs from an earlier stage's record."""
+    both = F.array(*[F.struct(F.lit(k).alias("measure"), F.lit(int(n)).cast("long").alias("recorded"), F.col(k).cast("long").alias("found")) for k, n in sorted(recorded.items())])
+    return now.select(F.explode(both).alias("x")).select("x.*").filter("recorded <> found")
+
+
+def check_drift(now: DataFrame, recorded: dict[str, int]) -> None:
+    if bad := [f"{r.measure}: {r.recorded} recorded, {r.found} found" for r in drift(now, recorded).collect()]:
+        raise ValueError("an earlier stage recorded other counts: " + "; ".join(bad))

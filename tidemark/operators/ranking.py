@@ -2,105 +2,104 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .splits import md5_order
-from .vectors import dot
 
-#: The item matrix is sent to tasks whole up to this size; larger catalogues are ranked by parts.
-MATRIX_BYTES = 256 << 20
+#: A cell of the grid of users and items holds about so many bytes of item vectors and so many users.
+ITEM_BYTES, USERS = 64 << 20, 16_384
 #: Scores that agree to so many decimals are ties: sums of doubles depend on their order beyond that.
 PLACES = 10
 
 
-def rank_pairs(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(uid, rank, item_id, score) by dot product, ties by ascending id: the expression form.
-
-    users (uid, vec) and items (item_id, vec). Every pair is scored, so this is for up to some
-    millions of pairs; rank_blocks() gives the same for more.
-    """
-    _enough(items, k)
-    scored = users.select("uid", F.col("vec").alias("u")).crossJoin(items.select("item_id", F.col("vec").alias("v"))).select("uid", "item_id", F.round(dot(F.col("u"), F.col("v")), PLACES).alias("score"))
-    return _top(scored, k)
-
-
-def _enough(items: DataFrame, k: int) -> None:
-    n = items.count()
-    if k > n:
-        raise ValueError(f"{k} ranks from a catalogue of {n}")
-
-
 def _top(scored: DataFrame, k: int) -> DataFrame:
     best = W.partitionBy("uid").orderBy(F.col("score").desc(), "item_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("uid", "rank", "item_id", "score")
 
 
-def rank_blocks(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """As rank_pairs(), by matrix products over blocks of users; only k rows a user leave a task.
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.chunked_array([c.flatten() for c in vectors.chunks], vectors.type.value_type)
+    return flat.to_numpy().astype(np.float64).reshape(len(vectors), -1)
+
+
+def rank_blocks(users: DataFrame, items: DataFrame, k: int, item_bytes: int = ITEM_BYTES, user_rows: int = USERS) -> DataFrame:
+    """(uid, rank, item_id, score) by dot product, ties by ascending id: the k best of all items for each user.
 
-    A catalogue over MATRIX_BYTES is cut by id into parts that fit; each part gives its own k
-    best, and the best of those are the whole's.
+    users (uid, vec) and items (item_id, vec) are dealt by hash to the rows and columns of a
+    grid; each cell scores its users against its items by matrix products, 128 users at a time,
+    and only k rows a user leave it. The best of a user's cells are the whole's. More ranks
+    than items are an error.
     """
-    _enough(items, k)
-    n, dim = items.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    parts = -(-n * dim * 8 // MATRIX_BYTES)
-    found = None
-    for p in range(parts):
-        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
-        some = _rank_part(users, part, k)
-        found = some if found is None else found.unionByName(some)
-    return found if parts == 1 else _top(found.drop("rank"), k)
-
-
-def _rank_part(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    rows = items.orderBy("item_id").toPandas()  # at most MATRIX_BYTES
-    ids = rows["item_id"].to_numpy(np.int64)
-    matrix = users.sparkSession.sparkContext.broadcast(np.array([np.asarray(v, np.float64) for v in rows["vec"]]))
-
-    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = matrix.value
-        for block in blocks:
-            for low in range(0, len(block), 128):
-                part = block.iloc[low : low + 128]
-                scores = np.round(np.stack([np.asarray(v, np.float64) for v in part["vec"]]) @ m.T, PLACES)
-                for uid, s in zip(part["uid"], scores, strict=True):
-                    edge = np.partition(s, len(s) - min(k, len(s)))[len(s) - min(k, len(s))]
+    n_items, dim = items.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if k > n_items:
+        raise ValueError(f"{k} ranks from a catalogue of {n_items}")
+    columns = -(-n_items * dim * 8 // item_bytes)
+    rows = max(-(-users.count() // user_rows), -(-users.sparkSession.sparkContext.defaultParallelism // columns))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    u = users.select("uid", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("uid"), F.lit(rows)).alias("gu"), every(columns, "gi"))
+    i = items.select("item_id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("item_id"), F.lit(columns)).alias("gi"), every(rows, "gu"))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            uids, m, ids = left.column("uid").to_numpy(), _matrix(right.column("vec")), right.column("item_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            m, ids = m[order], ids[order]
+            take = min(k, len(ids))
+            for low in range(0, len(uids), 128):
+                scores = np.round(_matrix(left.column("vec").slice(low, 128)) @ m.T, PLACES)
+                edges = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
+                for uid, s, edge in zip(uids[low : low + 128], scores, edges, strict=True):
                     near = np.flatnonzero(s >= edge)
-                    top = near[np.lexsort((ids[near], -s[near]))][:k]
-                    yield pd.DataFrame({"uid": uid, "rank": np.arange(1, len(top) + 1, dtype=np.int32), "item_id": ids[top], "score": s[top]})
+                    top = near[np.lexsort((near, -s[near]))][:take]
+                    out.append((np.full(take, uid), np.arange(1, take + 1, dtype=np.int32), ids[top], s[top]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.float64)]
+        return pa.table(dict(zip(("uid", "rank", "item_id", "score"), parts, strict=True)))
 
-    return users.select("uid", "vec").mapInPandas(run, "uid long, rank int, item_id long, score double")
+    found = u.groupBy("gu", "gi").cogroup(i.groupBy("gu", "gi")).applyInArrow(cell, "uid long, rank int, item_id long, score double")
+    return found if columns == 1 else _top(found.drop("rank"), k)
 
 
 def rank_popular(popularity: DataFrame, users: DataFrame, k: int) -> DataFrame:
-    """(uid, rank, item_id, score): one list for all users, by popularity as an integer, ties by id. popularity is (item_id, popularity)."""
-    _enough(popularity, k)
+    """(uid, rank, item_id, score): one list for all users, by popularity as an integer, ties by id. popularity is (item_id, popularity).
+
+    More ranks than items fail the job that reads the result.
+    """
     top = popularity.orderBy(F.col("popularity").desc(), "item_id").limit(k)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.col("popularity").desc(), "item_id")))  # k rows
+    whole = W.partitionBy(F.lit(1)).orderBy(F.col("popularity").desc(), "item_id")  # k rows
+    ranked = top.select("item_id", "popularity", F.row_number().over(whole).alias("rank"), F.count(F.lit(1)).over(W.partitionBy(F.lit(1))).alias("n"))
+    sound = F.when(F.col("n") == k, F.col("rank")).otherwise(F.raise_error(F.lit(f"{k} ranks from a smaller catalogue")).cast("int"))
+    ranked = ranked.select(sound.alias("rank"), "item_id", "popularity")
     return users.select("uid").distinct().crossJoin(F.broadcast(ranked)).select("uid", "rank", "item_id", F.col("popularity").cast("double").alias("score"))
 
 
+def draws_needed(n_items: int, k: int) -> int:
+    """Draws with replacement among which k distinct items are missing with a chance under e**-57, so for none of 1e10 users.
+
+    Too few are drawn only if all lie in one of the C(n, k-1) sets of k-1 items.
+    """
+    if k == 1:
+        return 1
+    sets = math.lgamma(n_items + 1) - math.lgamma(k) - math.lgamma(n_items - k + 2)
+    return max(k, math.ceil((57 + sets) / math.log(n_items / (k - 1))))
+
+
 def rank_random(users: DataFrame, n_items: int, k: int, seed: int) -> DataFrame:
     """(uid, rank, item_id, score): k distinct dense ids for each user, uniform, the same on each run.
 
-    Draws are hashed positions; a user draws enough to have k distinct ones but for a chance
-    under 1e-9, and then more until there are.
+    Draws are hashed positions, and the first k distinct ones count; draws_needed() says how
+    many are made.
     """
     if k > n_items:
         raise ValueError(f"{k} ranks from a catalogue of {n_items}")
     users = users.select("uid").distinct()
-    if n_items <= 4 * k:
-        scored = users.crossJoin(users.sparkSession.range(n_items).withColumnRenamed("id", "item_id"))
-        scored = scored.withColumn("score", _unit(md5_order(seed, "uid", "item_id")))
-        return _top(scored, k)
-    draws = 2 * k + 40
-    drawn = users.select("uid", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("h", md5_order(seed, "uid", "draw"))
+    drawn = users.select("uid", F.explode(F.sequence(F.lit(0), F.lit(draws_needed(n_items, k) - 1))).alias("draw")).withColumn("h", md5_order(seed, "uid", "draw"))
     drawn = drawn.select("uid", F.floor(_unit(F.col("h")) * n_items).cast("long").alias("item_id"), "draw")
     first = drawn.groupBy("uid", "item_id").agg(F.min("draw").alias("draw"))
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("uid").orderBy("draw"))).filter(F.col("rank") <= k)
@@ -118,9 +117,7 @@ def hits(ranked: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def cut_to_targets(ranked: DataFrame, targets: DataFrame) -> DataFrame:
-    """Ranked rows of users with targets; a target user without a ranking is an error."""
+    """Ranked rows of users with targets; a target user without a ranking fails the job that reads the result."""
     users = targets.select("uid").distinct()
-    missing = users.join(ranked.select("uid").distinct(), "uid", "left_anti").count()
-    if missing:
-        raise ValueError(f"{missing} users with targets have no ranking")
-    return ranked.join(users, "uid", "left_semi")
+    sound = lambda c: F.when(F.col("rank").isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit("a user with targets has no ranking")).cast(ranked.schema[c].dataType)).alias(c)
+    return users.join(ranked, "uid", "left").select(*[F.col(c) if c == "uid" else sound(c) for c in ranked.columns])

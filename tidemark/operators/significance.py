@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .order import with_before
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
@@ -18,8 +19,7 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     """
     d = pairs.select((F.col("a") - F.col("b")).alias("d")).filter("d <> 0")
     same = d.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("d") > 0).alias("up"))
-    before = F.coalesce(F.sum("m").over(W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = same.withColumn("rank", before + (F.col("m") + 1) / 2)
+    ranked = with_before(same, ["size"], "m").withColumn("rank", F.col("before") + (F.col("m") + 1) / 2)
     n, up, all_ranks, ties = ranked.agg(F.sum("m"), F.sum(F.col("rank") * F.col("up")), F.sum(F.col("rank") * F.col("m")), F.sum(F.col("m") * (F.col("m") * F.col("m") - 1).cast("double"))).first()
     if not n:
         return pairs.sparkSession.createDataFrame([(0, 0.0, 1.0)], "n long, w double, p double")
@@ -44,13 +44,13 @@ def bootstrap_mean(values: DataFrame, draws: int = 1000, seed: int = 42, level:
     n = values.count()
     if not n:
         raise ValueError("no values to resample")
-    at = values.withColumn("pos", F.row_number().over(W.orderBy("id")) - 1)  # the ids of one metric's users
+    at = with_before(values, ["id"]).withColumnRenamed("before", "pos")
     spots = values.sparkSession.range(draws * n).select(F.expr(f"id div {n}").alias("resample"), F.col("id").alias("draw"))
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary"))
-    spots = spots.select("resample", F.floor(F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / float(1 << 48) * n).cast("int").alias("pos"))
+    spots = spots.select("resample", F.floor(F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / float(1 << 48) * n).cast("long").alias("pos"))
     means = spots.groupBy("resample", "pos").count().join(at.select("pos", "x"), "pos").groupBy("resample").agg((F.sum(F.col("x") * F.col("count")) / n).alias("m"))
     tail = (1 - level) / 2
-    p = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
+    p = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))  # of as many means as draws
     return means.agg(p.alias("p")).crossJoin(values.agg(F.avg("x").alias("mean"))).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
@@ -62,13 +62,10 @@ def seed_averaged(users: DataFrame, columns: list[str]) -> DataFrame:
 def by_history(users: DataFrame, lengths: DataFrame, column: str, parts: int = 4) -> DataFrame:
     """(segment, users, value): mean metric by quarter of history length, ties by uid.
 
-    Cut points are exact percentiles of (length, uid) order found from counts of equal lengths.
+    Users are numbered in order of (length, uid), by ranges of it.
     """
     rows = users.select("uid", F.col(column).alias("value")).join(lengths.select("uid", "length"), "uid")
-    same = rows.groupBy("length").agg(F.count(F.lit(1)).alias("m"))
-    whole = W.partitionBy(F.lit(1))
-    spots = same.withColumns({"before": F.coalesce(F.sum("m").over(W.orderBy("length").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("m").over(whole)})
-    at = rows.join(spots, "length").withColumn("i", F.col("before") + F.row_number().over(W.partitionBy("length").orderBy("uid")) - 1)
+    at = with_before(rows, ["length", "uid"]).withColumnRenamed("before", "i").join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))), how="cross")  # one row
     big, size = F.col("n") % parts, F.expr(f"n div {parts}")
     edge = big * (size + 1)
     segment = F.when(F.col("i") < edge, F.floor(F.col("i") / (size + 1))).otherwise(big + F.floor((F.col("i") - edge) / F.greatest(size, F.lit(1)))) + 1

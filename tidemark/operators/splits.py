@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..sources.schema import Invariants
 from .cleaning import KEY
+from .order import with_before
 
 
 @dataclass(frozen=True)
@@ -181,20 +181,9 @@ def weighted_sample(items: DataFrame, weight, k: int, seed: int, column: str = "
 
 
 def dense_ids(items: DataFrame, column: str = "item_id") -> DataFrame:
-    """(dense_id, raw_id): distinct ids numbered from 0 in ascending order.
-
-    Ids are numbered within ranges and ranges by their sizes, so no task sees them all: ranges
-    are spans of the value, at most 4096.
-    """
+    """(dense_id, raw_id): distinct ids numbered from 0 in ascending order, by ranges of equal size."""
     ids = items.select(F.col(column).cast("long").alias("raw_id")).distinct()
-    low, high = ids.agg(F.min("raw_id"), F.max("raw_id")).first()
-    if low is None:
-        return ids.select(F.lit(0).cast("long").alias("dense_id"), "raw_id")
-    width = max(1, (high - low) // 4096 + 1)
-    ids = ids.withColumn("span", F.expr(f"(raw_id - {low}) div {width}"))
-    before = ids.groupBy("span").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    within = F.row_number().over(W.partitionBy("span").orderBy("raw_id"))
-    return ids.withColumn("within", within).join(before, "span").select((F.col("before") + F.col("within") - 1).cast("long").alias("dense_id"), "raw_id")
+    return with_before(ids, ["raw_id"]).select(F.col("before").alias("dense_id"), "raw_id")
 
 
 def to_dense(rows: DataFrame, id_map: DataFrame, column: str = "item_id") -> DataFrame:

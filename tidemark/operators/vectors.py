@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .profile import percentiles
+from .order import percentiles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,10 +30,9 @@ def bad_vectors(df: DataFrame, dim: int, column: str = "vec") -> DataFrame:
 
 
 def norm_stats(df: DataFrame, column: str = "vec") -> DataFrame:
-    out = df.select(norm(F.col(column)).alias("n")).agg(
-        F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max"), percentiles("n", (0.01, 0.05, 0.5, 0.95, 0.99)).alias("p"),
-    )
-    return out.select("mean", "std", "min", "max", *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((1, 5, 50, 95, 99))])
+    norms = df.select(norm(F.col(column)).alias("n"))
+    p = percentiles(norms, "n", (0.01, 0.05, 0.5, 0.95, 0.99)).select(*[F.col("p")[i].alias(f"p{x}") for i, x in enumerate((1, 5, 50, 95, 99))])
+    return norms.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("min"), F.max("n").alias("max")).join(p, how="cross")  # one row each
 
 
 def lookup(vectors: DataFrame, wanted: DataFrame) -> DataFrame:

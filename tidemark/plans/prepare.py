@@ -30,12 +30,19 @@ class Prepared:
 _done: dict[tuple, Prepared] = {}
 
 
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When each table that prepare() reads was changed."""
+    at = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem", "part", "embeddings")]
+    return tuple(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in at)
+
+
 def prepare(spark: SparkSession, sf_dir: str, how: Settings = FIXTURE) -> Prepared:
-    """Validate, clean, cut and split the interaction log of ``sf_dir``; once a session, as its stages are written."""
-    key = (spark.sparkContext.applicationId, sf_dir, how)
+    """Validate, clean, cut and split the interaction log of ``sf_dir``; once a session while its tables stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, how, _changed(spark, sf_dir))
     if key not in _done:
         raw = schema.validate(materialise(tables.interactions(spark, sf_dir)), tables.INTERACTIONS, f"{sf_dir} interactions")
-        log = cleaning.clean(raw, how.min_played, how.min_user, how.min_item, how.max_rounds)
+        known = cleaning.covered(raw, tables.vectors(spark, sf_dir)) if how.need_vectors else raw
+        log = cleaning.clean(known, how.min_played, how.min_user, how.min_item, how.max_rounds)
         cut = splits.choose_cutoffs(log, how.val_seconds, how.test_seconds, how.min_window_rows)
         train, val_raw, test_raw = splits.split(log, cut)
         train = materialise(train)

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE, WEEK
 from ..operators import cleaning, metrics, neural, profile, ranking, sequences, significance, splits, vectors
 from ..sources import schema, sinks, tables
-from ..sources.work import shared_dir
+from ..sources.work import materialise, shared_dir
 from .prepare import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +149,20 @@ def _(spark, d):
     return schema.null_counts(prepare(spark, d).raw)
 
 
+@register("P10_schema_problems", "SELECT 'track_length_seconds' AS \"column\", 'missing' AS problem, '' AS found UNION ALL SELECT 'item_id', 'type', 'int' UNION ALL SELECT 'played_ratio_pct', 'nulls', count(*)::VARCHAR FROM raw WHERE played_ratio_pct < 10 UNION ALL SELECT 'uid', 'nulls', count(*)::VARCHAR FROM raw WHERE uid % 7 = 0")
+def _(spark, d):
+    """Of a log that lacks a column, has another of the wrong type, and nulls in two."""
+    bad = prepare(spark, d).raw.drop("track_length_seconds").withColumn("item_id", F.col("item_id").cast("int"))
+    bad = bad.withColumn("played_ratio_pct", F.when(F.col("played_ratio_pct") >= 10, F.col("played_ratio_pct"))).withColumn("uid", F.when(F.col("uid") % 7 != 0, F.col("uid")))
+    return schema.problems(bad, tables.INTERACTIONS)
+
+
+@register("P5_derived_ratio", "SELECT uid, n_after, n_before, round(1 - n_after / nullif(n_before, 0), 6) AS ratio FROM (SELECT uid, count(*) FILTER (played_ratio_pct >= 50) AS n_after, count(*) FILTER (is_organic = 1) AS n_before FROM raw GROUP BY uid)")
+def _(spark, d):
+    users = prepare(spark, d).raw.groupBy("uid").agg(F.count_if(F.col("played_ratio_pct") >= 50).alias("n_after"), F.count_if(F.col("is_organic") == 1).alias("n_before"))
+    return users.withColumn("ratio", F.round(cleaning.derived_ratio(F.col("n_after"), F.col("n_before")), 6))
+
+
 @register("P11_bad_vectors", "SELECT count(*) AS bad FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64 OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0", prep=False)
 def _(spark, d):
     return vectors.bad_vectors(tables.vectors(spark, d), 64).agg(F.count(F.lit(1)).alias("bad"))
@@ -349,12 +364,6 @@ def _(spark, d):
     return profile.histogram(profile.group_counts(prepare(spark, d).log, "item_id"), "count", 1, 1000, 60, log_scale=True)
 
 
-@register("A24_over_seeds", "WITH r AS (SELECT p_brand AS model, p_type AS metric, p_size AS k, p_retailprice AS value FROM part) SELECT model, metric, k, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(value) AS n FROM r GROUP BY ALL", prep=False)
-def _(spark, d):
-    runs = tables.scan(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_type").alias("metric"), F.col("p_size").alias("k"), F.col("p_retailprice").alias("value"))
-    return r6(profile.over_seeds(runs), "mean", "std")
-
-
 @register("A26_popularity", "SELECT dense_id, popularity FROM id_map JOIN pop ON item_id = raw_id")
 def _(spark, d):
     p = prepare(spark, d)
@@ -381,7 +390,26 @@ def _(spark, d):
 
 @register("D4_min_counts", "SELECT * FROM fixed")
 def _(spark, d):
-    return prepare(spark, d).log
+    return cleaning.clean(prepare(spark, d).raw, FIXTURE.min_played, FIXTURE.min_user, FIXTURE.min_item, FIXTURE.max_rounds)
+
+
+_COVERED_ROUNDS = _rounds.replace("f0", "c0")
+for _i in range(1, 11):
+    _COVERED_ROUNDS = _COVERED_ROUNDS.replace(f" f{_i} ", f" c{_i} ")
+
+
+@register("J1_D4_covered_log", f", c0 AS MATERIALIZED (SELECT * FROM f0 WHERE item_id IN (SELECT vec_id FROM embeddings)){_COVERED_ROUNDS} SELECT * FROM c10")
+def _(spark, d):
+    """What the preparation keeps when items need a vector."""
+    covered = cleaning.covered(prepare(spark, d).raw, tables.vectors(spark, d))
+    return cleaning.clean(covered, FIXTURE.min_played, FIXTURE.min_user, FIXTURE.min_item, FIXTURE.max_rounds)
+
+
+@register("D15_drift", "SELECT * FROM (SELECT 'rows' AS measure, (SELECT count(*) FROM raw) AS recorded, (SELECT count(*) FROM fixed) AS found UNION ALL SELECT 'users', (SELECT count(DISTINCT uid) FROM raw), (SELECT count(DISTINCT uid) FROM fixed) UNION ALL SELECT 'items', (SELECT count(DISTINCT item_id) FROM raw), (SELECT count(DISTINCT item_id) FROM fixed)) WHERE recorded <> found")
+def _(spark, d):
+    """The record of the raw log against the log after cleaning: measures that differ."""
+    p = prepare(spark, d)
+    return profile.drift(profile.counts(p.log), profile.counts(p.raw).first().asDict())
 
 
 @register("D5_cutoffs", "SELECT t_val, t_test FROM cut")
@@ -433,19 +461,60 @@ def _(spark, d):
     return splits.dense_ids(prepare(spark, d).train)
 
 
-@register("D13_split_invariants", "SELECT count(*)::BIGINT AS checks, true AS ok FROM range(14)", prep=False)
-def _(spark, d):
-    p = prepare(spark, d)
-    return splits.split_invariants(p.train, p.val, p.test, p.cut, p.log.count()).run(spark).agg(F.count(F.lit(1)).alias("checks"), F.min("ok").alias("ok"))
+def _split_checks(val: str, test: str) -> str:
+    """Violations of each split invariant, by name."""
+    leaked = lambda a, b: f"SELECT 1 FROM {a} SEMI JOIN {b} USING (uid, timestamp, item_id)"
+    strangers = lambda a, b, c: f"SELECT {c} FROM {a} EXCEPT SELECT {c} FROM {b}"
+    counts = {
+        "train before the validation cutoff": "SELECT 1 FROM train, cut WHERE timestamp >= t_val",
+        "validation within its window": f"SELECT 1 FROM {val}, cut WHERE timestamp < t_val OR timestamp >= t_test",
+        "test after its cutoff": f"SELECT 1 FROM {test}, cut WHERE timestamp < t_test",
+        "validation users in train": strangers(val, "train", "uid"), "validation items in train": strangers(val, "train", "item_id"),
+        "test users in train": strangers(test, "train", "uid"), "test items in train": strangers(test, "train", "item_id"),
+        "no key in train and validation": leaked(val, "train"), "no key in train and test": leaked(test, "train"), "no key in validation and test": leaked(test, val),
+        "train has rows": "SELECT 1 WHERE NOT EXISTS (FROM train)", "validation has rows": f"SELECT 1 WHERE NOT EXISTS (FROM {val})", "test has rows": f"SELECT 1 WHERE NOT EXISTS (FROM {test})",
+        "no more rows than before": f"SELECT 1 WHERE (SELECT count(*) FROM train) + (SELECT count(*) FROM {val}) + (SELECT count(*) FROM {test}) > (SELECT count(*) FROM fixed)",
+    }
+    return " UNION ALL ".join(f"SELECT '{val}' AS scope, '{name}' AS name, count(*) AS violations FROM ({sql})" for name, sql in counts.items())
 
 
-@register("D14_sample_invariants", "SELECT count(*)::BIGINT AS checks, true AS ok FROM range(12)", prep=False)
+@register("D13_split_invariants", f" {_split_checks('val', 'test')} UNION ALL {_split_checks('val_raw', 'test_raw')}")
 def _(spark, d):
+    """Of the splits, and of those before the cold filter, which break some."""
+    p = prepare(spark, d)
+    runs = {"val": (p.val, p.test), "val_raw": (p.val_raw, p.test_raw)}
+    return tables.scan_union([splits.split_invariants(p.train, *parts, p.cut, p.log.count()).run(spark).withColumn("scope", F.lit(k)) for k, parts in runs.items()])
+
+
+def _sample_checks(scope: str, warm: bool) -> str:
+    out = []
+    for name, outer in (("big", "train"), ("small", "big")):
+        mine = f"uid IN (SELECT uid FROM {name})"
+        train = f"(SELECT * FROM train WHERE {mine})"
+        known = f" AND item_id IN (SELECT item_id FROM train WHERE {mine})" if warm else ""
+        val, test = f"(SELECT * FROM val WHERE {mine}{known})", f"(SELECT * FROM test WHERE {mine}{known})"
+        checks = {
+            "users within the next larger set": f"SELECT uid FROM {name} EXCEPT SELECT uid FROM {outer}",
+            "validation items in train": f"SELECT item_id FROM {val} EXCEPT SELECT item_id FROM {train}", "test items in train": f"SELECT item_id FROM {test} EXCEPT SELECT item_id FROM {train}",
+            "validation users in train": f"SELECT uid FROM {val} EXCEPT SELECT uid FROM {train}", "no key in train and test": f"SELECT 1 FROM {test} a SEMI JOIN {train} b USING (uid, timestamp, item_id)",
+            "enough users": f"SELECT 1 WHERE (SELECT count(*) FROM {name}) < {FIXTURE.min_sample}",
+        }
+        out += [f"SELECT '{scope}' AS scope, '{name}: {check}' AS name, count(*) AS violations FROM ({sql})" for check, sql in checks.items()]
+    return " UNION ALL ".join(out)
+
+
+@register("D14_sample_invariants", f", {_SAMPLED} {_sample_checks('subsample', True)} UNION ALL {_sample_checks('users only', False)}")
+def _(spark, d):
+    """Of the subsamples, and of the same users' rows without the items' cut, which break some."""
     p = prepare(spark, d)
     users = dict(zip(("big", "small"), _sampled(spark, d), strict=True))
-    parts = {k: splits.subsample(p.train, p.val, p.test, u) for k, u in users.items()}
     least = dict.fromkeys(users, FIXTURE.min_sample)
-    return splits.sample_invariants(parts, users, p.train, least).run(spark).agg(F.count(F.lit(1)).alias("checks"), F.min("ok").alias("ok"))
+    mine = lambda df, u: cleaning.keep_users(df, u)
+    runs = {
+        "subsample": {k: splits.subsample(p.train, p.val, p.test, u) for k, u in users.items()},
+        "users only": {k: (mine(p.train, u), mine(p.val, u), mine(p.test, u)) for k, u in users.items()},
+    }
+    return tables.scan_union([splits.sample_invariants(parts, users, p.train, least).run(spark).withColumn("scope", F.lit(scope)) for scope, parts in runs.items()])
 
 
 @register("S6_S8_export_import", "SELECT 'train' AS split, * FROM train UNION ALL SELECT 'val', * FROM val UNION ALL SELECT 'test', * FROM test")
@@ -469,7 +538,7 @@ def _(spark, d):
 @register("R1_J13_rank_pairs", f"WITH s AS (SELECT u.vec_id AS uid, v.vec_id AS item_id, {_DOT} AS score FROM embeddings u, embeddings v) SELECT uid, rank::INT AS rank, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10", prep=False)
 def _(spark, d):
     v = tables.vectors(spark, d)
-    return r6(ranking.rank_pairs(v.withColumnRenamed("item_id", "uid"), v, 10), "score")
+    return r6(ranking.rank_blocks(v.withColumnRenamed("item_id", "uid"), v, 10, item_bytes=32_768, user_rows=150), "score")
 
 
 _POPULAR = "top AS (SELECT item_id, popularity, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop QUALIFY rank <= 100), ranked AS MATERIALIZED (SELECT uid, rank::INT AS rank, item_id, popularity::DOUBLE AS score FROM (SELECT DISTINCT uid FROM test), top)"
@@ -486,17 +555,22 @@ def _(spark, d):
     return _popular(spark, d)
 
 
-_RANDOM = f"""n AS (SELECT count(*) AS n FROM id_map), draws AS (SELECT uid, draw, md5('{FIXTURE.seed}:' || uid || ':' || draw) AS h FROM (SELECT DISTINCT uid FROM test), range(60) t(draw)),
-drawn AS (SELECT uid, min(draw) AS draw, floor(('0x' || substr(h, 1, 12))::BIGINT::DOUBLE / 281474976710656 * n)::BIGINT AS item_id FROM draws, n GROUP BY uid, item_id),
-random AS MATERIALIZED (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY draw) AS rank, item_id FROM drawn QUALIFY rank <= 10)"""
+def _random_sql(seed: int) -> str:
+    """random{seed}: the random ranking of each test user."""
+    return f"""draws{seed} AS (SELECT uid, draw, md5('{seed}:' || uid || ':' || draw) AS h FROM (SELECT DISTINCT uid FROM test), range(60) t(draw)),
+drawn{seed} AS (SELECT uid, min(draw) AS draw, floor(('0x' || substr(h, 1, 12))::BIGINT::DOUBLE / 281474976710656 * n)::BIGINT AS item_id FROM draws{seed}, n GROUP BY uid, item_id),
+random{seed} AS MATERIALIZED (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY draw) AS rank, item_id FROM drawn{seed} QUALIFY rank <= 10)"""
+
 
+_RANDOM = f"n AS (SELECT count(*) AS n FROM id_map), {_random_sql(FIXTURE.seed)}"
 
-def _random(spark, d):
+
+def _random(spark, d, seed=FIXTURE.seed):
     p = prepare(spark, d)
-    return ranking.rank_random(p.test, p.id_map.count(), 10, FIXTURE.seed)
+    return ranking.rank_random(p.test, p.id_map.count(), 10, seed)
 
 
-@register("R3_random", f", {_RANDOM} SELECT uid, rank::INT AS rank, item_id, round(1 - rank / 11, 6) AS score FROM random")
+@register("R3_random", f", {_RANDOM} SELECT uid, rank::INT AS rank, item_id, round(1 - rank / 11, 6) AS score FROM random{FIXTURE.seed}")
 def _(spark, d):
     return r6(_random(spark, d), "score")
 
@@ -531,6 +605,16 @@ def _(spark, d):
     return r6(vectors.principal_variance(tables.vectors(spark, d), 3), "share")
 
 
+_CENTRED = "m AS (SELECT pos, avg(x) AS m FROM e GROUP BY pos), c AS MATERIALIZED (SELECT vec_id, pos, x - m AS x FROM e JOIN m USING (pos)), cov AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (vec_id) GROUP BY ALL)"
+
+
+@register("R8_pca_moments", f"WITH e AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), {_CENTRED}, t AS (SELECT sum(v) FILTER (i = j) AS trace FROM cov) SELECT 64::BIGINT AS components, 1.0::DOUBLE AS total, round((SELECT sum(v * v) FROM cov) / (trace * trace), 6) AS squares, round((SELECT sum(a.v * b.v * c.v) FROM cov a JOIN cov b ON a.j = b.i JOIN cov c ON b.j = c.i AND c.j = a.i) / (trace * trace * trace), 6) AS cubes FROM t", prep=False)
+def _(spark, d):
+    """Sums of powers of all variance shares, which are traces of powers of the covariance."""
+    shares = vectors.principal_variance(tables.vectors(spark, d), 64)
+    return r6(shares.agg(F.count(F.lit(1)).alias("components"), F.sum("share").alias("total"), F.sum(F.col("share") ** 2).alias("squares"), F.sum(F.col("share") ** 3).alias("cubes")), "total", "squares", "cubes")
+
+
 @register("R9_cut_to_targets", f", {_POPULAR} SELECT * FROM ranked WHERE uid IN (SELECT uid FROM test)")
 def _(spark, d):
     return ranking.cut_to_targets(_popular(spark, d), prepare(spark, d).test)
@@ -584,27 +668,58 @@ def _(spark, d):
     return r6(metrics.user_percentiles(metrics.per_user(_popular(spark, d), prepare(spark, d).test, ["recall@100"]), "recall_100"), "p10", "p50", "p90")
 
 
-_PAIRS = f"""{_HITS}, {_RANDOM}, a AS (SELECT uid, sum(hit) FILTER (rank <= 10) / least(any_value(n), 10) AS a FROM h JOIN nt USING (uid) GROUP BY uid),
-b AS (SELECT r.uid, count(t.uid) / least(any_value(n), 10) AS b FROM random r JOIN id_map ON dense_id = item_id LEFT JOIN (SELECT DISTINCT uid, item_id FROM test) t ON t.uid = r.uid AND t.item_id = raw_id JOIN nt ON nt.uid = r.uid GROUP BY r.uid),
-pairs AS MATERIALIZED (SELECT uid, a, b FROM a JOIN b USING (uid))"""
+def _random_users_sql(seed: int) -> str:
+    """b{seed}: recall_10 and hitrate_10 of the random ranking by user."""
+    return f"""b{seed} AS MATERIALIZED (SELECT r.uid, count(t.uid) / least(any_value(n), 10) AS recall_10, (count(t.uid) > 0)::DOUBLE AS hitrate_10 FROM random{seed} r JOIN id_map ON dense_id = item_id
+LEFT JOIN (SELECT DISTINCT uid, item_id FROM test) t ON t.uid = r.uid AND t.item_id = raw_id JOIN nt ON nt.uid = r.uid GROUP BY r.uid)"""
 
 
-def _pairs(spark, d):
+_PAIRS = f"{_USERS}, {_RANDOM}, {_random_users_sql(FIXTURE.seed)}, pairs AS MATERIALIZED (SELECT uid, users.recall_10 AS a, b{FIXTURE.seed}.recall_10 AS b FROM users JOIN b{FIXTURE.seed} USING (uid))"
+_TWO = ["recall@10", "hitrate@10"]
+
+
+def _random_users(spark, d, seed=FIXTURE.seed):
     p = prepare(spark, d)
-    raw = _random(spark, d).withColumnRenamed("item_id", "dense_id").join(p.id_map, "dense_id").select("uid", "rank", F.col("raw_id").alias("item_id"), "score")
-    a = metrics.per_user(_popular(spark, d), p.test, ["recall@10"]).select("uid", F.col("recall_10").alias("a"))
-    return a.join(metrics.per_user(raw, p.test, ["recall@10"]).select("uid", F.col("recall_10").alias("b")), "uid")
+    raw = _random(spark, d, seed).withColumnRenamed("item_id", "dense_id").join(p.id_map, "dense_id").select("uid", "rank", F.col("raw_id").alias("item_id"), "score")
+    return metrics.per_user(raw, p.test, _TWO)
 
 
-@register("T1_wilcoxon", f", {_PAIRS}, s AS (SELECT a - b AS d FROM pairs WHERE a <> b), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM s) SELECT count(*) AS n, round(least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)), 6) AS w FROM r")
+def _popular_users(spark, d):
+    return metrics.per_user(_popular(spark, d), prepare(spark, d).test, _TWO)
+
+
+def _pairs(spark, d):
+    a, b = _popular_users(spark, d), _random_users(spark, d)
+    return a.select("uid", F.col("recall_10").alias("a")).join(b.select("uid", F.col("recall_10").alias("b")), "uid")
+
+
+#: Two models, and two seeds of the one that has seeds.
+_SEEDS = (FIXTURE.seed, FIXTURE.seed + 1)
+_RUNS = f"{_USERS}, {_RANDOM}, {_random_sql(_SEEDS[1])}, " + ", ".join(map(_random_users_sql, _SEEDS)) + ", runs AS MATERIALIZED (SELECT 'mostpop' AS model, 0 AS seed, uid, recall_10, hitrate_10 FROM users" + "".join(f" UNION ALL SELECT 'random', {x}, uid, recall_10, hitrate_10 FROM b{x}" for x in _SEEDS) + ")"
+
+
+def _runs(spark, d):
+    mark = lambda df, model, seed: df.select(F.lit(model).alias("model"), F.lit(seed).alias("seed"), "uid", "recall_10", "hitrate_10")
+    return tables.scan_union([mark(_popular_users(spark, d), "mostpop", 0), *[mark(_random_users(spark, d, x), "random", x) for x in _SEEDS]])
+
+
+_WILCOXON = """{name}s AS (SELECT d FROM {source} WHERE d <> 0), {name}r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM {name}s),
+{name}w AS (SELECT count(*) AS n, coalesce(least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)), 0) AS w, sum((t * t - 1)::DOUBLE) AS ties FROM {name}r),
+{name}z AS (SELECT n, w, abs(w - n::DOUBLE * (n + 1) / 4) / sqrt(2 * (n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48)) AS z FROM {name}w),
+{name}p AS (SELECT n, w, CASE WHEN z > 4 THEN 0 ELSE least(1, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda i: CASE WHEN z > 0 THEN (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(z) - lgamma(i + 1)) / (2 * i + 1) ELSE 0 END))) END AS p FROM {name}z)"""
+
+
+@register("T1_wilcoxon", f", {_PAIRS}, da AS (SELECT a - b AS d FROM pairs), {_WILCOXON.format(name='first', source='da')} SELECT n, round(w, 6) AS w, round(p, 5) AS p FROM firstp")
 def _(spark, d):
-    return r6(significance.wilcoxon(_pairs(spark, d)).select("n", "w"), "w")
+    return r6(significance.wilcoxon(_pairs(spark, d)), "w").withColumn("p", F.round("p", 5))
 
 
-@register("T2_bonferroni", "SELECT p_partkey AS test, p_size / 1000 AS p, p_size / 1000 < 0.05::DOUBLE / (SELECT count(*) FROM part) AS significant FROM part", prep=False)
+@register("T2_bonferroni", f", {_USERS}, {_RANDOM}, {_random_users_sql(FIXTURE.seed)}, " + ", ".join(f"d{m} AS (SELECT users.{m}_10 - b{FIXTURE.seed}.{m}_10 AS d FROM users JOIN b{FIXTURE.seed} USING (uid)), " + _WILCOXON.format(name=m, source=f"d{m}") for m in ("recall", "hitrate")) + " SELECT metric, n, round(p, 5) AS p, p < 0.05::DOUBLE / 2 AS significant FROM (SELECT 'recall' AS metric, n, p FROM recallp UNION ALL SELECT 'hitrate', n, p FROM hitratep)")
 def _(spark, d):
-    tests = tables.scan(spark, d, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("test"), (F.col("p_size") / 1000).alias("p"))
-    return significance.bonferroni(tests)
+    a, b = _popular_users(spark, d), _random_users(spark, d)
+    both = materialise(a.join(b.withColumnsRenamed({"recall_10": "recall_b", "hitrate_10": "hitrate_b"}), "uid"))
+    test = lambda m: significance.wilcoxon(both.select(F.col(f"{m}_10").alias("a"), F.col(f"{m}_b").alias("b"))).select(F.lit(m).alias("metric"), "n", "p")
+    return significance.bonferroni(test("recall").unionByName(test("hitrate"))).withColumn("p", F.round("p", 5))
 
 
 @register("T3_bootstrap", f""", {_USERS}, x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY uid) - 1 AS pos, recall_10 AS x, count(*) OVER () AS n FROM users),
@@ -615,10 +730,22 @@ def _(spark, d):
     return r6(significance.bootstrap_mean(users.select(F.col("uid").alias("id"), F.col("recall_10").alias("x")), 100, FIXTURE.seed), "mean", "low", "high")
 
 
-@register("T4_seed_averaged", "SELECT o_orderstatus AS model, o_custkey AS uid, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY ALL", prep=False)
+@register("T4_seed_averaged", f", {_RUNS} SELECT model, uid, round(avg(recall_10), 6) AS recall_10, round(avg(hitrate_10), 6) AS hitrate_10 FROM runs GROUP BY ALL")
+def _(spark, d):
+    return r6(significance.seed_averaged(_runs(spark, d), ["recall_10", "hitrate_10"]), "recall_10", "hitrate_10")
+
+
+@register("A24_over_seeds", f", {_RUNS}, v AS (SELECT model, seed, avg(recall_10) AS recall, avg(hitrate_10) AS hitrate FROM runs GROUP BY ALL), l AS (SELECT model, 'recall' AS metric, recall AS value FROM v UNION ALL SELECT model, 'hitrate', hitrate FROM v) SELECT model, metric, 10 AS k, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(value) AS n FROM l GROUP BY ALL")
+def _(spark, d):
+    means = _runs(spark, d).groupBy("model", "seed").agg(F.avg("recall_10").alias("recall"), F.avg("hitrate_10").alias("hitrate"))
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(10).alias("k"), F.col(m).alias("value")) for m in ("recall", "hitrate")])).alias("x")
+    return r6(profile.over_seeds(means.select("model", "seed", rows).select("model", "seed", "x.*")), "mean", "std")
+
+
+@register("A25_seed_table", f", {_RUNS}, v AS (SELECT model, seed, avg(recall_10) AS recall FROM runs GROUP BY ALL) SELECT 'recall' AS metric, 10 AS k, " + ", ".join(f"round(avg(recall) FILTER (model = '{m}'), 6) AS {m}_mean, round(coalesce(stddev_samp(recall) FILTER (model = '{m}'), 0), 6) AS {m}_std" for m in ("mostpop", "random")) + " FROM v")
 def _(spark, d):
-    runs = tables.scan(spark, d, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_custkey").alias("uid"), F.col("o_totalprice").alias("value"))
-    return r6(significance.seed_averaged(runs, ["value"]), "value")
+    means = _runs(spark, d).groupBy("model", "seed").agg(F.avg("recall_10").alias("value")).select("model", "seed", F.lit("recall").alias("metric"), F.lit(10).alias("k"), "value")
+    return r6(profile.seed_table(means, ["mostpop", "random"]), "mostpop_mean", "mostpop_std", "random_mean", "random_std")
 
 
 @register("T5_by_history", f", {_USERS}, q AS (SELECT recall_100, ntile(4) OVER (ORDER BY length, uid) AS segment FROM users JOIN histories USING (uid)) SELECT segment::INT AS segment, count(*) AS users, round(avg(recall_100), 6) AS value FROM q GROUP BY segment")
@@ -678,3 +805,39 @@ def _(spark, d):
 @register("N7_capped_positions", f", {_SEQ.format(log='train')}, f AS (SELECT uid, len(items)::INT AS length, (generate_subscripts(items, 1) - 1)::INT AS pos, unnest(items) AS item FROM seq) SELECT * FROM f ORDER BY md5('{FIXTURE.seed}:' || uid || ':' || pos), uid, pos LIMIT 1000")
 def _(spark, d):
     return neural.capped_positions(sequences.flattened(_seqs(spark, d)), 1000, FIXTURE.seed)
+
+
+def _plain_encoder(dim: int) -> neural.Encoder:
+    """An encoder without layers: a user is their newest item's vector, normalised."""
+    return neural.Encoder(np.zeros((10, dim)), (np.ones(dim), np.zeros(dim)), (), 1)
+
+
+def _encoded(spark, d):
+    p = prepare(spark, d)
+    items = vectors.aligned(tables.vectors(spark, d), p.id_map, 64)
+    return p, items, _plain_encoder(64)
+
+
+_ENCODED = f""", {_SEQ}, iv AS MATERIALIZED (SELECT dense_id, coalesce(embedding, list_transform(range(64), lambda x: 0::FLOAT))::DOUBLE[] AS v FROM id_map LEFT JOIN embeddings ON vec_id = raw_id),
+nv AS MATERIALIZED (SELECT dense_id, list_transform(v, lambda x: (x - list_avg(v)) / sqrt(list_avg(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))) + 1e-9::DOUBLE)) AS v FROM iv),
+uv AS MATERIALIZED (SELECT uid, v FROM seq JOIN nv ON dense_id = items[-1])"""
+
+
+@register("N4_N10_user_vectors", _ENCODED.format(log="train") + ", o AS (SELECT uid, v FROM uv SEMI JOIN test USING (uid)) " + "SELECT uid, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v)::FLOAT::DOUBLE, 4) AS value FROM o")
+def _(spark, d):
+    """Test users' vectors, written and read back."""
+    p, items, model = _encoded(spark, d)
+    path = shared_dir(spark)
+    neural.extract({"test": _seqs(spark, d).join(p.test.select("uid").distinct(), "uid", "left_semi")}, items, model, path)
+    rows = sinks.read_vectors(spark, path, "test").select("uid", F.posexplode("vec").alias("pos", "x"))
+    return rows.select("uid", "pos", F.round(F.col("x").cast("double"), 4).alias("value"))
+
+
+@register("N9_encoder_metrics", _ENCODED.format(log="train") + f""", tt AS MATERIALIZED (SELECT DISTINCT uid, dense_id AS item_id FROM test JOIN id_map ON raw_id = item_id),
+s AS (SELECT uid, dense_id AS item_id, round({DOT.format(a="uv.v", b="iv.v")}, 10) AS score FROM uv SEMI JOIN tt USING (uid), iv), top AS MATERIALIZED (SELECT uid, item_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 10),
+h AS (SELECT uid, count(tt.uid) AS hits FROM top LEFT JOIN tt USING (uid, item_id) GROUP BY uid), nt AS (SELECT uid, count(*) AS n FROM tt GROUP BY uid)
+SELECT 'recall' AS metric, 10 AS k, round(avg(hits / least(n, 10)), 6) AS value FROM h JOIN nt USING (uid) UNION ALL SELECT 'hitrate', 10, round(avg((hits > 0)::INT), 6) FROM h UNION ALL SELECT 'coverage', 10, round((SELECT count(DISTINCT item_id) FROM top) / (SELECT count(*) FROM id_map), 6)""")
+def _(spark, d):
+    p, items, model = _encoded(spark, d)
+    goal = splits.to_dense(p.test, p.id_map).select("uid", F.col("dense_id").alias("item_id"))
+    return r6(neural.evaluate(_seqs(spark, d), items, model, goal, ["recall@10", "hitrate@10", "coverage@10"])[0], "value")

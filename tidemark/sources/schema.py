@@ -26,26 +26,36 @@ def validate(df: DataFrame, required: T.StructType, origin: str) -> DataFrame:
     return df
 
 
+def problems(df: DataFrame, required: T.StructType) -> DataFrame:
+    """(column, problem, found): each required column that is missing, of another type (found says which) or has nulls (found says how many)."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    rows = [(f.name, "missing", "") if f.name not in have else (f.name, "type", have[f.name].simpleString()) for f in required.fields if have.get(f.name) != f.dataType]
+    fixed = df.sparkSession.createDataFrame(rows, "column string, problem string, found string")
+    present = [f.name for f in required.fields if f.name in have]
+    nulls = null_counts(df.select(*present)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in present])).alias("x"))
+    return fixed.unionByName(nulls.filter("x.n > 0").select("x.column", F.lit("nulls").alias("problem"), F.col("x.n").cast("string").alias("found")))
+
+
 class Invariants:
-    """A list of named checks, each a frame that must be empty or a truth value, run together."""
+    """A list of named checks, each a frame that must be empty or a truth value (one violation if false), run together."""
 
     def __init__(self) -> None:
-        self.checks: list[tuple[str, Callable[[], tuple[bool, str]]]] = []
+        self.checks: list[tuple[str, Callable[[], int]]] = []
 
     def empty(self, name: str, df: DataFrame) -> Invariants:
         """Rows of ``df`` are violations."""
-        self.checks.append((name, lambda: ((n := df.count()) == 0, f"{n} violations")))
+        self.checks.append((name, df.count))
         return self
 
-    def holds(self, name: str, value: Callable[[], bool], detail: str = "") -> Invariants:
-        self.checks.append((name, lambda: (bool(value()), detail)))
+    def holds(self, name: str, value: Callable[[], bool]) -> Invariants:
+        self.checks.append((name, lambda: int(not value())))
         return self
 
     def run(self, spark: SparkSession) -> DataFrame:
-        """(name, ok, detail) of every check."""
-        return spark.createDataFrame([(name, *check()) for name, check in self.checks], "name string, ok boolean, detail string")
+        """(name, violations) of every check."""
+        return spark.createDataFrame([(name, check()) for name, check in self.checks], "name string, violations long")
 
     def demand(self, spark: SparkSession) -> None:
         """Raise on the first look if any check fails, naming all that do."""
-        if bad := [f"{r.name} ({r.detail})" for r in self.run(spark).collect() if not r.ok]:
+        if bad := [f"{r.name} ({r.violations})" for r in self.run(spark).collect() if r.violations]:
             raise AssertionError("violated: " + ", ".join(bad))

@@ -22,14 +22,25 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Write to a staging folder beside ``path``, then rename: readers see the old table or the new one."""
-    staging = f"{path}.staging"
+    """Write to a staging folder beside ``path``, then move the old table aside, the new one in, and delete the old.
+
+    A reader finds the old table or the new one, except in the moment between the two moves.
+    If the second fails the old table is moved back; if the driver dies between them, the next
+    write() moves it back first.
+    """
+    spark, staging, aside = df.sparkSession, f"{path}.staging", f"{path}.old"
+    fs, target = _fs(spark, path)
+    move = lambda a, b: fs.rename(_fs(spark, a)[1], _fs(spark, b)[1])
+    if fs.exists(_fs(spark, aside)[1]):
+        discard(spark, aside) if fs.exists(target) else move(aside, path)
     df.write.mode("overwrite").option("compression", compression).parquet(staging)
-    fs, target = _fs(df.sparkSession, path)
-    if fs.exists(target):
-        discard(df.sparkSession, path)
-    if not fs.rename(_fs(df.sparkSession, staging)[1], target):
+    if fs.exists(target) and not move(path, aside):
+        raise OSError(f"cannot rename {path} to {aside}")
+    if not move(staging, path):
+        if fs.exists(_fs(spark, aside)[1]):
+            move(aside, path)
         raise OSError(f"cannot rename {staging} to {path}")
+    discard(spark, aside)
 
 
 def export_splits(splits: Mapping[str, DataFrame], path: str, meta: Mapping[str, Any] | None = None, dry_run: bool = False) -> dict:
@@ -60,6 +71,16 @@ def import_splits(spark: SparkSession, path: str, wanted: Sequence[str]) -> dict
     return out
 
 
+def write_vectors(vectors: Mapping[str, DataFrame], path: str) -> None:
+    """Each frame of ids and vec as a table ``path``/name, vectors in single precision."""
+    for name, df in vectors.items():
+        write_parquet(df.withColumn("vec", df["vec"].cast("array<float>")), f"{path}/{name}")
+
+
+def read_vectors(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
+
+
 def verify_export(df: DataFrame, columns: Sequence[str], vector: str | None = None, dim: int | None = None) -> None:
     """Look at the first row: it must have the columns, and the vector its length."""
     if missing := [c for c in columns if c not in df.columns]:
