@@ -358,14 +358,16 @@ def test_sample_is_bounded(spark):
     rng = random.Random(22)
     rows = [(7, f"text number {i}", "a") for i in range(20_000)] + [(8, "the same text", "a")] * 5_000 + [(100 + i, prose(rng, 20), "ab"[i % 2]) for i in range(4000)] + [(9_000, "long " * 200_000, "b"), (9_001, None, "b"), (None, "no id", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
-    texts, labels, weights = sample.bounded(df, "label", 300)
+    texts, labels, weights = sample.bounded(df, None, 300)
     assert (labels.count("a"), labels.count("b")) == (300, 300) and max(map(len, texts)) < 1000
-    assert (texts, labels, weights) == sample.bounded(df.repartition(7), "label", 300)
-    texts, labels, weights = sample.bounded(df, "label", 10_000)
+    assert (texts, labels, weights) == sample.bounded(df.repartition(7), None, 300)
+    texts, labels, weights = sample.bounded(df, None, 10_000)
     assert 1990 <= len([t for t, y in zip(texts, labels, strict=True) if y == "a"]) <= 2002 and texts.count("the same text") == 1 and len([t for t in texts if t.startswith("text number")]) == 1
-    texts, labels, _ = sample.bounded(df, "label", 10_000, most_chars=20_000)
+    texts, labels, _ = sample.bounded(df, None, 10_000, most_chars=20_000)
     assert sum(map(len, texts)) <= 20_000 + 2 * 1000
-    assert len(set(sample.bounded(df, "label", 10, most_classes=1)[1])) == 1
+    assert len(set(sample.bounded(df, None, 10, most_classes=1)[1])) == 1
+    apart = sample.bounded(df.drop("label").filter("doc_id < 5000"), df.select("doc_id", "label").filter("doc_id < 5000").distinct(), 300)
+    assert apart == sample.bounded(df.filter("doc_id < 5000"), None, 300)
 
 
 def slow_probabilities(model, text):

@@ -20,7 +20,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> embed.Model:
     A bounded sample (sample.bounded) is learned from. Without such documents the model has no
     language.
     """
-    texts, labels, _ = sample.bounded(docs.filter(fold(F.col("doc_id"), 4) != 2), "lang", per_language)
+    texts, labels, _ = sample.bounded(docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", F.col("lang").alias("label")), None, per_language)
     return embed.train(texts, labels, FEATURES)
 
 

@@ -17,14 +17,10 @@ PER_LABEL = 3000
 THRESHOLD = 0.3
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of labelled documents that may be learned from: fold not 0 of 5.
-
-    Of several labels for an id the largest counts.
-    """
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of labels that may be learned from: fold not 0 of 5. Of several for an id the largest counts."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    known = known.groupBy("doc_id").agg(F.max(label).alias(label))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return known.groupBy("doc_id").agg(F.max(label).alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> embed.Model:
@@ -32,7 +28,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> emb
 
     Without usable labels the model has no class; with one label it has that one.
     """
-    texts, y, weights = sample.bounded(labelled(docs, labels, "quality"), "quality", per_label)
+    texts, y, weights = sample.bounded(docs, learnable(labels, "quality"), per_label)
     model = embed.train(texts, y, FEATURES, epochs=6)
     share = dict(zip(y, weights, strict=True))
     shift = np.log([share[k] for k in model.classes])

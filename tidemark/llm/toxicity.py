@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold, in_batches
-from .quality_model import labelled
+from .quality_model import learnable
 from .sample import bounded
 
 #: At most so many documents of each label are learned from.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     Trees and calibration weigh the rows by the labels' own shares, which the sample levels.
     Where a label is missing, what is known of it is PRIOR.
     """
-    texts, y, weights = bounded(labelled(docs, labels, "toxic"), "toxic", per_label)
+    texts, y, weights = bounded(docs, learnable(labels, "toxic"), per_label)
     y = [int(v > 0) for v in y]
     place = {0: 0, 1: 0}
     parts: dict[str, list[int]] = {"lexicon": [], "trees": [], "calibration": []}
