@@ -2,11 +2,11 @@
 
 Each source is a queue of its documents in a seeded random order, repeated up to ``epochs``
 times. A copy's virtual finish time is the running word count of its queue divided by the
-source's target, so all queues reach time 1 when their targets are met. Copies are taken in
-order of finish time until the total budget is spent.
+source's target, so all queues reach time 1 when their targets are met. All copies are
+range-sorted by finish time, and the order is truncated where the total budget is spent.
 
-Running sums are made from sums of (source, key range) buckets, so no source has to pass
-through one task; the cut in time is found on two histograms of bounded size.
+Running sums within a source are made from sums of (source, key range) buckets, and those of
+the global order from sums of its ranges, so neither has to pass through one task.
 """
 
 from __future__ import annotations
@@ -17,17 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.order import with_before
 from .common import WORD, materialise
 
 #: Bits of the shuffle key and of those that name a bucket of it.
 KEY_BITS, BUCKET_BITS = 60, 12
-#: Finish times are cut into 2**24 steps up to 1; the coarse histogram has 2**12 a unit.
-FINE, COARSE_BITS, LATEST = 1 << 24, 12, 16.0
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    """A 60-bit key from md5, the same in any engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A 60-bit key from md5 of the id, the same in any engine; a row without id is shuffled by its text."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -36,23 +35,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, epo
 
     Sources are weighted in code-point order, null last, by ``weights`` in rotation. The level
     that spends the budget is the largest of the levels that cap the first i sources by
-    size/weight, so the resharing of what capped sources leave needs no loop. One row a
-    source: the windows here run over the list of sources, not over documents.
+    size/weight, so the resharing of what capped sources leave needs no loop. Sources are
+    ordered by ranges, however many there are.
     """
-    every = W.orderBy(F.col("skey") == "", "skey")
-    src = (
-        sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
-        .withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int")))
-        .withColumn("cap", F.col("source_size") * epochs)
-    )
-    before = W.orderBy(F.col("cap") / F.col("w"), "skey").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(F.lit(1))
-    left = F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    level = left / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    return (
-        src.withColumn("level", level).withColumn("top", F.max("level").over(whole))
-        .select("skey", "source_size", F.least(F.col("cap").cast("double"), F.col("top") * F.col("w")).alias("target"))
-    )
+    src = sizes.groupBy(F.when(F.col("skey") == "", 1).otherwise(0).alias("none"), "skey").agg(F.sum("size").alias("source_size"))
+    turn = (F.col("before") % len(weights) + 1).cast("int")
+    src = with_before(src, ["none", "skey"]).withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn)).drop("before")
+    src = src.withColumn("cap", F.col("source_size") * epochs).withColumn("ratio", F.col("cap") / F.col("w"))
+    src = with_before(with_before(src, ["ratio", "skey"], "cap").withColumnRenamed("before", "caps"), ["ratio", "skey"], "w").withColumnRenamed("before", "ws")
+    all_words, all_w = src.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(float(share)) * F.lit(all_words or 0) - F.col("caps")) / (F.lit(float(all_w or 0)) - F.col("ws"))
+    top = src.agg(F.max(level)).first()[0]
+    return src.select("skey", "source_size", F.least(F.col("cap").cast("double"), F.lit(top).cast("double") * F.col("w")).alias("target"))
 
 
 def mix(
@@ -66,14 +60,14 @@ def mix(
 
     ``taken`` is the words the mix takes from the row, a multiple of its size from 0 to
     ``epochs``. A null or empty text has size 0 and nothing taken; a null source is a source of
-    its own; equal ids share a key and follow one another (by size); an empty table gives an
+    its own; a null id counts by its text; equal ids share a key and follow one another (by size); an empty table gives an
     empty result. Columns of ``docs`` other than doc_id, text and source are not read.
     """
     sizes = materialise(docs.select(
         "doc_id", "source",
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("skey"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        shuffle_key(F.col("doc_id"), seed).alias("key"),
+        shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
     ).withColumn("bucket", F.shiftright("key", KEY_BITS - BUCKET_BITS)))
     targets = source_targets(sizes, weights, share, epochs)
     offsets = (
@@ -98,35 +92,13 @@ def mix(
 
 
 def _last_taken(timed: DataFrame, budget: float, epochs: int) -> Column:
-    """The (time, skey, cum) of the last copy within the budget.
-
-    Copies are summed by time, coarsely and then within the step that crosses the budget; only
-    the copies of one fine step (a 2**-24 of the time axis, over which words spread evenly) are
-    sorted in one task.
-    """
-    copies = timed.filter("size > 0").select(
-        "skey", "size", F.explode(F.array(*[F.struct(((F.col("cum") + e * F.col("source_size")) / F.col("target")).alias("time"), (F.col("cum") + e * F.col("source_size")).alias("cum")) for e in range(epochs)])).alias("c"),
-    ).select("skey", "size", "c.time", "c.cum").withColumn("fine", F.floor(F.least("time", F.lit(LATEST)) * FINE))
-    spent, at = 0, None
-    for step, rows in ((F.shiftright("fine", COARSE_BITS), copies), (F.col("fine"), None)):
-        rows = rows if rows is not None else copies.filter(F.shiftright("fine", COARSE_BITS) == at)
-        at = None
-        for k, words in sorted(map(tuple, rows.groupBy(step.alias("k")).agg(F.sum("size")).collect())):
-            if spent + words > budget:
-                at = k
-                break
-            spent += words
-        if at is None:
-            break
-    if at is None:
-        return F.struct(F.lit(float("inf")).alias("time"), F.lit("").alias("skey"), F.lit(0).cast("long").alias("cum"))
-    order = W.orderBy("time", "skey", "cum")
-    inside = (
-        copies.filter(F.col("fine") == at).withColumn("sum", F.sum("size").over(order))
-        .filter(F.col("sum") + spent <= budget).agg(F.max(F.struct("time", "skey", "cum"))).first()[0]
-    )
-    time, skey, cum = inside or (at / FINE, "", -1)
-    return F.struct(F.lit(time).alias("time"), F.lit(skey).alias("skey"), F.lit(cum).cast("long").alias("cum"))
+    """The (time, skey, cum) of the last copy within the budget, in the global order of copies."""
+    cum = lambda e: F.col("cum") + e * F.col("source_size")
+    each = F.explode(F.array(*[F.struct((cum(e) / F.col("target")).alias("time"), cum(e).alias("cum")) for e in range(epochs)])).alias("c")
+    copies = timed.filter("size > 0").select("skey", "size", each).select("c.time", "skey", "c.cum", "size")
+    within = with_before(copies, ["time", "skey", "cum"], "size").filter(F.col("before") + F.col("size") <= budget)
+    time, skey, last = within.agg(F.max(F.struct("time", "skey", "cum"))).first()[0] or (-1.0, "", -1)
+    return F.struct(F.lit(time).alias("time"), F.lit(skey).alias("skey"), F.lit(last).cast("long").alias("cum"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -142,13 +114,12 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
         mix(docs, **how).filter("size > 0").groupBy(key(F.col("size")).alias("__key"))
         .agg(F.count(F.lit(1)).alias("__rows"), F.sum(F.col("taken") / F.col("size")).cast("long").alias("__copies")).filter("__copies > 0")
     )
-    rows = docs.select(*columns, key(size).alias("__key"))
+    rows = docs.select(*columns, key(size).alias("__key")).join(plan, "__key")
     nth = F.row_number().over(W.partitionBy("__key").orderBy("text"))
-    copies = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return (
-        rows.join(plan, "__key").withColumn("__n", copies).filter("__n > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*columns)
-    )
+    shared = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    # Only rows that share a key have to be told apart by their text.
+    rows = rows.filter("__rows = 1").withColumn("__n", F.col("__copies")).unionByName(rows.filter("__rows > 1").withColumn("__n", shared).filter("__n > 0"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*columns)
 
 
 #: DuckDB SQL for the rows of op1.
