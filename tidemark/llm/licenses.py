@@ -1,7 +1,7 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form (case, punctuation, copyright lines and equivalent
-spellings no longer matter) and its digest is hash-joined with those of known licence texts and
+A text is brought to a canonical form (case, punctuation, copyright lines, list marks and
+equivalent spellings no longer matter) and its digest is hash-joined with those of known licence texts and
 licence statements. Digests are of entire units: the whole text, each paragraph and each line.
 """
 
@@ -52,9 +52,58 @@ _AS_IS = (
     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
 _GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_DISCLAIMED = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_NOTICE = (
+    "This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.\n"
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.\n"
+    "You should have received a copy of the {name} along with this {what}{end}"
+)
+_ENDS = (
+    ". If not, see <https://www.gnu.org/licenses/>.",
+    "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA.",
+    "; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+)
+#: The licences that ask for _NOTICE, with their names in it and versions.
+_GNU = {
+    "GPL-2.0": ("GNU General Public License", "2"), "GPL-3.0": ("GNU General Public License", "3"), "LGPL-2.1": ("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "3"), "AGPL-3.0": ("GNU Affero General Public License", "3"),
+}
+#: Whole licence texts, and for Apache-2.0, MPL-2.0 and EPL-2.0 the notice that the licence asks for. A line here is a paragraph.
 TEXTS = {
     "0BSD": f"{_GRANT}.\n{_AS_IS}",
+    "BSD-2-Clause": f"{_BSD}\n{_DISCLAIMED}",
+    "BSD-3-Clause": f"{_BSD}\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n{_DISCLAIMED}",
+    "BSL-1.0": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, '
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n"
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING '
+        "THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "ISC": f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n{_AS_IS}",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.\n"
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER '
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+        "For more information, please refer to <https://unlicense.org/>"
+    ),
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
@@ -80,7 +129,12 @@ TEXTS = {
 }
 #: Spellings that mean the same, after lower-casing and removal of punctuation.
 SPELLINGS = (("licence", "license"), ("noncommercial", "non commercial"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("https", "http"))
-COPYRIGHT = r"^\W*(copyright\b|\(c\)|©)|^\W*all rights reserved\W*$"
+#: Lines that go: a copyright line names a year, a sign or a place for the holder; wrapped prose may start with the word too.
+COPYRIGHT = r"^\W*copyright\b.*(\(c\)|©|[0-9]{4}|[<\[])|^\W*(\(c\)|©)\W*[0-9]{4}|^\W*all rights reserved\W*$"
+#: Marks of list items: 1. or 1) or (a) or *.
+ITEM = r"^[ \t*•-]*(\(?[0-9]{1,2}[.)]|\([a-z]\))([ \t]+|$)"
+#: A paragraph of at least so many words is known by itself if only one licence has it.
+LONG_PARAGRAPH = 25
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
@@ -89,7 +143,7 @@ def canonical(text: str) -> str:
     kept = []
     for line in text.lower().split("\n"):
         if not re.search(COPYRIGHT, line, re.A):
-            line = re.sub(r"[\W_]+", " ", line).strip()
+            line = re.sub(r"[\W_]+", " ", re.sub(ITEM, "", line, flags=re.A)).strip()
             for a, b in SPELLINGS:
                 line = line.replace(a, b)
             kept.append(line)
@@ -100,7 +154,7 @@ def canonical_lines(text: Column) -> Column:
     """array<string>: each line's canonical form; '' for copyright lines and lines without letters or digits."""
 
     def one(line: Column) -> Column:
-        plain = F.trim(F.regexp_replace(line, PUNCTUATION, " "))
+        plain = F.trim(F.regexp_replace(F.regexp_replace(line, ITEM, ""), PUNCTUATION, " "))
         for a, b in SPELLINGS:
             plain = F.replace(plain, F.lit(a), F.lit(b))
         return F.when(line.rlike(COPYRIGHT), "").otherwise(plain)
@@ -108,18 +162,33 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), "\n", -1), one)
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of every known text, with the forms of the GNU notice."""
+    forms = [
+        (spdx, _NOTICE.format(what=what, stop=stop, comma=comma, name=name, version=version, end=end))
+        for spdx, (name, version) in _GNU.items() for what in ("program", "library", "software", "file") for stop, comma in ((":", ","), (";", ";")) for end in _ENDS
+    ]
+    return [*TEXTS.items(), *forms]
+
+
 def registry() -> dict[str, str]:
-    """licence by digest of every known text and statement."""
-    known = {}
+    """licence by digest of every known text and statement, and of long paragraphs that one licence has alone."""
+    digest = lambda text: hashlib.md5(canonical(text).encode()).hexdigest()
+    known, parts = {}, {}
+    for spdx, text in whole_texts():
+        for p in text.split("\n"):
+            if len(p.split()) >= LONG_PARAGRAPH:
+                parts.setdefault(digest(p), set()).add(spdx)
+    known |= {d: min(of) for d, of in parts.items() if len(of) == 1}
     for spdx, names in NAMES.items():
         for n in names:
             for s in STATEMENTS:
-                known[hashlib.md5(canonical(s.format(n=n)).encode()).hexdigest()] = spdx
-    for spdx, text in TEXTS.items():
-        known[hashlib.md5(canonical(text).encode()).hexdigest()] = spdx
+                known[digest(s.format(n=n))] = spdx
+    for spdx, text in whole_texts():
+        known[digest(text)] = spdx
         for n in NAMES[spdx]:
             for title in (n, f"The {n}"):
-                known[hashlib.md5(canonical(f"{title}\n{text}").encode()).hexdigest()] = spdx
+                known[digest(f"{title}\n{text}")] = spdx
     return known
 
 
@@ -130,7 +199,8 @@ def known_digests(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, unit, nth, license, digest) for every unit that is a known licence text or statement.
 
-    ``unit`` is text, paragraph or line, ``nth`` its number from 0. Null and empty texts have
+    A whole text that is known is found however its lines are broken; inside a longer text, a
+    licence is found by its paragraphs and lines. ``unit`` is text, paragraph or line, ``nth`` its number from 0. Null and empty texts have
     no units and repeated rows give their matches once. Only doc_id and text are read.
     """
     full = lambda lines: F.filter(lines, lambda x: x != "")
@@ -145,12 +215,12 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(F.size("paragraphs") > 1, unit("paragraph", F.col("paragraphs"))).otherwise(F.array()),
         F.when(F.size("lines") > 1, unit("line", F.col("lines"))).otherwise(F.array()),
     )).alias("u"))
-    known = F.broadcast(known_digests(docs.sparkSession))  # the registry above: under a thousand rows
+    known = F.broadcast(known_digests(docs.sparkSession))  # the registry above: under two thousand rows
     return rows.select("doc_id", "u.unit", "u.nth", "u.digest").join(known, "digest").select("doc_id", "unit", "nth", "license", "digest").distinct()
 
 
 def _sql() -> str:
-    plain = r"trim(regexp_replace(x, '[^\p{L}\p{N}\n]+', ' ', 'g'), ' ')"
+    plain = rf"trim(regexp_replace(regexp_replace(x, '{ITEM}', ''), '{PUNCTUATION}', ' ', 'g'), ' ')"
     for a, b in SPELLINGS:
         plain = f"replace({plain}, '{a}', '{b}')"
     rows = ", ".join(f"('{d}', '{n}')" for d, n in sorted(registry().items()))
