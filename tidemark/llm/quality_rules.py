@@ -15,8 +15,10 @@ from .common import SPACES, bind, words_of
 SYMBOLS = "#*$%&|<>"
 #: A line fails with more symbols or doubled marks than this share of its characters.
 MAX_SYMBOL_SHARE = 0.10
-#: Separators (|, », ›, ·, •) that make a line a menu.
-MIN_SEPARATORS = 3
+#: A line with so many separators (|, ›, ·, •) is a menu, if it has no more characters than this for each.
+MIN_SEPARATORS, ENTRY_CHARS = 3, 40
+#: A phrase of site furniture condemns a line of up to so many characters: in longer ones it is a subject of the text.
+FURNITURE_CHARS = 160
 #: A line of at least three words with more capitals than this share of its characters is shouting.
 MAX_CAPITAL_SHARE = 0.5
 #: A document that loses more of its word characters than this is rejected.
@@ -44,10 +46,11 @@ def line_fails(line: Column) -> Column:
     """Whether a line, judged alone, is not prose."""
     chars = _line_chars(line)
     marks = _count_of(line, SYMBOLS + "{}[]\\^~_=") + F.regexp_count(line, F.lit(r"[!?]{2,}")) * 2
-    menu = _count_of(line, "|»›·•") >= MIN_SEPARATORS
+    separators = _count_of(line, "|›·•")
+    menu = (separators >= MIN_SEPARATORS) & (chars <= ENTRY_CHARS * separators)
     capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
     shouting = (capitals > MAX_CAPITAL_SHARE * chars) & (F.length(F.trim(line)) - F.length(F.translate(F.trim(line), " ", "")) >= 2)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    boilerplate = (chars <= FURNITURE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
     return (marks > MAX_SYMBOL_SHARE * chars) | menu | shouting | boilerplate
 
 
@@ -111,10 +114,10 @@ WITH d AS (
   SELECT doc_id, len(ls) - len(list_distinct(ls)) AS dup,
     list_filter(list_distinct(ls), lambda x: NOT (
       length(x) - length(translate(x, '{SYMBOLS}{{}}[]\^~_=', '')) + 2 * len(regexp_extract_all(x, '[!?]{{2,}}')) > {MAX_SYMBOL_SHARE}::DOUBLE * length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
-      OR length(x) - length(translate(x, '|»›·•', '')) >= {MIN_SEPARATORS}
+      OR (length(x) - length(translate(x, '|›·•', '')) >= {MIN_SEPARATORS} AND length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) <= {ENTRY_CHARS} * (length(x) - length(translate(x, '|›·•', ''))))
       OR (len(regexp_extract_all(x, '\p{{Lu}}')) > {MAX_CAPITAL_SHARE}::DOUBLE * length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
           AND length(trim(x, ' ')) - length(replace(trim(x, ' '), ' ', '')) >= 2)
-      OR regexp_matches(lower(x), '{"|".join(BOILERPLATE)}'))) AS kept
+      OR (length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) <= {FURNITURE_CHARS} AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}')))) AS kept
   FROM lines
 ), w AS (
   SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS word FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM d)
