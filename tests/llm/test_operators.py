@@ -1,6 +1,8 @@
 """The training-data operators on small hand-made tables, against brute force and known answers."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -139,6 +141,52 @@ def test_mix_meets_targets_and_repeats(spark, odd, none):
     assert mixing.mixed(odd).count() == plan.filter("taken > 0").agg(F.sum(F.col("taken") / F.col("size"))).first()[0]
 
 
+def slow_mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, epochs=2):
+    """taken by row: sort all copies by finish time, take while the budget lasts."""
+    import hashlib
+
+    size = lambda t: len([w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in t or "").split(" ") if w])
+    of, words = {}, {}
+    for i, t, s in rows:
+        of.setdefault(s, []).append((hashlib.md5(f"mix:{i}".encode()).hexdigest()[:15], i, size(t)))
+    names = sorted((s for s in of if s is not None)) + [s for s in of if s is None]
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    words = {s: sum(x[2] for x in of[s]) for s in names}
+    target, left, free = {}, share * sum(words.values()), list(names)
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = [s for s in free if level * w[s] > epochs * words[s]]
+        if not full:
+            target |= {s: level * w[s] for s in free}
+            break
+        for s in full:
+            target[s] = epochs * words[s]
+            left -= target[s]
+            free.remove(s)
+    copies = []
+    for s in names:
+        run = 0
+        for _ in range(epochs):
+            for _, i, n in sorted(of[s]):
+                run += n
+                if n:
+                    copies.append((run / target[s], "" if s is None else "=" + s, run, i, n))
+    taken, spent = dict.fromkeys((i for i, _, _ in rows), 0), 0
+    for _, _, _, i, n in sorted(copies):
+        spent += n
+        if spent > share * sum(words.values()):
+            break
+        taken[i] += n
+    return taken
+
+
+def test_mix_equals_a_sorted_cut(spark):
+    rng = random.Random(40)
+    for sources, n in ((5, 400), (1, 40), (9, 300)):
+        rows = [(i, prose(rng, rng.randrange(0, 60)), None if i % 11 == 0 else f"s{min(rng.randrange(sources), rng.randrange(sources))}") for i in range(n)]
+        assert {r.doc_id: r.taken for r in mixing.mix(frame(spark, rows)).collect()} == slow_mix(rows)
+
+
 def test_quality_rules(spark, odd, none):
     rng = random.Random(6)
     good = "\n".join(prose(rng, 12).capitalize() + "." for _ in range(6))
@@ -147,6 +195,9 @@ def test_quality_rules(spark, odd, none):
     got = {r.doc_id: r for r in quality_rules.clean(frame(spark, [(1, good, "a"), (2, menu, "a"), (3, loop, "a"), (4, "short", "a"), (5, None, "a")])).collect()}
     assert [got[i].kept for i in range(1, 6)] == [True, False, False, False, False]
     assert got[1].clean_text == good and got[3].n_repeat_words == 45 and got[2].n_dup_lines == 6 and got[5].n_words == 0
+    long = prose(rng, 3000) + " and the privacy policy says read more of it " + prose(rng, 2000)
+    quoted = " ".join(f"{prose(rng, 20)} « {prose(rng, 3)} » {prose(rng, 30)} · and" for _ in range(5))
+    assert all(r.kept for r in quality_rules.clean(frame(spark, [(1, long, "a"), (2, quoted, "a")])).collect())
     words = [rng.choice("abc") for _ in range(200)]
     seen = [" ".join(words[i : i + 8]) for i in range(193)]
     covered = {p for i in range(193) if seen.count(seen[i]) > 1 for p in range(i, i + 8)}
@@ -499,8 +550,6 @@ def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
 
 
 def brute_secrets(text):
-    import re
-
     text = text or ""
     spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
     spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
@@ -518,6 +567,24 @@ def test_secrets(spark, odd, none):
     assert all(got[i].base_spans == brute_secrets(t) for i, t in enumerate(texts))
     assert got[2].spans == f"dense:4:{4 + len(token)}" and got[2].n_dense == 1 and got[5].spans == ""
     assert secrets.redact(texts[2], got[2].spans) == "see [SECRET] there"
+    encoding = secrets.vocabulary(RANKS)
+    dense = lambda t: [(a, b) for a, _, b in secrets.dense_spans(t, [], encoding)]
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(28)) for _ in range(200)]
+    grouped = ["-".join("".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(5)) for _ in range(4)) for _ in range(200)]
+    mixed = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24)) for _ in range(200)]
+    assert sum(dense(f"key {t} end") == [(4, 4 + len(t))] for t in letters) > 170 and sum(dense(t) == [(0, len(t))] for t in grouped) > 190 and sum(dense(t) == [(0, len(t))] for t in mixed) > 190
+    plain = "getUserAccountByIdentifier some_long_identifier_name_v2 XMLHttpRequestFactoryBean kubernetes-deployment-config THIS_IS_A_CONSTANT_NAME Donaudampfschifffahrtsgesellschaft /usr/local/share/applications ===================== 0123456789012345678901"
+    assert dense(plain) == [] and dense("sha1 " + hashlib.sha1(b"x").hexdigest().upper()) == []
+    # Every dense span by the same rules applied to each unbroken string in turn.
+    for t in texts[2:]:
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t or ""):
+            w, base = m[0], [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute_secrets(t).split(",") if x)]
+            hits = any(a < m.end() and m.start() < b for a, b in base)
+            strict = not re.search("[0-9]", w) or secrets._IDENTIFIER.fullmatch(w)
+            if re.search("[A-Za-z]", w) and not secrets._KNOWN.fullmatch(w) and not hits and len(w) / len(encoding.encode_ordinary(w)) < (1.6 if strict else 2.2):
+                want.append(f"dense:{m.start()}:{m.end()}")
+        assert [x for x in got[texts.index(t)].spans.split(",") if x.startswith("dense")] == want
     assert secrets.scan(odd, RANKS).count() == odd.count() and secrets.scan(none, RANKS).count() == 0
 
 
@@ -526,6 +593,21 @@ def test_licenses(spark, odd, none):
     docs = frame(spark, [(1, mit, "a"), (2, "Text first.\nlicensed under the APACHE licence version 2.0\nMore text.", "a"), (3, "no such thing", "a"), (4, None, "a"), (5, "(c) 2020 Me\n", "a")])
     got = {(r.doc_id, r.unit, r.nth, r.license) for r in licenses.scan(docs).collect()}
     assert (1, "text", 0, "MIT") in got and (2, "line", 1, "Apache-2.0") in got and {g[0] for g in got} == {1, 2}
+    rng = random.Random(50)
+    changed = []
+    for spdx, text in licenses.whole_texts():
+        words = text.replace("license", "licence").replace("\n", " \n ").split(" ")
+        lines = "".join(w.swapcase() + rng.choice([" ", " ", " ", "\n", "  "]) if w != "\n" else "\n\n" for w in words)
+        changed.append((spdx, f"{licenses.NAMES[spdx][0].upper()}\n\nCopyright (c) 1999-{rng.randrange(2000, 2030)}, A. Holder <a@b.c>\nAll rights reserved.\n\n{lines}"))
+    rows = [(i, t, "a") for i, (_, t) in enumerate(changed)]
+    rows += [(1000 + i, f"Some prose before.\n\n{text}\n\nAnd after it.", "a") for i, text in enumerate(licenses.TEXTS.values())]
+    got = {}
+    for r in licenses.scan(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.unit, r.license))
+    assert [] == [(spdx, t) for i, (spdx, t) in enumerate(changed) if ("text", spdx) not in got.get(i, ())]
+    inside = {spdx: {x for _, x in got.get(1000 + i, ())} for i, spdx in enumerate(licenses.TEXTS)}
+    assert inside["BSD-3-Clause"] == {"BSD-3-Clause"} and inside["BSL-1.0"] == {"BSL-1.0"} and inside["Unlicense"] == {"Unlicense"} and inside["MIT"] == {"MIT"}
+    assert licenses.canonical("copyright notice, this list") and not licenses.canonical("  Copyright 2020 Me") and not licenses.canonical("(c) 2021 me")
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
