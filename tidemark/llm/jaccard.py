@@ -41,11 +41,11 @@ PIECE = 1 << 18
 #: Ids of the documents to verify are broadcast up to this many (16 MB), else shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bands whose top is at most SMALL have parts of about one feature and c = 1; in others a set at the top has FILL features a part, in PIECES pieces, and c is this share of the top.
-SMALL, FILL, PIECES, SHARED = 64, 5.4, 3, 0.015
+SMALL, FILL, PIECES, SHARED = 64, 5.8, 3, 0.006
 #: A signature is hot if this share of a sample (a text in SAMPLED, by hash) has it, and so many sets at least; hot ones are dealt to SALTS tasks.
 HOT_SHARE, HOT_LEAST, SAMPLED, SALTS = 1 / 1000, 16, 64, 64
-#: Rounds of dropping sets with too few shared signatures, and of comparing with one set a signature.
-PEEL, HUBS = 2, 1
+#: Rounds of comparing a signature's sets with one of them.
+HUBS = 1
 #: Words of 64 bits of a sketch.
 SKETCH = 32
 
@@ -55,6 +55,7 @@ _BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint6
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_TRUE = np.array([True])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -125,24 +126,33 @@ def fingerprint(s: np.ndarray) -> int:
         return int(_mix(np.array([np.add.reduce(_mix(s ^ _K1)) + _U(len(s)) * _K2]))[0].astype(np.int64))
 
 
-def _enumerated(s: np.ndarray, parts: int, need: int) -> tuple[np.ndarray, bool]:
-    """(hash of each subset of pieces, whether ``need`` parts promise) over the first parts that do."""
-    cell = ((s >> _U(32)) * _U(parts * PIECES) >> _U(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
-    sums, sizes = np.zeros(parts * PIECES, np.uint64), np.zeros(parts * PIECES, np.int64)
-    sums[cell[first]] = np.add.reduceat(s, first)
-    sizes[cell[first]] = np.diff(np.append(first, len(s)))
-    sums, sizes = sums.reshape(parts, PIECES), sizes.reshape(parts, PIECES)
-    promise = np.cumsum((sizes > 0).sum(1) >= 2)
-    enough = promise[-1] >= need
+def _enumerated(s: np.ndarray, high: np.ndarray, parts: int, need: int) -> tuple[np.ndarray, bool]:
+    """(a number for each subset of pieces, whether ``need`` parts promise) over the first parts that do."""
+    cell = (high * _U(parts * PIECES) >> _U(32)).view(np.int64)
+    first = np.flatnonzero(np.concatenate([_TRUE, cell[1:] != cell[:-1]]))
+    at = cell[first]
+    full = np.zeros(parts * PIECES, bool)
+    full[at] = True
+    full = full.reshape(parts, PIECES)
+    kinds = full.sum(1)
+    promise = np.cumsum(kinds >= 2)
+    enough = bool(promise[-1] >= need)
     take = int(np.searchsorted(promise, need)) + 1 if enough else parts
-    rest = sums[:take].sum(1, keepdims=True, dtype=np.uint64) - sums[:take]
-    some = sizes[:take].sum(1, keepdims=True) > sizes[:take]
-    return _mix(rest + (np.arange(1, take + 1, dtype=np.uint64) * _K1)[:, None])[some], bool(enough)
+    sums = np.zeros(parts * PIECES, np.uint64)
+    sums[at] = np.add.reduceat(s, first)
+    sums = sums.reshape(parts, PIECES)[:take]
+    rest = sums.sum(1, keepdims=True, dtype=np.uint64) - sums
+    rest += np.arange(1, take + 1, dtype=np.uint64)[:, None] * _K1
+    full, kinds = full[:take], kinds[:take]
+    some = kinds[:, None] > full
+    one = np.flatnonzero(kinds == 1)  # two of its subsets are the same
+    some[one] = False
+    some[one, full[one, 0].astype(np.int64)] = True
+    return rest[some], enough
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
-    """Distinct signatures as signed 64-bit, their five low bits the band.
+    """Signatures as signed 64-bit, their five low bits the band.
 
     Sets of parts of about one feature come in levels: where d + c parts are not occupied, a set
     adds those of ever finer parts until they are, and any two sets share the coarser of their
@@ -163,22 +173,25 @@ def signatures(s: np.ndarray) -> np.ndarray:
         for k, d in plan:
             top = 2 << k
             c = required(top)
-            mark = lambda x, level, k=k: ((_mix(x + _U(1 + 32 * level + k) * _K3) & ~_U(31)) | _U(k)).view(np.int64)
             if top > SMALL:
-                found, enough = _enumerated(s, int(top / FILL) + 2, d // 2 + c)
-                out.append(mark(found, 0))
+                found, enough = _enumerated(s, high, int(top / FILL) + 2, d // 2 + c)
+                out.append(_marked(found, k, 0))
                 if enough:
                     continue
             parts, level = 64 * top, 1
             while True:
                 part = high * _U(parts) >> _U(32) if parts < 1 << 31 else s
-                group = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                group = np.flatnonzero(np.concatenate([_TRUE, part[1:] != part[:-1]]))
                 sums = np.add.reduceat(s, group)[: d + c]
-                out.append(mark(_mix(sums + part[group[: len(sums)]] * _K1), level))
+                out.append(_marked(sums + part[group[: len(sums)]] * _K1, k, level))
                 if len(group) >= d + c or part is s:
                     break
                 parts, level = parts * 8, level + 1
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
+
+
+def _marked(x: np.ndarray, band: int, level: int) -> np.ndarray:
+    return ((_mix(x + _U(1 + 32 * level + band) * _K3) & ~_U(31)) | _U(band)).view(np.int64)
 
 
 # ---- on Spark
@@ -227,17 +240,11 @@ def _hot(docs: DataFrame) -> DataFrame:
 def _first_shared(docs: DataFrame, hot: DataFrame) -> DataFrame:
     """(sig, fp) of signatures that more than one set has. Those of ``hot`` (written out) are known to be, and are dealt by set."""
     rows = _signed(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
-    same = W.partitionBy("sig", "salt")
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("fp", F.lit(SALTS))).otherwise(F.lit(-1).cast("long")))
+    same = W.partitionBy("place")  # one key of a whole number sorts fastest
+    rows = rows.withColumn("place", F.when(F.col("hot"), F.xxhash64("sig", F.pmod("fp", F.lit(SALTS)))).otherwise(F.col("sig")))
     return rows.withColumns({"low": F.min("fp").over(same), "high": F.max("fp").over(same)}).filter("hot OR low <> high").select("sig", "fp").distinct()
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The (sig, fp) rows whose signature more than one set has. ``rows`` is written out."""
-    more = rows.groupBy("sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("sig")
-    return rows.join(more, "sig", "left_semi")
-
-
 def _need(band):
     """The shared signatures that two linked sets have at least in a band."""
     return F.array(*[F.lit(required(2 << k)) for k in range(32)])[band.cast("int")]
@@ -333,15 +340,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 _MAY_LINK = "4 * {n} >= 3 * {m} AND 4 * {m} >= 3 * {n} AND 7 * ({p} + {q}) <= {n} + {m} AND 7 * ({n} - {p}) >= 3 * ({n} + {m}) AND 7 * ({m} - {q}) >= 3 * ({n} + {m})"
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None, tables: Scratch) -> DataFrame:
-    """``shared`` (sig, fp, n, own) with each set's component, without rows that cannot link beyond it.
-
-    A signature that one component has alone goes, and so do sets too poor in shared features
-    to link even with the signature's smallest set.
-    """
-    rows = shared.withColumn("label", F.col("fp")) if labels is None else shared.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+def _labelled(shared: DataFrame, labels: DataFrame, tables: Scratch) -> DataFrame:
+    """``shared`` (sig, fp, n, own) with each set's component; a signature that one component has alone goes."""
+    rows = shared.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     rows = tables.store(rows)
-    rows = tables.store(rows.join(rows.groupBy("sig").agg(F.min("n").alias("least")), "sig").filter("7 * (n - own) >= 3 * (n + least)").drop("least"))
     more = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
     return tables.store(rows.join(more, "sig", "left_semi"))
 
@@ -353,16 +355,14 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         .select("fp", "n", "m.doc_id", "m.text_hash")
     )
     with Scratch(docs.sparkSession) as tables:
-        shared = tables.store(_first_shared(docs, tables.store(_hot(docs))))
-        for _ in range(PEEL):
-            shared = tables.store(_shared(tables.store(_enough(shared))))
+        shared = tables.store(_enough(tables.store(_first_shared(docs, tables.store(_hot(docs))))))
         ids = tables.store(classes.join(shared.select("fp").distinct(), "fp", "left_semi"))
         texts = tables.store(_texts(docs, ids.drop("n")))
         sized = ids.join(_own_features(texts), "fp", "left").select("fp", "n", F.coalesce("own", F.lit(0)).alias("own")).filter("4 * own <= n")
         shared = tables.store(shared.join(sized, "fp"))
         labels, edges, tried = None, None, None
         for turn in range(HUBS):
-            rows = _labelled(shared, labels, tables)
+            rows = shared.withColumn("label", F.col("fp")) if labels is None else _labelled(shared, labels, tables)
             # A signature's hub is the set with the fewest features of its own, the next turn one of a random component.
             rank = F.col("own") / F.col("n") if turn == 0 else F.xxhash64("label", F.lit(turn)).cast("double")
             hub = rows.groupBy("sig").agg(F.min(F.struct(rank.alias("rank"), "fp", "label", "n", "own")).alias("hub"))
@@ -382,8 +382,9 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"} | {f"x{i}": f"y{i}" for i in range(SKETCH)})
         # Two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one.
         differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: what a pairing costs is not in the size of its input
         apart = (
-            minor.join(other, "sig")
+            minor.repartition(tasks, "sig").join(other.repartition(tasks, "sig"), "sig")
             .filter("label <> label_b AND (major OR a < b) AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sig").bitwiseAND(31).alias("band")).count()
             .filter(F.col("count") >= _need(F.col("band"))).select("a", "b").distinct()
