@@ -3,10 +3,10 @@
 Two sets link when their Jaccard similarity is at least 3/4, so with sizes a and b they differ
 in at most k = (a + b) / 7 features. Sets are put in bands of equal size (a factor of two); a set
 near its band's top also enters the next, so two that link share a band. In a band the feature
-domain is cut into first-level parts, the same for all, and each of these into three pieces. Of
+domain is cut into first-level parts, the same for all, and each of these into PIECES pieces. Of
 any parts at most k / 2 hold two differences or more; in any other, all differences lie in one
-piece, so the two sets agree on one of the part's three subsets of two pieces. A signature is
-such a subset with the set's features in it, unless it has none. A part in which a set has
+piece, so the two sets agree on one of the part's subsets that leave a piece out. A signature is
+such a subset with the set's features in it, unless it has none; all subsets are enumerated. A part in which a set has
 features in one piece only promises nothing, so each set takes the first parts of which enough
 promise: then it shares at least c signatures with every set that links with it. Small sets,
 and sets that would need more parts than there are, use parts of about one feature instead, the
@@ -41,7 +41,7 @@ PIECE = 1 << 18
 #: Ids of the documents to verify are broadcast up to this many (16 MB), else shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bands whose top is at most SMALL have parts of about one feature and c = 1; in others a set at the top has FILL features a part, in PIECES pieces, and c is this share of the top.
-SMALL, FILL, PIECES, SHARED = 64, 5.8, 3, 0.006
+SMALL, FILL, PIECES, SHARED = 64, 5.0, 2, 0.015
 #: A signature is hot if this share of a sample (a text in SAMPLED, by hash) has it, and so many sets at least; hot ones are dealt to SALTS tasks.
 HOT_SHARE, HOT_LEAST, SAMPLED, SALTS = 1 / 1000, 16, 64, 64
 #: Rounds of comparing a signature's sets with one of them.
@@ -341,9 +341,14 @@ _MAY_LINK = "4 * {n} >= 3 * {m} AND 4 * {m} >= 3 * {n} AND 7 * ({p} + {q}) <= {n
 
 
 def _labelled(shared: DataFrame, labels: DataFrame, tables: Scratch) -> DataFrame:
-    """``shared`` (sig, fp, n, own) with each set's component; a signature that one component has alone goes."""
-    rows = shared.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rows = tables.store(rows)
+    """``shared`` (sig, fp, n, own) with each set's component, without rows that cannot link beyond it.
+
+    A signature that one component has alone goes, and so do sets too poor in shared features
+    to link even with the signature's smallest set.
+    """
+    rows = tables.store(shared.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    of = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low <> high")
+    rows = tables.store(rows.join(of, "sig").filter("7 * (n - own) >= 3 * (n + least)").drop("low", "high", "least"))
     more = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
     return tables.store(rows.join(more, "sig", "left_semi"))
 
