@@ -7,6 +7,8 @@ much of its text is rejected, as is one that fails the base rules.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def line_fails(line: Column) -> Column:
     menu = (separators >= MIN_SEPARATORS) & (chars <= ENTRY_CHARS * separators)
     capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
     shouting = (capitals > MAX_CAPITAL_SHARE * chars) & (F.length(F.trim(line)) - F.length(F.translate(F.trim(line), " ", "")) >= 2)
-    boilerplate = (chars <= FURNITURE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
+    boilerplate = (chars <= FURNITURE_CHARS) & bind(F.lower(line), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
     return (marks > MAX_SYMBOL_SHARE * chars) | menu | shouting | boilerplate
 
 
@@ -69,10 +71,13 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
             F.transform(t, lambda x, j: F.least(F.lit(n), F.coalesce(F.get(t, j + 1) - x, F.lit(n)))), F.lit(0).cast("long"), lambda a, x: a + x,
         ))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = bind(hashes, lambda h: F.when(
-        F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n))),
-    ))
+    # A window's hash is of its halves' hashes, and so on: n is a power of two.
+    windows = F.transform(words, lambda w: F.xxhash64(w))
+    width = 1
+    while width < n:
+        windows = bind(windows, lambda v, k=width: F.transform(v, lambda x, i: F.xxhash64(x, F.get(v, i + k))))
+        width *= 2
+    windows = bind(windows, lambda v: F.when(F.size(v) >= n, F.slice(v, 1, F.size(v) - (n - 1))))
     return bind(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0).cast("long")))
 
 
