@@ -107,10 +107,13 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd, none):
     assert jaccard.near_duplicates(none).count() == 0
     words = prose(rng, 400).split()
     near = [" ".join([*words[:k], "x", *words[k:]]) for k in range(0, 400, 40)]
-    nameless = frame(spark, [(None, t, "a") for t in near + near[:3]] + [(None, prose(rng, 50), "b"), (None, "", "b"), (None, None, "b")])
-    assert jaccard.deduplicate(nameless).count() == 4 and jaccard.near_duplicates(nameless).filter("component_id IS NOT NULL").count() == 0
-    bridge = frame(spark, [(1, near[0], "a"), (None, near[5], "a"), (2, near[9], "a")])
-    assert {r.component_id for r in jaccard.near_duplicates(bridge).collect()} == {1} and [r.doc_id for r in jaccard.deduplicate(bridge).collect()] == [1]
+    other = prose(rng, 400).split()
+    bridge = [(1, " ".join(other), "a"), (None, " ".join(["x", *other[:380]]), "a"), (2, " ".join(["y", *other[:290]]), "a")]
+    nameless = frame(spark, [(None, t, "a") for t in near + near[:3]] + [(None, prose(rng, 50), "b"), (None, "", "b"), (None, None, "b"), *bridge])
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in jaccard.deduplicate(nameless).collect()).count((1, other[0][0])) == 1
+    labelled = jaccard._classified(nameless).collect()
+    assert {r.component_id for r in labelled if r.doc_id in (1, 2)} == {1} and sum(r.component_id == 1 for r in labelled) == 3
+    assert len({r.label for r in labelled if r.n > 390 and r.component_id is None}) == 1
 
 
 def test_components_of_a_long_chain(spark):

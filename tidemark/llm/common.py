@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import Scratch, discard, materialise, shared_dir, stored
+from ..sources.work import Scratch, discard, mark, materialise, release, shared_dir, stored
 
-__all__ = ["SPACES", "WORD", "Scratch", "bind", "discard", "fold", "in_batches", "materialise", "shared_dir", "stored", "table", "words_of"]
+__all__ = ["SPACES", "WORD", "Scratch", "bind", "discard", "fold", "in_batches", "mark", "materialise", "release", "shared_dir", "stored", "table", "words_of"]
 
 #: A word, everywhere in these operators: a run of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,7 +21,8 @@ def in_batches(df: DataFrame, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -
     """``df``, with the session's Arrow batches set to at most so many rows and bytes.
 
     Texts are long: by default a task's Python worker would hold 10,000 of them at once. The
-    setting is the session's, as results are computed after this returns.
+    setting is the session's and stays, as results are computed after this returns; larger
+    batches asked for later hold for what is planned later.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
