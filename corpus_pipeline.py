@@ -7,11 +7,14 @@ docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, mixing, token_file
-from tidemark.llm.common import materialise, table
+from tidemark.llm.common import discard, mark, release, shared_dir, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' own account of the documents in them."""
-    return token_file.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The token files' own account of the documents in them, and the folder they are in.
+
+    That is a new one inside ``tidemark.token_files`` if the session sets it, else in the shared folder.
+    """
+    base = spark.conf.get("tidemark.token_files", None)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else shared_dir(spark)
+    return token_file.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), path).withColumn("path", F.lit(path))
 
 
 STAGES = [
@@ -49,8 +57,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
+        start, was = mark(), before
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = materialise(docs)
+            docs, before = stored(docs)
+            release(spark, start)  # what the stage itself wrote on its way
+            if was:
+                discard(spark, was)
     return docs
