@@ -87,10 +87,20 @@ def time_range(log: DataFrame) -> DataFrame:
     return log.agg(F.min("timestamp").alias("ts_min"), F.max("timestamp").alias("ts_max"))
 
 
+def with_week(log: DataFrame) -> DataFrame:
+    """``log`` with week, counted from the first row."""
+    low = log.agg(F.min("timestamp")).first()[0] or 0
+    return log.withColumn("week", F.expr(f"(timestamp - {low}) div {WEEK}"))
+
+
+def organic_share(log: DataFrame) -> DataFrame:
+    """One row: the share of rows that no recommendation led to."""
+    return log.agg(F.avg((F.col("is_organic") == 1).cast("int")).alias("organic_share"))
+
+
 def weekly(log: DataFrame) -> DataFrame:
     """(week, interactions, active_users), weeks counted from the first row; weeks without rows are absent."""
-    low = log.agg(F.min("timestamp")).first()[0] or 0
-    return log.groupBy(F.expr(f"(timestamp - {low}) div {WEEK}").alias("week")).agg(F.count(F.lit(1)).alias("interactions"), F.count_distinct("uid").alias("active_users"))
+    return with_week(log).groupBy("week").agg(F.count(F.lit(1)).alias("interactions"), F.count_distinct("uid").alias("active_users"))
 
 
 def trend(weeks: DataFrame, column: str = "interactions", flat: float = 0.05) -> DataFrame:

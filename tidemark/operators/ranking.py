@@ -110,6 +110,11 @@ def _unit(hexed):
     return F.conv(F.substring(hexed, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def log_popularity(popularity: DataFrame) -> DataFrame:
+    """(item_id, log_popularity): ln(1 + popularity) of (item_id, popularity)."""
+    return popularity.select("item_id", F.log1p("popularity").alias("log_popularity"))
+
+
 def hits(ranked: DataFrame, targets: DataFrame) -> DataFrame:
     """``ranked`` with hit, 1 where the item is among the user's targets (uid, item_id)."""
     wanted = targets.select("uid", "item_id").distinct().withColumn("hit", F.lit(1))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import FIXTURE, Settings
-from ..operators import cleaning, splits
+from ..operators import cleaning, profile, splits
 from ..sources import schema, tables
 from ..sources.work import materialise
 
@@ -49,3 +50,9 @@ def prepare(spark: SparkSession, sf_dir: str, how: Settings = FIXTURE) -> Prepar
         val, test = materialise(splits.warm(val_raw, train)), materialise(splits.warm(test_raw, train))
         _done[key] = Prepared(raw, log, cut, train, val_raw, test_raw, val, test, materialise(splits.dense_ids(train)))
     return _done[key]
+
+
+def report(p: Prepared) -> DataFrame:
+    """(stage, rows, users, items) of the log at each stage; sinks.markdown() makes a page of it."""
+    stages = {"raw": p.raw, "cleaned": p.log, "train": p.train, "val before cold filter": p.val_raw, "test before cold filter": p.test_raw, "val": p.val, "test": p.test}
+    return tables.scan_union([profile.counts(df).withColumn("stage", F.lit(name)) for name, df in stages.items()])

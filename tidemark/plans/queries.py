@@ -15,7 +15,7 @@ from ..config import FIXTURE, WEEK
 from ..operators import cleaning, metrics, neural, profile, ranking, sequences, significance, splits, vectors
 from ..sources import schema, sinks, tables
 from ..sources.work import materialise, shared_dir
-from .prepare import prepare
+from .prepare import prepare, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,14 +124,12 @@ def _(spark, d):
 
 @register("P7_week_bucket", f"SELECT uid, item_id, timestamp, (timestamp - (SELECT min(timestamp) FROM fixed)) // {WEEK} AS week FROM fixed")
 def _(spark, d):
-    log = prepare(spark, d).log
-    low = log.agg(F.min("timestamp")).first()[0]
-    return log.select("uid", "item_id", "timestamp", F.expr(f"(timestamp - {low}) div {WEEK}").alias("week"))
+    return profile.with_week(prepare(spark, d).log).select("uid", "item_id", "timestamp", "week")
 
 
 @register("P8_organic_share", "SELECT round(avg(is_organic), 6) AS organic_share FROM raw")
 def _(spark, d):
-    return prepare(spark, d).raw.agg(F.round(F.avg((F.col("is_organic") == 1).cast("int")), 6).alias("organic_share"))
+    return r6(profile.organic_share(prepare(spark, d).raw), "organic_share")
 
 
 _BOUNDS = "bounds AS (SELECT round_even(quantile_cont(length, 0.25), 0) AS lo, round_even(quantile_cont(length, 0.75), 0) AS hi FROM histories)"
@@ -524,6 +522,31 @@ def _(spark, d):
     return tables.scan_union([df.select(F.lit(k).alias("split"), "*") for k, df in sinks.import_splits(spark, path, ["train", "val", "test"]).items()])
 
 
+@register("S9_replaced_table", "SELECT * FROM val UNION ALL SELECT * FROM test")
+def _(spark, d):
+    """A table written twice: the second write takes the place of the first."""
+    p, path = prepare(spark, d), f"{shared_dir(spark)}/table"
+    sinks.write_parquet(p.train, path)
+    sinks.write_parquet(tables.scan_union([p.val, p.test]), path)
+    return spark.read.parquet(path)
+
+
+_STAGES = {"raw": "raw", "cleaned": "fixed", "train": "train", "val before cold filter": "val_raw", "test before cold filter": "test_raw", "val": "val", "test": "test"}
+
+
+@register("S11_stage_report", " UNION ALL ".join(f" SELECT '{name}' AS stage, count(*) AS rows, count(DISTINCT uid) AS users, count(DISTINCT item_id) AS items FROM {t}" for name, t in _STAGES.items()))
+def _(spark, d):
+    return report(prepare(spark, d))
+
+
+@register("S13_csv", "SELECT week::INT AS week, interactions::INT AS interactions, active_users::INT AS active_users FROM weeks")
+def _(spark, d):
+    """The weekly series through a CSV file."""
+    path = shared_dir(spark)
+    sinks.write_csv(profile.weekly(prepare(spark, d).log), path)
+    return spark.read.option("header", True).schema("week int, interactions int, active_users int").csv(path)
+
+
 # ---- ranking
 
 _DOT = f"round({DOT.format(a='u.embedding', b='v.embedding')}, 10)"
@@ -630,7 +653,7 @@ def _(spark, d):
 
 @register("R11_log_popularity", "SELECT item_id, round(ln(1 + popularity), 6) AS log_popularity FROM pop")
 def _(spark, d):
-    return profile.group_counts(prepare(spark, d).train, "item_id").select("item_id", F.round(F.log1p("count"), 6).alias("log_popularity"))
+    return r6(ranking.log_popularity(profile.group_counts(prepare(spark, d).train, "item_id").withColumnRenamed("count", "popularity")), "log_popularity")
 
 
 # ---- metrics and tests

@@ -33,9 +33,29 @@ def stored(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Folders that materialise() wrote, until release().
+_made: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage for good."""
-    return stored(df)[0]
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage for good.
+
+    The table stays until release(), as what is made of it is computed later.
+    """
+    out, path = stored(df)
+    _made.append(path)
+    return out
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete what materialise() wrote since a mark(); frames made of it can't be read any more."""
+    while len(_made) > since:
+        discard(spark, _made.pop())
 
 
 def discard(spark: SparkSession, path: str) -> None:
