@@ -71,12 +71,13 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
             F.transform(t, lambda x, j: F.least(F.lit(n), F.coalesce(F.get(t, j + 1) - x, F.lit(n)))), F.lit(0).cast("long"), lambda a, x: a + x,
         ))
 
+    def doubled(hashes: Column, width: int) -> Column:
+        return bind(hashes, lambda v: F.transform(v, lambda x, i: F.xxhash64(x, F.get(v, i + width))))
+
     # A window's hash is of its halves' hashes, and so on: n is a power of two.
     windows = F.transform(words, lambda w: F.xxhash64(w))
-    width = 1
-    while width < n:
-        windows = bind(windows, lambda v, k=width: F.transform(v, lambda x, i: F.xxhash64(x, F.get(v, i + k))))
-        width *= 2
+    for width in (2**k for k in range(n.bit_length() - 1)):
+        windows = doubled(windows, width)
     windows = bind(windows, lambda v: F.when(F.size(v) >= n, F.slice(v, 1, F.size(v) - (n - 1))))
     return bind(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0).cast("long")))
 
