@@ -41,7 +41,7 @@ PIECE = 1 << 18
 #: Ids of the documents to verify are broadcast up to this many (16 MB), else shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bands whose top is at most SMALL have parts of about one feature and c = 1; in others a set at the top has FILL features a part, in PIECES pieces, and c is this share of the top.
-SMALL, FILL, PIECES, SHARED = 64, 5.0, 2, 0.015
+SMALL, FILL, PIECES, SHARED = 64, 5.8, 2, 0.006
 #: A signature is hot if this share of a sample (a text in SAMPLED, by hash) has it, and so many sets at least; hot ones are dealt to SALTS tasks.
 HOT_SHARE, HOT_LEAST, SAMPLED, SALTS = 1 / 1000, 16, 64, 64
 #: Rounds of comparing a signature's sets with one of them.
