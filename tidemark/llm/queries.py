@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, mixing, quality_model, quality_rules, secrets, token_file, toxicity
+from . import centroids, decontaminate, importance, jaccard, language, licenses, mixing, packing, quality_model, quality_rules, secrets, token_file, toxicity
 from .common import table
 
 
@@ -56,11 +56,25 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op12_kdtree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_license_digests, op3_language_id, op4_line_quality, op5_toxicity, op6_secret_scan, op7_ngram_jaccard, op8_quality_model,
-    op9_decontamination, op10_token_file,
+    op9_decontamination, op10_token_file, op11_packing, op12_kdtree_clusters, op13_importance_resampling,
 )}
 SQL = {
     "op1_source_mix": mixing.SQL, "op2_license_digests": licenses.SQL, "op4_line_quality": quality_rules.SQL,
     "op7_ngram_jaccard": jaccard.SQL, "op9_decontamination": decontaminate.SQL,
+    "op12_kdtree_clusters": centroids.SQL, "op13_importance_resampling": importance.SQL,
 }
