@@ -16,6 +16,7 @@ length; ids move once, to the places of their task's numbers.
 from __future__ import annotations
 
 import functools
+import re
 from array import array
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -36,6 +37,10 @@ from .token_file import tokenizer
 WINDOW, END = 4096, 2
 #: Words whose ids a worker remembers, once and while they recur, and the longest of them.
 REMEMBERED, LONGEST = 600_000, 60
+#: Words that are encoded as one string, and the word between them.
+TOGETHER, BETWEEN = 2_000, "|"
+#: A full stop or comma at a word's end that no letter precedes: it may belong to what does.
+_ODD_MARK = re.compile(r"[.,](?<![^\W\d_][.,])[ \n]")
 #: Bits of a remainder's number among those of its length.
 _NUMBER = 44
 
@@ -153,34 +158,65 @@ def places(plan: Plan, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.nda
 
 
 class Words:
-    """Ids of texts for a vocabulary that drops white space: those of their words, remembered while they recur."""
+    """Ids of texts for a vocabulary that drops white space and case and cuts marks from letters: those of their words, remembered while they recur."""
 
     def __init__(self, path: str, end: int) -> None:
         self.tokenizer = tokenizer(path)
-        if self.tokenizer.encode("a\nb", add_special_tokens=False).ids != [*self.tokenizer.encode("a", add_special_tokens=False).ids, *self.tokenizer.encode("b", add_special_tokens=False).ids]:
-            raise ValueError("the vocabulary keeps white space")
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if plain("A\nb.") != [*plain("a"), *plain("b"), *plain(".")]:
+            raise ValueError("the vocabulary keeps white space, case or marks")
         largest = max(*self.tokenizer.get_vocab(with_added_tokens=True).values(), end)
         self.kind = np.dtype("<u2" if largest < 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [array(self.kind.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words without BETWEEN: encoded as one string with it between them, and cut where its id stands."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cut = np.flatnonzero(ids == self.between)
+        if len(cut) != len(words) - 1:
+            return self._alone(words)
+        raw, size = ids.tobytes(), self.kind.itemsize
+        return [raw[x:y] for x, y in zip([0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)], strict=True)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        odd = [w for w in words if self.between is None or BETWEEN in w]
+        plain = [w for w in words if not (self.between is None or BETWEEN in w)]
+        for some, size, make in ((odd, 20_000, self._alone), (plain, TOGETHER, self._together)):
+            for k in range(0, len(some), size):
+                part = some[k : k + size]
+                self.known.update(zip((w.encode() for w in part), make(part), strict=True))
+
+    @staticmethod
+    def cut(text: str | None) -> list[bytes]:
+        """Words at ASCII white space; a lone full stop or comma after a letter is one of its own, and ASCII is lower case."""
+        if not text:
+            return []
+        if not _ODD_MARK.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        raw = text.encode()
+        return raw.lower().split() if len(raw) == len(text) and "<|" not in text else raw.split()
+
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        cut = [t.encode().split() if t else [] for t in texts]  # at ASCII white space only
+        cut = [self.cut(t) for t in texts]
         new = []
         for w in set().union(*cut) - known.keys():
             if (v := older.get(w)) is not None:
                 known[w] = v
             else:
                 new.append(w)
-        new.sort()
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (array(self.kind.char, e.ids).tobytes() for e in made), strict=True))
+        new.sort()  # neighbours share their merges
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
         for w in new:
             if len(w) > LONGEST:
