@@ -209,15 +209,19 @@ class Words:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         cut = [self.cut(t) for t in texts]
+        here: dict[bytes, bytes] = {}  # of these texts alone: small enough for a processor's cache
         new = []
-        for w in set().union(*cut) - known.keys():
-            if (v := older.get(w)) is not None:
-                known[w] = v
+        for w in set().union(*cut):
+            if (v := known.get(w)) is not None:
+                here[w] = v
+            elif (v := older.get(w)) is not None:
+                here[w] = known[w] = v
             else:
                 new.append(w)
         new.sort()  # neighbours share their merges
         self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
+        here.update((w, known[w]) for w in new)
+        out = [b"".join(map(here.__getitem__, words)) + self.end for words in cut]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
