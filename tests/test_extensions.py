@@ -241,3 +241,28 @@ def test_factors_equal_numpy(spark, log):
 
 def test_normalised_zero_vector(spark):
     assert spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(normalised(F.col("v")).alias("v")).first().v == [0.0, 0.0]
+
+
+def test_weekly_stream_equals_the_table(spark, tmp_path):
+    from tidemark.config import WEEK
+    from tidemark.operators.profile import weekly as table_weekly
+    from tidemark.sources.tables import INTERACTIONS
+    from tidemark.streaming import weekly
+
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(1000, 1000 + 6 * WEEK), rng.randrange(20)) for _ in range(500))
+    log = spark.createDataFrame([(u, 1, t, 0, 50, 9) for t, u in rows] + [(None, 1, rows[9][0], 0, 50, 9)], INTERACTIONS)
+    origin, last = rows[0][0], rows[-1][0]
+    source, sink, checkpoint = (str(tmp_path / x) for x in ("source", "sink", "checkpoint"))
+    middle = origin + 3 * WEEK
+    log.filter(F.col("timestamp") < middle).write.parquet(source)
+    weekly.run(spark, source, sink, checkpoint, origin, 100)
+    log.filter(F.col("timestamp") >= middle).write.mode("append").parquet(source)
+    weekly.run(spark, source, sink, checkpoint, origin, 100)  # goes on where the first ended
+    weekly.run(spark, source, sink, checkpoint, origin, 100)  # nothing new
+    log.limit(7).write.mode("append").parquet(source)  # late
+    weekly.close(spark, source, last, 100)
+    weekly.run(spark, source, sink, checkpoint, origin, 100)
+    out = spark.read.schema("week long, interactions long, active_users long").parquet(sink)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, table_weekly(log).collect()))
+    assert sum(r.late for r in weekly.late_rows(spark, source, sink, origin).collect()) == 7

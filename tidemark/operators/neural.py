@@ -20,6 +20,7 @@ from ..sources.work import materialise
 from . import metrics
 from .ranking import rank_blocks
 from .sequences import tail
+from .skew import salted_join
 from .splits import md5_order
 
 MIN_Q = 1e-9
@@ -73,6 +74,22 @@ def content_items(audio: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def content_vectors(items: DataFrame, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(dense_id, vec) of a frame (dense_id, vec): content_items() block by block."""
+    dim = weight.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, weight.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("dense_id"), _lists(content_items(x, weight, bias), dim)], names=["dense_id", "vec"])
+
+    return items.select("dense_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "dense_id long, vec array<double>")
+
+
+def _lists(x: np.ndarray, dim: int) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))
+
+
 def _norm(x: np.ndarray, p: tuple[np.ndarray, np.ndarray], eps: float) -> np.ndarray:
     m = x.mean(-1, keepdims=True)
     return (x - m) / np.sqrt(((x - m) ** 2).mean(-1, keepdims=True) + eps) * p[0] + p[1]
@@ -108,6 +125,30 @@ def hidden_states(model: Encoder, x: np.ndarray, lengths: np.ndarray) -> np.ndar
     return x
 
 
+def _located(seqs: DataFrame, items: DataFrame, longest: int) -> DataFrame:
+    """(uid, n, ids, x): each user's last items and their vectors, one after the other."""
+    at = seqs.select("uid", F.posexplode_outer(tail(F.col("items"), longest)).alias("pos", "dense_id"))
+    vec = F.when(F.col("dense_id").isNull() | F.col("vec").isNotNull(), F.col("vec").cast("array<double>")).otherwise(F.raise_error(F.lit("an item has no vector")).cast("array<double>"))
+    rows = at.join(items.select("dense_id", "vec"), "dense_id", "left").select("uid", "pos", "dense_id", vec.alias("vec"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "dense_id", "vec"))))  # at most max_len items
+    return rows.groupBy("uid").agg(ordered.alias("s")).select("uid", F.size("s").alias("n"), F.transform("s", lambda x: x["dense_id"]).alias("ids"), F.flatten(F.transform("s", lambda x: x["vec"])).alias("x"))
+
+
+def _states(model: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a batch of _located(), their hidden states), by blocks of like length; rows without items are left out."""
+    d = len(model.norm[0])
+    n, flat = batch.column("n").to_numpy(), batch.column("x").flatten().to_numpy().reshape(-1, d)
+    first = np.concatenate([[0], np.cumsum(n)])
+    order = np.argsort(n, kind="stable")
+    order = order[n[order] > 0]
+    for low in range(0, len(order), 64):
+        part = order[low : low + 64]
+        x = np.zeros((len(part), n[part[-1]], d))
+        for j, i in enumerate(part):
+            x[j, : n[i]] = flat[first[i] : first[i + 1]]
+        yield part, hidden_states(model, x, n[part])
+
+
 def user_vectors(seqs: DataFrame, items: DataFrame, model: Encoder) -> DataFrame:
     """(uid, vec): the last hidden state of each user's sequence (uid, items), zeros for an empty one.
 
@@ -116,28 +157,32 @@ def user_vectors(seqs: DataFrame, items: DataFrame, model: Encoder) -> DataFrame
     item without a vector fails the job that reads the result.
     """
     longest, d = len(model.positions), len(model.norm[0])
-    at = seqs.select("uid", F.posexplode_outer(tail(F.col("items"), longest)).alias("pos", "dense_id"))
-    vec = F.when(F.col("dense_id").isNull() | F.col("vec").isNotNull(), F.col("vec").cast("array<double>")).otherwise(F.raise_error(F.lit("an item has no vector")).cast("array<double>"))
-    rows = at.join(items.select("dense_id", "vec"), "dense_id", "left").select("uid", "pos", vec.alias("vec"))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "vec"))))  # at most max_len items
-    by_user = rows.groupBy("uid").agg(ordered.alias("s")).select("uid", F.size("s").alias("n"), F.flatten(F.transform("s", lambda x: x["vec"])).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, flat = batch.column("n").to_numpy(), batch.column("x").flatten().to_numpy().reshape(-1, d)
-            first, out = np.concatenate([[0], np.cumsum(n)]), np.zeros((len(n), d))
-            order = np.argsort(n, kind="stable")
-            order = order[n[order] > 0]
-            for low in range(0, len(order), 64):
-                part = order[low : low + 64]
-                x = np.zeros((len(part), n[part[-1]], d))
-                for j, i in enumerate(part):
-                    x[j, : n[i]] = flat[first[i] : first[i + 1]]
-                out[part] = hidden_states(model, x, n[part])[np.arange(len(part)), n[part] - 1]
-            vecs = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), d).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), vecs], names=["uid", "vec"])
-
-    return by_user.mapInArrow(run, "uid long, vec array<double>")
+            n, out = batch.column("n").to_numpy(), np.zeros((batch.num_rows, d))
+            for part, states in _states(model, batch):
+                out[part] = states[np.arange(len(part)), n[part] - 1]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), _lists(out, d)], names=["uid", "vec"])
+
+    return _located(seqs, items, longest).select("uid", "n", "x").mapInArrow(run, "uid long, vec array<double>")
+
+
+def position_states(seqs: DataFrame, items: DataFrame, model: Encoder) -> DataFrame:
+    """(uid, pos, dense_id, vec): the hidden state at every position of each user's last items, from 0."""
+    longest, d = len(model.positions), len(model.norm[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ids = batch.column("n").to_numpy(), batch.column("ids")
+            for part, states in _states(model, batch):
+                size = n[part]
+                flat = np.concatenate([s[:k] for s, k in zip(states, size, strict=True)])
+                pos = np.concatenate([np.arange(k) for k in size])
+                rows = pa.array(np.repeat(part, size))
+                yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), pa.array(pos), ids.take(pa.array(part)).flatten(), _lists(flat, d)], names=["uid", "pos", "dense_id", "vec"])
+
+    return _located(seqs, items, longest).mapInArrow(run, "uid long, pos long, dense_id long, vec array<double>")
 
 
 def evaluate(seqs: DataFrame, items: DataFrame, model: Encoder, targets: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -158,18 +203,56 @@ def extract(seqs: Mapping[str, DataFrame], items: DataFrame, model: Encoder, pat
     write_vectors({"items": items} | {name: user_vectors(s, items, model) for name, s in seqs.items()}, path)
 
 
-def sampled_softmax(queries: np.ndarray, users: np.ndarray, positives: np.ndarray, items: np.ndarray, log_q_items: np.ndarray, uniform: np.ndarray, log_tau: float) -> float:
-    """The loss of one batch, for evaluation: the positive against other users' positives and uniform negatives.
+def softmax_losses(queries: np.ndarray, users: np.ndarray, positives: np.ndarray, log_q: np.ndarray, uniform: np.ndarray, n_items: int, log_tau: float) -> np.ndarray:
+    """The loss of each row of a batch: its positive's vector against other users' positives and uniform negatives.
 
     In-batch logits lose log q and those of the same user are left out, uniform ones lose log 1/n,
     the positive is not corrected; the temperature is held within [0.01, 100].
     """
     tau = min(max(math.exp(log_tau), 0.01), 100.0)
-    pos = items[positives]
-    own = (queries * pos).sum(1) / tau
-    batch = queries @ pos.T / tau - log_q_items[positives][None]
+    own = (queries * positives).sum(1) / tau
+    batch = queries @ positives.T / tau - log_q[None]
     batch[users[:, None] == users[None]] = -np.inf
-    drawn = queries @ items[uniform].T / tau + math.log(len(items))
+    drawn = queries @ uniform.T / tau + math.log(n_items)
     x = np.concatenate([own[:, None], batch, drawn], 1)
     top = x.max(1, keepdims=True)
-    return float((top[:, 0] + np.log(np.exp(x - top).sum(1)) - own).mean())
+    return top[:, 0] + np.log(np.exp(x - top).sum(1)) - own
+
+
+def sampled_softmax(queries: np.ndarray, users: np.ndarray, positives: np.ndarray, items: np.ndarray, log_q_items: np.ndarray, uniform: np.ndarray, log_tau: float) -> float:
+    """The mean loss of one batch, positives and uniform negatives given by their rows in ``items``."""
+    return float(softmax_losses(queries, users, items[positives], log_q_items[positives], items[uniform], len(items), log_tau).mean())
+
+
+def batch_losses(positions: DataFrame, items: DataFrame, log_q: DataFrame, n_items: int, size: int, negatives: int, seed: int, log_tau: float) -> DataFrame:
+    """(batch, n, loss): the mean sampled-softmax loss of each batch of ``positions`` (uid, pos, vec, positive).
+
+    Positions are dealt by md5 to batches of about ``size``; a batch draws ``negatives`` dense
+    ids below n_items, with replacement. Positives and draws meet their vectors (dense_id, vec) and
+    log q by joins, and a batch's matrices are one Arrow group, so no task holds the items.
+    An id without a vector or log q fails the job that reads the result.
+    """
+    batches = max(1, -(-positions.count() // size))
+    unit = lambda h: F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    known = items.join(log_q, "dense_id", "left").select(F.col("dense_id").alias("positive"), F.col("vec").cast("array<double>").alias("pvec"), "log_q")
+    dealt = positions.withColumn("batch", F.floor(unit(md5_order(seed, "uid", "pos")) * batches).cast("long"))
+    found = salted_join(dealt, known, ["positive"], "left")
+    sound = F.when(F.col("pvec").isNotNull() & F.col("log_q").isNotNull(), F.col("log_q")).otherwise(F.raise_error(F.lit("an item has no vector or log q")).cast("double"))
+    found = found.select("batch", "uid", "pos", F.col("vec").cast("array<double>").alias("vec"), "pvec", sound.alias("log_q"))
+    draws = dealt.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(negatives - 1))).alias("draw")) if negatives else dealt.select("batch", F.lit(0).alias("draw")).limit(0)
+    drawn = draws.withColumn("dense_id", F.floor(unit(md5_order(f"{seed}:n", "batch", "draw")) * n_items).cast("long"))
+    drawn = drawn.join(items.select("dense_id", F.col("vec").cast("array<double>").alias("vec")), "dense_id").select(F.col("batch").alias("of_batch"), "draw", "vec")
+
+    def matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+        return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0)]).reshape(-1, d)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by([("uid", "ascending"), ("pos", "ascending")]), right.sort_by("draw")
+        rows = []
+        if left.num_rows:
+            d = len(left.column("vec")[0])
+            loss = softmax_losses(matrix(left.column("vec"), d), left.column("uid").to_numpy(), matrix(left.column("pvec"), d), left.column("log_q").to_numpy(), matrix(right.column("vec"), d), n_items, log_tau)
+            rows.append((left.column("batch")[0].as_py(), len(loss), float(loss.mean())))
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("batch", pa.int64()), ("n", pa.int64()), ("loss", pa.float64())))})
+
+    return found.groupBy("batch").cogroup(drawn.groupBy("of_batch")).applyInArrow(run, "batch long, n long, loss double")

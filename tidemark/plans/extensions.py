@@ -5,16 +5,18 @@ Each has the SQL that checks it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DAY, FIXTURE
-from ..operators import codes, factors, metrics, moments, neighbours, ranking
+from ..config import DAY, FIXTURE, WEEK
+from ..operators import codes, factors, metrics, moments, neighbours, neural, profile, ranking, sequences, splits, vectors
 from ..operators.codes import GRID
 from ..sources import tables
-from ..sources.work import materialise
+from ..sources.work import materialise, shared_dir
+from ..streaming import weekly
 from .prepare import prepare
-from .queries import r6, register
+from .queries import _SEQ, by_position, r6, register
 
 LEVELS, SIZE, ROUNDS, SEED = 3, 16, 3, FIXTURE.seed
 
@@ -258,3 +260,144 @@ def _(spark, d):
     users, items, _ = _als(spark, d)
     asked = users.withColumnRenamed("id", "uid").join(p.test.select("uid").distinct(), "uid", "left_semi")
     return _list_metrics(spark, d, ranking.rank_blocks(asked, items.withColumnRenamed("id", "item_id"), 10))
+
+
+# ---- streams
+
+_DELAY = 3 * DAY
+
+
+@register("A12_streaming", f""", ends AS (SELECT min(timestamp) AS low, max(timestamp) AS high FROM fixed), again AS (SELECT (timestamp - low) // {WEEK} AS week, count(*) AS late FROM fixed, ends WHERE timestamp < low + (high - low) // 3 AND uid % 10 = 0 GROUP BY 1)
+SELECT weeks.week, interactions, active_users, coalesce(late, 0)::BIGINT AS late FROM weeks LEFT JOIN again USING (week)""")
+def _(spark, d):
+    """The log as three files by time, each with a run of its own that goes on from the last; with the third, some rows of the first come again and are late."""
+    log = prepare(spark, d).log
+    low, high = log.agg(F.min("timestamp"), F.max("timestamp")).first()
+    base = shared_dir(spark)
+    source, sink, checkpoint = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+    third = (high - low) // 3
+    t = F.col("timestamp")
+    first = t < low + third
+    for part in (first, (t >= low + third) & (t < low + 2 * third), (t >= low + 2 * third) | (first & (F.col("uid") % 10 == 0))):
+        log.filter(part).select(*tables.INTERACTIONS.fieldNames()).write.mode("append").parquet(source)
+        weekly.run(spark, source, sink, checkpoint, low, _DELAY)
+    weekly.close(spark, source, high, _DELAY)
+    weekly.run(spark, source, sink, checkpoint, low, _DELAY)
+    weeks = spark.read.schema("week long, interactions long, active_users long").parquet(sink)
+    return weeks.join(weekly.late_rows(spark, source, sink, low), "week")
+
+
+# ---- the encoder with layers, over content vectors
+
+_DIM, _HEADS, _FF, _LONG, _TAU = 8, 2, 16, 10, -1.0
+_BATCH, _DRAWS, _MOST = 64, 32, 5_000
+
+
+def _seeded_model() -> tuple[neural.Encoder, np.ndarray, np.ndarray]:
+    """Two layers of two heads, and the map from embeddings to their space, all from one seed."""
+    rng = np.random.default_rng(SEED)
+    some = lambda *shape: np.round(0.5 * rng.normal(size=shape), 4)
+    near_one = lambda: (1 + 0.2 * some(_DIM), 0.2 * some(_DIM))
+    layers = tuple(neural.Layer(some(3 * _DIM, _DIM), some(3 * _DIM), some(_DIM, _DIM), some(_DIM), some(_FF, _DIM), some(_FF), some(_DIM, _FF), some(_DIM), near_one(), near_one()) for _ in range(2))
+    return neural.Encoder(some(_LONG, _DIM), near_one(), layers, _HEADS), some(_DIM, 64), some(_DIM)
+
+
+def _content_items(spark, d) -> DataFrame:
+    _, weight, bias = _seeded_model()
+    return neural.content_vectors(vectors.aligned(tables.vectors(spark, d), prepare(spark, d).id_map, 64), weight, bias)
+
+
+def _number(a) -> str:
+    """An array as a literal list of doubles."""
+    a = np.asarray(a)
+    text = str(a.tolist()) if a.ndim else repr(float(a))
+    return f"{text}::DOUBLE" + "[]" * a.ndim
+
+
+def _linear(x: str, weight: np.ndarray, bias: np.ndarray) -> str:
+    return f"list_transform(list_zip({_number(weight)}, {_number(bias)}), lambda w: list_dot_product(w[1], {x}) + w[2])"
+
+
+def _plus(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda p: p[1] + p[2])"
+
+
+def _layer_norm(x: str, p: tuple[np.ndarray, np.ndarray]) -> str:
+    return f"list_transform(list_zip({x}, {_number(p[0])}, {_number(p[1])}), lambda p: (p[1] - list_avg({x})) / sqrt(list_avg(list_transform({x}, lambda y: (y - list_avg({x})) * (y - list_avg({x})))) + 1e-9::DOUBLE) * p[2] + p[3])"
+
+
+def _erf(x: str) -> str:
+    """The polynomial of neural.erf()."""
+    t = f"(1 / (1 + 0.3275911::DOUBLE * abs({x})))"
+    poly = f"{t} * (0.254829592::DOUBLE + {t} * (-0.284496736::DOUBLE + {t} * (1.421413741::DOUBLE + {t} * (-1.453152027::DOUBLE + {t} * 1.061405429::DOUBLE))))"
+    return f"(sign({x}) * (1 - {poly} * exp(-{x} * {x})))"
+
+
+def _states_sql(positions: str) -> str:
+    """CTEs up to st (uid, pos, n, x): states of ``positions`` (uid, pos, n, dense_id), over item vectors cv (dense_id, v)."""
+    model, _, _ = _seeded_model()
+    size = _DIM // _HEADS
+    out = f"l0a AS MATERIALIZED (SELECT uid, pos, n, {_plus('v', f'({_number(model.positions)})[n - pos]')} AS x FROM {positions} JOIN cv USING (dense_id)), l0 AS MATERIALIZED (SELECT uid, pos, n, {_layer_norm('x', model.norm)} AS x FROM l0a)"
+    for t, layer in enumerate(model.layers, 1):
+        part = lambda side, k, h: f"{side}.h[{k * _DIM + h * size + 1}:{k * _DIM + (h + 1) * size}]"
+        weights = ", ".join(f"exp(list_dot_product({part('a', 0, h)}, {part('b', 1, h)}) / sqrt({size}::DOUBLE)) AS e{h}" for h in range(_HEADS))
+        mixed = ", ".join(f"sum(e{c // size} * v[{c + 1}]) / sum(e{c // size})" for c in range(_DIM))
+        out += f""", q{t} AS MATERIALIZED (SELECT uid, pos, n, x, {_linear('x', layer.in_weight, layer.in_bias)} AS h FROM l{t - 1})
+, p{t} AS (SELECT a.uid, a.pos, b.h[{2 * _DIM + 1}:{3 * _DIM}] AS v, {weights} FROM q{t} a JOIN q{t} b ON a.uid = b.uid AND b.pos <= a.pos), o{t} AS MATERIALIZED (SELECT uid, pos, [{mixed}] AS o FROM p{t} GROUP BY uid, pos)
+, s{t} AS MATERIALIZED (SELECT uid, pos, n, {_plus('x', _linear('o', layer.out_weight, layer.out_bias))} AS x FROM q{t} JOIN o{t} USING (uid, pos)), y{t} AS MATERIALIZED (SELECT uid, pos, n, {_layer_norm('x', layer.norm1)} AS x FROM s{t})
+, u{t} AS MATERIALIZED (SELECT uid, pos, n, x, {_linear('x', layer.up_weight, layer.up_bias)} AS u FROM y{t}), g{t} AS MATERIALIZED (SELECT uid, pos, n, x, list_transform(u, lambda w: w * 0.5::DOUBLE * (1 + {_erf('(w / sqrt(2::DOUBLE))')})) AS g FROM u{t})
+, z{t} AS MATERIALIZED (SELECT uid, pos, n, {_plus('x', _linear('g', layer.down_weight, layer.down_bias))} AS x FROM g{t}), l{t} AS MATERIALIZED (SELECT uid, pos, n, {_layer_norm('x', layer.norm2)} AS x FROM z{t})"""
+    return out + f", st AS (SELECT * FROM l{len(model.layers)})"
+
+
+_CONTENT = f"""cw AS MATERIALIZED (SELECT dense_id, {_linear('e', *_seeded_model()[1:])} AS w FROM (SELECT dense_id, coalesce(embedding, list_transform(range(64), lambda x: 0::FLOAT))::DOUBLE[] AS e FROM id_map LEFT JOIN embeddings ON vec_id = raw_id))
+, cv AS MATERIALIZED (SELECT dense_id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM cw)"""
+_LAST = f"{_SEQ.format(log='train')}, tl AS (SELECT uid, items[-{_LONG}:] AS s FROM seq WHERE uid IN (SELECT uid FROM test)), ps AS MATERIALIZED (SELECT uid, (generate_subscripts(s, 1) - 1)::BIGINT AS pos, len(s) AS n, unnest(s) AS dense_id FROM tl)"
+_ENCODER = f"{_CONTENT}, {_LAST}, {_states_sql('ps')}, lastst AS MATERIALIZED (SELECT uid, x FROM st WHERE pos = n - 1)"
+
+
+@register("N1_N2_content_vectors", f", {_CONTENT} SELECT dense_id, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v), 6) AS value FROM cv")
+def _(spark, d):
+    return by_position(_content_items(spark, d), "dense_id")
+
+
+@register("N3_N4_layered_user_vectors", f", {_ENCODER} SELECT uid, (generate_subscripts(x, 1) - 1)::INT AS pos, round(unnest(x), 6) AS value FROM lastst")
+def _(spark, d):
+    """Test users' last states through two layers of two heads."""
+    p = prepare(spark, d)
+    seqs = sequences.sequences(p.train, p.id_map).join(p.test.select("uid").distinct(), "uid", "left_semi")
+    return by_position(neural.user_vectors(seqs, _content_items(spark, d), _seeded_model()[0]), "uid")
+
+
+@register("N9_layered_metrics", f""", {_ENCODER}, es AS (SELECT uid, dense_id AS item_id, round(list_dot_product(x, v), 10) AS score FROM lastst, cv), el AS MATERIALIZED (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY score DESC, item_id)::INT AS rank, item_id FROM es QUALIFY rank <= 10)
+, {_list_metrics_sql('el').replace('FROM test SEMI', 'FROM (SELECT uid, dense_id AS item_id FROM test JOIN id_map ON raw_id = item_id) SEMI')}""")
+def _(spark, d):
+    p = prepare(spark, d)
+    goal = splits.to_dense(p.test, p.id_map).select("uid", F.col("dense_id").alias("item_id"))
+    return r6(neural.evaluate(sequences.sequences(p.train, p.id_map), materialise(_content_items(spark, d)), _seeded_model()[0], goal, ["recall@10", "hitrate@10", "coverage@10"])[0], "value")
+
+
+_UNIT_MD5 = "('0x' || substr(md5({x}), 1, 12))::BIGINT::DOUBLE / 281474976710656"
+_TRAINING = f"""{_SEQ.format(log='train')}, nx AS (SELECT uid, items[1:-2][-{_LONG}:] AS s, items[2:][-{_LONG}:] AS t FROM seq WHERE len(items) >= 2)
+, ps AS MATERIALIZED (SELECT uid, (generate_subscripts(s, 1) - 1)::BIGINT AS pos, len(s) AS n, unnest(s) AS dense_id, unnest(t) AS positive FROM nx)"""
+
+
+@register("N5_N7_batch_losses", f""", {_CONTENT}, {_TRAINING}, {_states_sql('ps')}, cp AS MATERIALIZED (SELECT st.uid, st.pos, st.x, ps.positive FROM st JOIN ps USING (uid, pos) ORDER BY md5('{SEED}:' || uid || ':' || pos), uid, pos LIMIT {_MOST})
+, lq AS (SELECT dense_id, ln(greatest(popularity / (SELECT count(*) FROM train), 1e-9)) AS lq FROM id_map JOIN pop ON item_id = raw_id)
+, ba AS MATERIALIZED (SELECT floor({_UNIT_MD5.format(x=f"'{SEED + 1}:' || uid || ':' || pos")} * (((SELECT count(*) FROM cp) + {_BATCH - 1}) // {_BATCH}))::BIGINT AS batch, uid, pos, x, v, lq FROM cp JOIN cv ON cv.dense_id = positive JOIN lq ON lq.dense_id = positive)
+, ng AS MATERIALIZED (SELECT batch, v FROM (SELECT batch, floor({_UNIT_MD5.format(x=f"'{SEED + 1}:n:' || batch || ':' || draw")} * (SELECT count(*) FROM id_map))::BIGINT AS dense_id FROM (SELECT DISTINCT batch FROM ba), range({_DRAWS}) r(draw)) JOIN cv USING (dense_id))
+, own AS (SELECT batch, uid, pos, list_dot_product(x, v) / exp({_TAU}::DOUBLE) AS own FROM ba)
+, inb AS (SELECT a.batch, a.uid, a.pos, sum(exp(list_dot_product(a.x, b.v) / exp({_TAU}::DOUBLE) - b.lq)) FILTER (a.uid <> b.uid) AS z FROM ba a JOIN ba b USING (batch) GROUP BY ALL)
+, dr AS (SELECT a.batch, a.uid, a.pos, sum(exp(list_dot_product(a.x, ng.v) / exp({_TAU}::DOUBLE) + ln((SELECT count(*) FROM id_map)))) AS z FROM ba a JOIN ng USING (batch) GROUP BY ALL)
+SELECT batch, count(*) AS n, round(avg(ln(exp(own) + coalesce(inb.z, 0) + dr.z) - own), 6) AS loss FROM own JOIN inb USING (batch, uid, pos) JOIN dr USING (batch, uid, pos) GROUP BY batch""")
+def _(spark, d):
+    """The loss at positions of the training sequences: states of the layered encoder, capped, against batch and drawn negatives."""
+    p = prepare(spark, d)
+    items = materialise(_content_items(spark, d))
+    seqs = sequences.next_items(sequences.sequences(p.train, p.id_map), _LONG)
+    states = neural.position_states(seqs, items, _seeded_model()[0])
+    goal = seqs.select("uid", F.posexplode("positives").alias("pos", "positive"))
+    at = states.join(goal.withColumn("pos", F.col("pos").cast("long")), ["uid", "pos"]).select("uid", "pos", "vec", "positive")
+    at = materialise(neural.capped_positions(at, _MOST, SEED))
+    log_q = neural.log_q(profile.popularity(p.train, p.id_map))
+    return r6(neural.batch_losses(at, items, log_q, p.id_map.count(), _BATCH, _DRAWS, SEED + 1, _TAU), "loss")
