@@ -356,6 +356,20 @@ def test_decontamination_equals_brute_force(spark):
     assert any(v[2] for v in want.values()) and any(v[1] and not v[2] for v in want.values()) and 50 < len(want) < 250
 
 
+def test_a_shared_preamble_brings_no_pairs(spark):
+    rng = random.Random(12)
+    preamble = prose(rng, 22)
+    items = [(i, f"{preamble} {prose(rng, 40)}") for i in range(200)] + [(500, preamble), (501, f"{preamble} {prose(rng, 10)}")]
+    docs = [(i, f"{preamble} {prose(rng, 60)}") for i in range(300)] + [(900, f"{prose(rng, 5)} {items[7][1]}"), (901, items[8][1].rsplit(" ", 25)[0])]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted((d, i, n) for (d, i), (n, *_) in slow_contaminated(docs, items).items())
+    got = decontaminate.contaminated(*frames).collect()
+    assert sorted((r.doc_id, r.item_id, r.covered_words) for r in got) == expected and {(900, 7), (901, 8), (5, 500), (5, 501)} <= {(r.doc_id, r.item_id) for r in got}
+    known = decontaminate._known(frames[1].filter("item_id < 500"), 8, 0.5)
+    hits = decontaminate._hits(frames[0].withColumn("th", F.xxhash64("text")), known, 8)
+    assert hits.count() < 10_000
+
+
 def test_language_and_quality_models(spark, odd, none):
     rng = random.Random(8)
     make = {"xx": "ka ro ti mu", "yy": "sch ung ber eit"}

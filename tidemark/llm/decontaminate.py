@@ -10,6 +10,11 @@ A window with few ordinary words says little once its values are gone, so such w
 joined; an item that mostly consists of them is joined by its literal tokens instead. A window
 that an item repeats stands where the item has it first: each place of a document meets an
 item's window once, however often either repeats it.
+
+Windows that many items share, such as a common preamble, bring no document to an item: for
+each item the commonest windows are set aside as long as all of them together cover too little
+of it, so whatever covers enough has one of the others. Documents meet items by these others
+alone, and only the pairs that result are compared in full.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ MIN_COVERED = 0.5
 MIN_ORDINARY = 3
 #: An item of fewer tokens matches only a document that is nothing else.
 MIN_ITEM = 4
-#: The benchmark's windows are broadcast up to this many (about 10 MB), else shuffled.
+#: The benchmark's rare windows are broadcast up to this many (about 10 MB), else shuffled.
 BROADCAST_WINDOWS = 200_000
 
 # Marks of the placeholders, what they replace, and what is dropped from tokens.
@@ -99,7 +104,7 @@ def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _known(items: DataFrame, window: int, min_covered: float) -> DataFrame:
-    """(item_id, item_words, literal, n, h, ipos, starts, slotted): an item's windows of n tokens, each once.
+    """(item_id, item_words, literal, n, h, ipos, starts, slotted, rare): an item's windows of n tokens, each once.
 
     ipos is where the item has it first and starts are all its places; n is 0 for an item that
     only matches as a whole document.
@@ -117,7 +122,51 @@ def _known(items: DataFrame, window: int, min_covered: float) -> DataFrame:
         F.when(F.col("literal"), starts).otherwise(F.col("telling")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice(g, i + 1, F.col("n"))).alias("h")))))
     rows = sized.select("item_id", F.size("tokens").alias("item_words"), "literal", "n", "tokens", F.explode(places).alias("p"))
     rows = rows.select("item_id", "item_words", "literal", "n", "p.i", "p.h", (~F.col("literal") & (F.size(F.filter(F.slice("tokens", F.col("p.i") + 1, F.greatest("n", F.lit(1))), _slotted)) > 0)).alias("slotted"))
-    return rows.groupBy("item_id", "item_words", "literal", "n", "h").agg(F.min("i").alias("ipos"), F.collect_set("i").alias("starts"), F.max("slotted").alias("slotted"))
+    once = rows.groupBy("item_id", "item_words", "literal", "n", "h").agg(F.min("i").alias("ipos"), F.collect_set("i").alias("starts"), F.max("slotted").alias("slotted"))
+    return _telling(materialise(once), min_covered)
+
+
+def _telling(known: DataFrame, min_covered: float) -> DataFrame:
+    """``known`` with rare: whether a window brings documents to its item.
+
+    Windows of at least 2^k items are not rare for the least k at which all such windows of the
+    item cover less than it takes to match.
+    """
+    window = ["literal", "n", "h"]
+    counted = known.join(known.groupBy(*window).agg(F.count(F.lit(1)).alias("items")), window)
+    shared = lambda k: F.flatten(F.transform(F.filter("w", lambda x: x["items"] >= F.call_function("shiftleft", F.lit(1).cast("long"), k)), lambda x: x["starts"]))
+    per_item = counted.groupBy("item_id", "item_words", "n").agg(F.collect_list(F.struct("items", "starts")).alias("w"))  # an item's own windows
+    per_item = per_item.withColumn("top", F.expr("CAST(ceil(log2(array_max(w.items) + 1)) AS INT)"))
+    enough = F.col("item_words") * min_covered
+    least = F.filter(F.sequence(F.lit(0), F.col("top")), lambda k: _covered(shared(k), F.col("n")) < enough)
+    levels = per_item.select("item_id", F.when(F.col("n") == 0, F.lit(62)).otherwise(F.get(least, F.lit(0))).alias("level"))
+    return counted.join(levels, "item_id").withColumn("rare", F.col("items") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))).drop("items", "level")
+
+
+def _seen(docs: DataFrame, kinds: list[tuple[bool, int]]) -> DataFrame:
+    """(doc_id, th, literal, n, pos, h): the windows of each kind of every document, of one tokenisation."""
+    texts = {literal: F.col("__literal" if literal else "__template") for literal, _ in kinds}
+    tokens = docs.select("doc_id", "th", *[(_literal if literal else template)(F.col("text")).alias("__literal" if literal else "__template") for literal in texts])
+
+    def places(literal: bool, n: int) -> Column:
+        whole = F.array(F.xxhash64(F.transform(texts[literal], lambda t: F.xxhash64(t))))
+        hashes = F.coalesce(_windows(texts[literal], n), F.array().cast("array<bigint>")) if n else whole
+        return F.transform(hashes, lambda h, i: F.struct(F.lit(literal).alias("literal"), F.lit(n).alias("n"), i.alias("pos"), h.alias("h")))
+
+    return tokens.select("doc_id", "th", F.explode(F.concat(*[places(*k) for k in kinds])).alias("p")).select("doc_id", "th", "p.*")
+
+
+def _hits(docs: DataFrame, known: DataFrame, window: int) -> DataFrame:
+    """(doc_id, th, item_id, n, pos, ipos, slotted): the windows that documents share with the items that a rare window brought them to."""
+    kinds = sorted(map(tuple, known.select("literal", "n").distinct().collect())) or [(False, window)]  # at most two a length up to the window
+    key = ["literal", "n", "h"]
+    rare = known.filter("rare").select(*key, "item_id")
+    seen = _seen(docs, kinds)
+    brought = seen.join(F.broadcast(rare) if rare.count() <= BROADCAST_WINDOWS else rare, key).select("doc_id", "th", "item_id").distinct()
+    brought = materialise(brought)
+    asked = brought.join(known.select("item_id", *key, "ipos", "slotted"), "item_id")
+    again = _seen(docs.join(brought.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi"), kinds)
+    return materialise(again.join(asked, ["doc_id", "th", *key]).select("doc_id", "th", "item_id", "n", "pos", "ipos", "slotted"))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_covered: float) -> DataFrame:
@@ -125,19 +174,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_covered: floa
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     known = materialise(_known(items, window, min_covered))
-    side = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
-    kinds = sorted(map(tuple, known.select("literal", "n").distinct().collect())) or [(False, window)]  # at most two a length up to the window
-    found = None
-    for literal, n in kinds:
-        tokens = (_literal if literal else template)(F.col("text"))
-        if n:
-            seen = docs.select("doc_id", "th", F.posexplode(_windows(tokens, n)).alias("pos", "h"))
-        else:
-            seen = docs.select("doc_id", "th", F.lit(0).alias("pos"), F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t))).alias("h"))
-        of = side.filter((F.col("n") == n) & (F.col("literal") == literal)).select("h", "item_id", "n", "ipos", "slotted")
-        part = seen.join(of, "h").select("doc_id", "th", "item_id", "n", "pos", "ipos", "slotted")
-        found = part if found is None else found.unionByName(part)
-    hits = materialise(found)
+    hits = _hits(docs, known, window)
     key = ["doc_id", "th", "item_id"]
     good = hits.filter("NOT slotted").select(*key, "ipos")
     values = None
@@ -149,7 +186,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_covered: floa
         one_to_one = materialise(count.filter("both = a AND both = b").select(*key, "diagonal"))
         good = good.unionByName(through.join(one_to_one, [*key, "diagonal"], "left_semi").select(*key, "ipos"))
         values = pairs.join(one_to_one, [*key, "diagonal"], "left_semi").groupBy(*key).agg(F.count_distinct("item_value").alias("slots"), F.max(F.col("item_value") != F.col("doc_value")).alias("reparameterised"))
-    places = good.distinct().join(side.select("item_id", "item_words", "n", "ipos", "starts"), ["item_id", "ipos"])
+    places = good.distinct().join(known.select("item_id", "item_words", "n", "ipos", "starts"), ["item_id", "ipos"])
     out = places.groupBy(*key, "item_words").agg(F.max("n").alias("n"), F.flatten(F.collect_list("starts")).alias("starts"))
     out = out.withColumn("covered_words", F.least("item_words", F.when(F.col("n") == 0, F.col("item_words")).otherwise(_covered(F.col("starts"), F.col("n")))))
     out = out.filter(F.col("covered_words") >= min_covered * F.col("item_words")).select(*key, "item_words", "covered_words")
