@@ -1,6 +1,7 @@
 """Interaction-log operators on hand-made rows."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -382,3 +383,34 @@ def test_sinks(spark, tmp_path):
     assert "| 1 |" in sinks.markdown("Report", {"t": df.select("item_id")})
     sinks.write_csv(df.select("item_id"), f"{path}/csv")
     assert spark.read.option("header", True).csv(f"{path}/csv").first()["item_id"] == "1"
+
+
+def test_tables_belong_to_their_owners(spark):
+    import threading
+
+    from tidemark.plans.prepare import forget, prepare
+    from tidemark.sources.work import Scratch, materialise, owning, release
+
+    sf = "/root/testdata/sf0.001"
+    loose = materialise(spark.range(5).toDF("x"))
+    n = prepare(spark, sf).train.count() if os.path.isdir(sf) else 0
+    with Scratch(spark) as tables, owning(tables):
+        mine = materialise(spark.range(3).toDF("x"))
+        other = []
+        t = threading.Thread(target=lambda: other.append(materialise(spark.range(7).toDF("x"))))
+        t.start()
+        t.join()
+        assert mine.count() == 3
+    with pytest.raises(Exception):  # noqa: B017 - the file is gone
+        mine.count()
+    release(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        loose.count()
+    assert other[0].count() == 7  # another thread's
+    if n:
+        assert prepare(spark, sf).train.count() == n
+        held = prepare(spark, sf).train
+        forget()
+        with pytest.raises(Exception):  # noqa: B017
+            held.count()
+        assert prepare(spark, sf).train.count() == n

@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,31 +37,6 @@ def stored(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-#: Folders that materialise() wrote, until release().
-_made: list[str] = []
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage for good.
-
-    The table stays until release(), as what is made of it is computed later.
-    """
-    out, path = stored(df)
-    _made.append(path)
-    return out
-
-
-def mark() -> int:
-    """A point in time for release()."""
-    return len(_made)
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete what materialise() wrote since a mark(); frames made of it can't be read any more."""
-    while len(_made) > since:
-        discard(spark, _made.pop())
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that stored() wrote and nothing reads any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,11 +53,47 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
-        for path in self.paths:
-            discard(self.spark, path)
+        self.close()
 
     def store(self, df: DataFrame) -> DataFrame:
         """As materialise(), until the end of the block."""
         out, path = stored(df)
         self.paths.append(path)
         return out
+
+    def close(self) -> None:
+        """Delete the tables; frames made of them can't be read any more."""
+        while self.paths:
+            discard(self.spark, self.paths.pop())
+
+
+#: Whose the tables are that materialise() writes: the block's of owning(), else the thread's.
+_owner: ContextVar[Scratch | None] = ContextVar("owner", default=None)
+_thread = threading.local()
+
+
+@contextmanager
+def owning(tables: Scratch) -> Iterator[Scratch]:
+    """What materialise() writes within the block, in this thread, belongs to ``tables``, which decides how long it stays."""
+    before = _owner.set(tables)
+    try:
+        yield tables
+    finally:
+        _owner.reset(before)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage for good.
+
+    As what is made of the table is computed later, it stays: until its owner, see owning(), is
+    closed, or without one until the same thread calls release().
+    """
+    owner = _owner.get()
+    if owner is None:
+        owner = _thread.__dict__.setdefault("tables", Scratch(df.sparkSession))
+    return owner.store(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what materialise() wrote in this thread for no owner; frames made of it can't be read any more."""
+    _thread.__dict__.pop("tables", Scratch(spark)).close()
