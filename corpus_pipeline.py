@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, language, mixing, token_file
-from tidemark.llm.common import discard, mark, release, shared_dir, stored, table
+from tidemark.llm.common import Scratch, discard, owning, shared_dir, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    before = None
-    for name, stage in STAGES:
-        start, was = mark(), before
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs, before = stored(docs)
-            release(spark, start)  # what the stage itself wrote on its way
-            if was:
-                discard(spark, was)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with Scratch(spark) as tables, owning(tables):  # what a stage writes on its way goes with it
+            docs, path = stored(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
