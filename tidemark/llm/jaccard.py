@@ -240,9 +240,34 @@ def _hot(docs: DataFrame) -> DataFrame:
 def _first_shared(docs: DataFrame, hot: DataFrame) -> DataFrame:
     """(sig, fp) of signatures that more than one set has. Those of ``hot`` (written out) are known to be, and are dealt by set."""
     rows = _signed(docs).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left")
-    same = W.partitionBy("place")  # one key of a whole number sorts fastest
     rows = rows.withColumn("place", F.when(F.col("hot"), F.xxhash64("sig", F.pmod("fp", F.lit(SALTS)))).otherwise(F.col("sig")))
-    return rows.withColumns({"low": F.min("fp").over(same), "high": F.max("fp").over(same)}).filter("hot OR low <> high").select("sig", "fp").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, fp, known = _columns(batches, "sig", "fp", "hot")
+        order = np.lexsort((fp, sig))
+        sig, fp, known = sig[order], fp[order], known[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
+        sig, fp, known = sig[new], fp[new], known[new]
+        met = np.zeros(len(sig), bool)  # whether a neighbour in order has the same signature
+        met[1:] = sig[1:] == sig[:-1]
+        met[:-1] |= met[1:]
+        yield from _rows(sig, fp, np.flatnonzero(met | (known == 1)))
+
+    dealt = rows.repartition("place").select("sig", "fp", F.coalesce(F.col("hot").cast("long"), F.lit(0)).alias("hot"))
+    return dealt.mapInArrow(run, "sig long, fp long")
+
+
+def _columns(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """A task's columns of whole numbers: three of a row take 24 bytes, so 100 MB hold what a task of four million rows has."""
+    got = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
+    return [np.concatenate([g[i] for g in got] or [np.empty(0, np.int64)]) for i in range(len(names))]
+
+
+def _rows(sig: np.ndarray, fp: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(at), 100_000):
+        part = at[low : low + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(fp[part])], names=["sig", "fp"])
 
 
 def _need(band):
@@ -252,9 +277,20 @@ def _need(band):
 
 def _enough(rows: DataFrame) -> DataFrame:
     """Rows of sets with as many shared signatures in the band as any set that links needs."""
-    rows = rows.withColumn("band", F.col("sig").bitwiseAND(31))
-    keep = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= _need(F.col("band"))).select("fp", "band")
-    return rows.join(keep, ["fp", "band"], "left_semi").select("sig", "fp")
+    need = np.array([required(2 << k) for k in range(32)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, fp = _columns(batches, "sig", "fp")
+        band = sig & 31
+        order = np.lexsort((band, fp))
+        sig, fp, band = sig[order], fp[order], band[order]
+        first = np.ones(len(sig), bool)
+        first[1:] = (fp[1:] != fp[:-1]) | (band[1:] != band[:-1])
+        start = np.flatnonzero(first)
+        count = np.diff(np.append(start, len(sig)))
+        yield from _rows(sig, fp, np.flatnonzero(np.repeat(count >= need[band[start]], count)))
+
+    return rows.repartition("fp").mapInArrow(run, "sig long, fp long")
 
 
 def components(edges: DataFrame) -> DataFrame:
