@@ -91,12 +91,12 @@ def split_invariants(train: DataFrame, val: DataFrame, test: DataFrame, cut: Cut
         .empty("no key in train and validation", leaked(val, train))
         .empty("no key in train and test", leaked(test, train))
         .empty("no key in validation and test", leaked(test, val))
-        .holds("train has rows", lambda: not train.isEmpty())
-        .holds("validation has rows", lambda: not val.isEmpty())
-        .holds("test has rows", lambda: not test.isEmpty())
+        .at_least("train has rows", train)
+        .at_least("validation has rows", val)
+        .at_least("test has rows", test)
     )
     if before is not None:
-        checks.holds("no more rows than before", lambda: train.count() + val.count() + test.count() <= before)
+        checks.at_most("no more rows than before", [train, val, test], before)
     return checks
 
 
@@ -165,7 +165,7 @@ def sample_invariants(samples: Mapping[str, tuple[DataFrame, DataFrame, DataFram
         checks.empty(f"{name}: test items in train", strangers(test, train, "item_id"))
         checks.empty(f"{name}: validation users in train", strangers(val, train, "uid"))
         checks.empty(f"{name}: no key in train and test", leaked(test, train))
-        checks.holds(f"{name}: enough users", lambda u=users[name], n=least[name]: u.count() >= n)
+        checks.at_least(f"{name}: enough users", users[name], least[name])
     return checks
 
 

@@ -531,6 +531,14 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@register("S9_versioned_table", "SELECT 1 AS version, * FROM val UNION ALL SELECT 2, * FROM test")
+def _(spark, d):
+    """Two versions of a table, the last and the one before."""
+    p, path = prepare(spark, d), f"{shared_dir(spark)}/table"
+    numbers = [sinks.write_version(df, path) for df in (p.val, p.test)]
+    return tables.scan_union([sinks.read_version(spark, path, n).select(F.lit(n).alias("version"), "*") for n in numbers])
+
+
 _STAGES = {"raw": "raw", "cleaned": "fixed", "train": "train", "val before cold filter": "val_raw", "test before cold filter": "test_raw", "val": "val", "test": "test"}
 
 

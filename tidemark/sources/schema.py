@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,23 +38,34 @@ def problems(df: DataFrame, required: T.StructType) -> DataFrame:
 
 
 class Invariants:
-    """A list of named checks, each a frame that must be empty or a truth value (one violation if false), run together."""
+    """Named checks of how many rows frames have, run together as one job."""
 
     def __init__(self) -> None:
-        self.checks: list[tuple[str, Callable[[], int]]] = []
+        self.checks: list[tuple[str, Sequence[DataFrame], int, int]] = []
 
     def empty(self, name: str, df: DataFrame) -> Invariants:
         """Rows of ``df`` are violations."""
-        self.checks.append((name, df.count))
+        self.checks.append((name, [df], 0, -1))
         return self
 
-    def holds(self, name: str, value: Callable[[], bool]) -> Invariants:
-        self.checks.append((name, lambda: int(not value())))
+    def at_least(self, name: str, df: DataFrame, least: int = 1) -> Invariants:
+        """One violation if ``df`` has fewer rows."""
+        self.checks.append((name, [df], least, 1 << 62))
+        return self
+
+    def at_most(self, name: str, frames: Sequence[DataFrame], most: int) -> Invariants:
+        """One violation if all frames together have more rows."""
+        self.checks.append((name, frames, 0, most))
         return self
 
     def run(self, spark: SparkSession) -> DataFrame:
-        """(name, violations) of every check."""
-        return spark.createDataFrame([(name, check()) for name, check in self.checks], "name string, violations long")
+        """(name, violations) of every check: the rows of all frames, each with its check's number, counted at once."""
+        named = spark.createDataFrame([(i, name, least, most) for i, (name, _, least, most) in enumerate(self.checks)], "check int, name string, least long, most long")
+        rows = reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("check")) for i, (_, frames, _, _) in enumerate(self.checks) for df in frames])
+        counts = rows.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+        n = F.coalesce("n", F.lit(0))
+        found = F.when(F.col("most") < 0, n).otherwise(((n < F.col("least")) | (n > F.col("most"))).cast("long"))
+        return named.join(counts, "check", "left").select("name", found.alias("violations"))
 
     def demand(self, spark: SparkSession) -> None:
         """Raise on the first look if any check fails, naming all that do."""

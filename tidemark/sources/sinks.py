@@ -6,11 +6,13 @@ import json
 import math
 import os
 import tempfile
+import uuid
 import warnings
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .work import discard
@@ -43,6 +45,53 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
     discard(spark, aside)
 
 
+def write_version(df: DataFrame, path: str, compression: str = "zstd") -> int:
+    """Write ``df`` as the next version of the table at ``path``; readers see the one before until it is whole. Its number.
+
+    A version is a folder of its own; a small file ``pointers``/number names it and is made last,
+    by a create that fails if another writer has the number, who then takes the next. At no
+    moment is there no table. The version before stays for its readers, older ones go.
+    """
+    spark = df.sparkSession
+    fs, pointers = _fs(spark, f"{path}/pointers")
+    data = f"{path}/data/{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(data)
+    number = max(_versions(spark, path), default=0) + 1
+    fs.mkdirs(pointers)
+    while True:
+        at = _fs(spark, f"{path}/pointers/{number:012d}")[1]
+        try:
+            out = fs.create(at, False)
+            break
+        except Py4JJavaError:
+            if not fs.exists(at):
+                raise
+            number += 1
+    out.write(bytearray(data.rsplit("/", 1)[1].encode()))
+    out.close()
+    for old in sorted(_versions(spark, path))[:-2]:
+        discard(spark, _version_data(spark, path, old))
+        discard(spark, f"{path}/pointers/{old:012d}")
+    return number
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, pointers = _fs(spark, f"{path}/pointers")
+    return [int(f.getPath().getName()) for f in fs.listStatus(pointers) if f.getLen()] if fs.exists(pointers) else []
+
+
+def _version_data(spark: SparkSession, path: str, number: int) -> str:
+    return f"{path}/data/" + spark.read.text(f"{path}/pointers/{number:012d}").first()[0]
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The last whole version of a table of write_version(), or the one of that number."""
+    have = _versions(spark, path)
+    if not have or (number is not None and number not in have):
+        raise ValueError(f"{path} has no version {number if have else ''}".rstrip())
+    return spark.read.parquet(_version_data(spark, path, number or max(have)))
+
+
 def export_splits(splits: Mapping[str, DataFrame], path: str, meta: Mapping[str, Any] | None = None, dry_run: bool = False) -> dict:
     """Write each split under ``path`` with a manifest of columns, types and rows; a dry run only makes the manifest."""
     manifest = {"meta": dict(meta or {}), "splits": {k: {"columns": [list(x) for x in df.dtypes], "rows": df.count()} for k, df in splits.items()}}
