@@ -1,6 +1,7 @@
 """The training-data operators on small hand-made tables, against brute force and known answers."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -628,6 +629,19 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_entire_long_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for i, (spdx, name) in enumerate(names.items()):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            text = f.read()
+        prose_only = "\n".join(line for line in text.split("\n") if not re.search(licenses.COPYRIGHT, line.lower(), re.A))
+        rows += [(10 * i, text), (10 * i + 1, text.upper().replace("\n", "\r\n")), (10 * i + 2, "Copyright 2031 Someone Else\n" + prose_only), (10 * i + 3, text.replace("shall", "may", 1).replace("you", "we", 1))]
+    found = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("unit = 'text'").collect()}
+    assert found == {(10 * i + k, spdx) for i, spdx in enumerate(names) for k in (0, 1, 2)}
+
+
 def test_huffman_codes_are_canonical_and_limited():
     rng = np.random.default_rng(12)
     for counts in (np.array([0, 5, 0]), np.array([3, 1]), rng.integers(0, 1000, 300), np.array([1 << min(k, 60) for k in range(40)]), np.ones(1 << 12, np.int64), rng.integers(1, 9, 70_000)):

@@ -127,6 +127,22 @@ TEXTS = {
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
 }
+#: Digests of the canonical forms of entire long licences, as published: the whole text and, where it has an appendix, what comes before that with and without its last line.
+DIGESTS = {
+    "Apache-2.0": ("68ae424fcf569350024d4ba9e00f6845", "76c6ca481abc69eb25bf66b7584cdb7f", "f63f8768fabb39707f4f05a0a5db3dc0"),
+    "Artistic-1.0": ("81264bf53b2a22402365ec1e7b32b976",),
+    "CC0-1.0": ("1a2ae468ccae8122ceca54319f482b81",),
+    "GFDL-1.2": ("81f2779dd32d9b2ca5a1c550ad7524a0",),
+    "GFDL-1.3": ("725480d943dc81cdcc16729dc6e50cd5",),
+    "GPL-1.0": ("9148dbcb0ce2b52205328e2b53d27a1e", "dd4e76135c87f2a7ebb0b51b03540f0f", "ef23c06d57ecebf899d6104e3fc8ef83"),
+    "GPL-2.0": ("0ffb2f7f8824f904144d491094437938", "6592be25bfdd59116919bea4d5f3a452", "3cda588d7bf92841ddf930aeaa56fae5"),
+    "GPL-3.0": ("142478062c5f70e4f47dfad51e768269", "2ad5ef75c59c48e3638baa1ffb3b0bec", "e57cfab6ad9b9519e3061b5610b89d8a"),
+    "LGPL-2.0": ("26b620cb1c577f04e5598d5aa09e7a60", "89dd3d6c5ec00e1f740b3c5101fcfdf9", "6f14dededfb3776a6263bcc7f60b8c3a"),
+    "LGPL-2.1": ("f2c647ddf22a34f7f567ae6cefaf3bf6", "8f62ecfbc118f55ed871b105ac8ef922", "9501cae012cc88d9e6ab8ec28574f446"),
+    "LGPL-3.0": ("0dbc4783eda1bbc2f2e0f29b271f99a3",),
+    "MPL-1.1": ("873ddeb6062321d31a92d52e35f5108c",),
+    "MPL-2.0": ("4cc2fa639236c745d27581542225c85f",),
+}
 #: Spellings that mean the same, after lower-casing and removal of punctuation.
 SPELLINGS = (("licence", "license"), ("noncommercial", "non commercial"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("https", "http"))
 #: Lines that go: a copyright line names a year, a sign or a place for the holder; wrapped prose may start with the word too.
@@ -189,6 +205,7 @@ def registry() -> dict[str, str]:
         for n in NAMES[spdx]:
             for title in (n, f"The {n}"):
                 known[digest(f"{title}\n{text}")] = spdx
+    known |= {d: spdx for spdx, digests in DIGESTS.items() for d in digests}
     return known
 
 
