@@ -48,6 +48,8 @@ HOT_SHARE, HOT_LEAST, SAMPLED, SALTS = 1 / 1000, 16, 64, 64
 HUBS = 1
 #: Words of 64 bits of a sketch.
 SKETCH = 32
+#: Rows of a signature for which the last pairing takes a task of its own.
+GROUP = 4096
 
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -389,6 +391,60 @@ def _labelled(shared: DataFrame, labels: DataFrame, tables: Scratch) -> DataFram
     return tables.store(rows.join(more, "sig", "left_semi"))
 
 
+def _apart(rows: DataFrame, texts: DataFrame, tables: Scratch) -> DataFrame:
+    """(a, b): pairs of sets of different components that share enough signatures of a band and may link by sizes, own features and sketches.
+
+    A signature's largest component is met by its other rows only: of two components at least one
+    is not the largest. These rows of a signature are dealt to a task for each GROUP of its rows,
+    and there meet, in order of size, the rows within 3/4 of theirs.
+    """
+    sized = rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max(F.struct("k", "label"))["label"].alias("major"), F.sum("k").alias("rows"))
+    rows = rows.join(sized, "sig").withColumn("minor", (F.col("label") != F.col("major")).cast("long"))
+    rows = rows.join(tables.store(_sketches(texts.join(rows.select("fp").distinct(), "fp", "left_semi"))), "fp")
+    parts = F.ceil(F.col("rows") / GROUP)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    words = [f"x{i}" for i in range(SKETCH)]
+    names = ["sig", "fp", "label", "n", "own", "minor", "part", "asks", *words]
+    there = rows.select("*", every).withColumn("asks", F.when(F.pmod("fp", parts) == F.col("part"), F.col("minor")).otherwise(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, fp, label, n, own, minor, part, asks, *sketch = _columns(batches, *names)
+        order = np.lexsort((n, part, sig))
+        sig, fp, label, n, own, minor, part, asks = (x[order] for x in (sig, fp, label, n, own, minor, part, asks))
+        sketch = np.stack([x[order] for x in sketch], 1)
+        group = np.cumsum(np.concatenate([[0], (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])])[: len(sig)]) if len(sig) else np.zeros(0, np.int64)
+        key = (group << 32) | n  # ascending, as texts have under 2^32 shingles
+        who = np.flatnonzero(asks)
+        low = np.searchsorted(key, (group[who] << 32) | -(-3 * n[who] // 4))
+        high = np.searchsorted(key, (group[who] << 32) | (4 * n[who] // 3), "right")
+        for at in _by_total(high - low, 1 << 20):
+            size = (high - low)[at]
+            i = np.repeat(who[at], size)
+            j = np.repeat(low[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            both, alone = n[i] + n[j], own[i] + own[j]
+            fit = (label[i] != label[j]) & ((minor[j] == 0) | (fp[i] < fp[j])) & (7 * alone <= both) & (7 * (n[i] - own[i]) >= 3 * both) & (7 * (n[j] - own[j]) >= 3 * both)
+            i, j, both = i[fit], j[fit], both[fit]
+            # two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one
+            near = 7 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= both
+            i, j = i[near], j[near]
+            columns = [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), sig[i] & 31]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "band"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: what a pairing costs is not in the size of its input
+    pairs = there.select(*names).repartition(tasks, "sig", "part").mapInArrow(run, "a long, b long, band long")
+    return pairs.groupBy("a", "b", "band").count().filter(F.col("count") >= _need(F.col("band"))).select("a", "b").distinct()
+
+
+def _by_total(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of ``sizes`` that add up to about ``most`` each."""
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        yield slice(low, high)
+        low = high
+
+
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes of equal sets, enough to connect all that link. ``sets`` is from _sets(), written out."""
     classes = (
@@ -415,21 +471,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
             edges = good if edges is None else tables.store(edges.union(good))
             labels = components(edges)
         rows = _labelled(shared, labels, tables)
-        major = rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.max(F.struct("k", "label"))["label"].alias("major"))
-        rows = rows.join(major, "sig").withColumn("major", F.col("label") == F.col("major"))
-        rows = tables.store(rows.join(tables.store(_sketches(texts.join(rows.select("fp").distinct(), "fp", "left_semi"))), "fp"))
-        # Of two components at least one is not the signature's largest, so that one's own rows are never paired.
-        minor = rows.filter("NOT major").drop("major").withColumnRenamed("fp", "a")
-        other = rows.withColumnsRenamed({"fp": "b", "label": "label_b", "n": "n_b", "own": "own_b"} | {f"x{i}": f"y{i}" for i in range(SKETCH)})
-        # Two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one.
-        differ = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(SKETCH))
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: what a pairing costs is not in the size of its input
-        apart = (
-            minor.repartition(tasks, "sig").join(other.repartition(tasks, "sig"), "sig")
-            .filter("label <> label_b AND (major OR a < b) AND " + _MAY_LINK.format(n="n", m="n_b", p="own", q="own_b") + f" AND 7 * ({differ}) <= n + n_b")
-            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sig").bitwiseAND(31).alias("band")).count()
-            .filter(F.col("count") >= _need(F.col("band"))).select("a", "b").distinct()
-        )
+        apart = _apart(rows, texts, tables)
         rest = tables.store(apart.join(tried, ["a", "b"], "left_anti"))
         return materialise(edges if rest.isEmpty() else edges.union(_verified(rest, texts)))
 
