@@ -17,8 +17,9 @@ UNKNOWN = "und"
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> embed.Model:
     """Learn from documents with a language whose fold (crc32 of the id, modulo 4) is not 2.
 
-    A bounded sample (sample.bounded) is learned from. Without such documents the model has no
-    language.
+    A bounded sample (sample.bounded) is learned from: of the sample.MOST_CLASSES commonest
+    languages, so a rarer one is never predicted, and of texts up to sample.LONGEST characters.
+    Without such documents the model has no language.
     """
     texts, labels, _ = sample.bounded(docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", F.col("lang").alias("label")), None, per_language)
     return embed.train(texts, labels, FEATURES)

@@ -74,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def dense_spans(text: str, base: list[tuple[int, int, int]], encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    """Candidates with few characters per token that no base span touches."""
+    """Candidates with few characters per token that no base span touches; a candidate has MIN_LENGTH characters or more."""
     found = []
     for m in _CANDIDATE.finditer(text):
         s = m[0]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -52,6 +53,8 @@ EDGE = ".,;:!?\"'()[]{}<>«»“”„…—–-*#%&|~_`"
 _DOUBLED = re.compile(r"[!?]{2,}")
 _HIDDEN = re.compile(r"(?i)[a-z][@$!*+|0134579]+[a-z]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS_ASCII, _CAPITALS_ASCII = string.ascii_letters.encode(), string.ascii_uppercase.encode()
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 NAMES = (
     "lexicon_rate", "lexicon_log", "lexicon_kinds", "learned_rate", "learned_log", "learned_kinds", "second_person_rate", "near_rate",
     "stem_rate", "stem_log", "stem_kinds", "capital_share", "shouted_share", "mark_rate", "doubled_rate", "hidden_rate", "hidden_lexicon_log", "stretched_rate", "log_words",
@@ -62,6 +65,16 @@ def plain(word: str) -> str:
     return word.strip(EDGE)
 
 
+def letters_of(text: str) -> tuple[int, int]:
+    """How many letters and capitals a text has; ASCII ones are counted as bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    letters, capitals = (len(raw) - len(raw.translate(None, of)) for of in (_LETTERS_ASCII, _CAPITALS_ASCII))
+    if len(raw) > len(text):
+        others = _BEYOND_ASCII.findall(text)
+        letters, capitals = letters + sum(map(str.isalpha, others)), capitals + sum(map(str.isupper, others))
+    return letters, capitals
+
+
 def describe(text: str | None, learned: frozenset[str], stems: Sequence[str] = ()) -> list[float]:
     """The values of NAMES for a text; zeros for a null or empty one. Rates are per 100 words."""
     text = text or ""
@@ -81,13 +94,13 @@ def describe(text: str | None, learned: frozenset[str], stems: Sequence[str] = (
         while k < len(second) and second[k] < i - NEAR:
             k += 1
         near += k < len(second) and second[k] <= i + NEAR
-    letters = sum(map(str.isalpha, text)) or 1
+    letters, capitals = letters_of(text)
     hidden = [w for w in raw if not w.isalpha() and _HIDDEN.search(w)]
     uncovered = sum(1 for w in hidden if (d := plain(w.lower()).translate(LEET).replace("*", "")) in LEXICON or d in learned)
     stretched = len(re.findall(r"([^\W\d_])\1{3,}", text))
     return [
         len(hits) * rate, math.log1p(len(hits)), float(len({words[i] for i in hits})), len(own) * rate, math.log1p(len(own)), float(len(set(own))),
-        len(second) * rate, near * rate, sum(found) * rate, math.log1p(sum(found)), float(len(found)), sum(map(str.isupper, text)) / letters, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n,
+        len(second) * rate, near * rate, sum(found) * rate, math.log1p(sum(found)), float(len(found)), capitals / max(letters, 1), sum(1 for w in raw if len(w) > 2 and w.isupper()) / n,
         (text.count("!") + text.count("?")) * rate, len(_DOUBLED.findall(text)) * rate, len(hidden) * rate, math.log1p(uncovered), stretched * rate, math.log(n),
     ]
 
