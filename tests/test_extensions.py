@@ -1,5 +1,6 @@
 """Codes, neighbours, moments and factors on small hand-made tables, against loops and numpy."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -266,3 +267,80 @@ def test_weekly_stream_equals_the_table(spark, tmp_path):
     out = spark.read.schema("week long, interactions long, active_users long").parquet(sink)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, table_weekly(log).collect()))
     assert sum(r.late for r in weekly.late_rows(spark, source, sink, origin).collect()) == 7
+
+
+def test_versions_are_replaced_without_a_gap(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    path = str(tmp_path / "table")
+    with pytest.raises(ValueError, match="no version"):
+        sinks.read_version(spark, path)
+    assert sinks.write_version(spark.range(3), path) == 1
+    held = sinks.read_version(spark, path)
+    assert sinks.write_version(spark.range(5), path) == 2
+    assert held.count() == 3 and sinks.read_version(spark, path).count() == 5  # a reader of the one before goes on
+    (tmp_path / "table" / "pointers" / "000000000003").write_text("")  # another writer has the number but is not done
+    assert sinks.read_version(spark, path).count() == 5
+    assert sinks.write_version(spark.range(7), path) == 4
+    assert sinks.read_version(spark, path).count() == 7 and sinks.read_version(spark, path, 2).count() == 5
+    with pytest.raises(ValueError, match="no version 1"):
+        sinks.read_version(spark, path, 1)
+
+
+def test_invariants_are_one_job(spark):
+    from tidemark.sources.schema import Invariants
+
+    checks = Invariants().empty("none", spark.range(0)).empty("two", spark.range(2)).at_least("some", spark.range(1)).at_least("many", spark.range(3), 4).at_most("few", [spark.range(2), spark.range(3)], 5).at_most("fewer", [spark.range(2), spark.range(3)], 4)
+    assert {r.name: r.violations for r in checks.run(spark).collect()} == {"none": 0, "two": 2, "some": 0, "many": 1, "few": 0, "fewer": 1}
+    with pytest.raises(AssertionError, match=r"two \(2\), many \(1\), fewer \(1\)"):
+        checks.demand(spark)
+
+
+def test_states_and_batch_losses_equal_loops(spark):
+    from tidemark.operators import neural
+    from tidemark.operators.splits import md5_order
+
+    rng = np.random.default_rng(6)
+    d, long = 6, 4
+    w = lambda *shape: 0.4 * rng.normal(size=shape)
+    near = lambda: (1 + w(d), w(d))
+    layer = neural.Layer(w(3 * d, d), w(3 * d), w(d, d), w(d), w(9, d), w(9), w(d, 9), w(d), near(), near())
+    model = neural.Encoder(w(long, d), near(), (layer,), 2)
+    weight, bias, raw = w(d, 5), w(d), {i: rng.normal(size=5).tolist() for i in range(20)}
+    items = neural.content_vectors(spark.createDataFrame(list(raw.items()), "dense_id long, vec array<double>").repartition(3), weight, bias)
+    vec = {r.dense_id: np.array(r.vec) for r in items.collect()}
+    for i, v in raw.items():
+        x = weight @ np.array(v) + bias
+        assert np.allclose(vec[i], x / np.linalg.norm(x))
+    seqs = {u: rng.integers(0, 20, n).tolist() for u, n in enumerate([0, 1, 2, 4, 7, 3, 5])}
+    df = spark.createDataFrame(list(seqs.items()), "uid long, items array<long>")
+    got = {(r.uid, r.pos): (r.dense_id, r.vec) for r in neural.position_states(df, items, model).collect()}
+    last = {r.uid: r.vec for r in neural.user_vectors(df, items, model).collect()}
+    for u, s in seqs.items():
+        s = s[-long:]
+        assert sum(v == u for v, _ in got) == len(s)
+        if s:
+            states = neural.hidden_states(model, np.array([[vec[i] for i in s]]), np.array([len(s)]))[0]
+            for p, i in enumerate(s):
+                assert got[u, p][0] == i and np.allclose(got[u, p][1], states[p])
+            assert np.allclose(last[u], states[-1])
+        else:
+            assert last[u] == [0.0] * d
+    at = [(u, p, v, (i + 1) % 20) for (u, p), (i, v) in got.items()]
+    positions = spark.createDataFrame(at, "uid long, pos long, vec array<double>, positive long").repartition(4)
+    log_q = {i: float(np.log((i + 1) / 210)) for i in range(20)}
+    out = {r.batch: (r.n, r.loss) for r in neural.batch_losses(positions, items, spark.createDataFrame(list(log_q.items()), "dense_id long, log_q double"), 20, 8, 5, 3, -1.0).collect()}
+    batches = -(-len(at) // 8)
+    keyed = positions.withColumn("h", md5_order(3, "uid", "pos")).collect()
+    members = defaultdict(list)
+    for r in sorted(keyed, key=lambda r: (r.uid, r.pos)):
+        members[int(int(r.h[:12], 16) / (1 << 48) * batches)].append(r)
+    assert out.keys() == members.keys()
+    for b, rows in members.items():
+        draws = [int(int(hashlib.md5(f"3:n:{b}:{k}".encode()).hexdigest()[:12], 16) / (1 << 48) * 20) for k in range(5)]
+        slow = neural.sampled_softmax(np.array([r.vec for r in rows]), np.array([r.uid for r in rows]), np.array([r.positive for r in rows]), np.array([vec[i] for i in range(20)]), np.array([log_q[i] for i in range(20)]), np.array(draws), -1.0)
+        assert out[b] == (len(rows), pytest.approx(slow))
+    missing = neural.batch_losses(positions, items.filter("dense_id > 0"), spark.createDataFrame(list(log_q.items()), "dense_id long, log_q double"), 20, 8, 0, 3, 0.0)
+    if any(r.positive == 0 for r in keyed):
+        with pytest.raises(Exception, match="no vector or log q"):
+            missing.collect()

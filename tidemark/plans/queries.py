@@ -522,6 +522,35 @@ def _(spark, d):
     return tables.scan_union([df.select(F.lit(k).alias("split"), "*") for k, df in sinks.import_splits(spark, path, ["train", "val", "test"]).items()])
 
 
+@register("S7_export_report", "SELECT 'val' AS split, 'rows' AS problem, ((SELECT count(*) FROM val) + (SELECT count(*) FROM test))::VARCHAR AS found WHERE EXISTS (FROM test) UNION ALL SELECT 'test', 'extra column week', 'bigint'")
+def _(spark, d):
+    """An export checked against its manifest after one split got more rows and another a column."""
+    p, path = prepare(spark, d), shared_dir(spark)
+    sinks.export_splits({"train": p.train, "val": p.val, "test": p.test}, path)
+    sinks.write_parquet(tables.scan_union([p.val, p.test]), f"{path}/val")
+    sinks.write_parquet(p.test.withColumn("week", F.expr(f"timestamp div {WEEK}")), f"{path}/test")
+    return sinks.export_report(spark, path)
+
+
+@register("D16_frozen_cutoffs", "SELECT CASE WHEN timestamp < t_val THEN 'train' WHEN timestamp < t_test THEN 'val' ELSE 'test' END AS split, count(*) AS rows FROM fixed, cut GROUP BY 1")
+def _(spark, d):
+    """The log cut by cutoffs that an earlier stage froze."""
+    p = prepare(spark, d)
+    frozen = splits.read_cutoffs({"temporal_cutoffs": {"T_val_seconds": p.cut.val, "T_test_seconds": p.cut.test}})
+    return splits.with_split(p.log, frozen).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+#: Published percentiles of history lengths that ours are held against; the last is out of reach of small tables.
+_PUBLISHED = {50: 30.0, 90: 60.0, 99: 10_000.0}
+
+
+@register("D7_same_magnitude", " UNION ALL ".join(f"SELECT {p} AS percentile, round(quantile_cont(length, {p / 100}), 6) AS value, quantile_cont(length, {p / 100}) / {v}::DOUBLE BETWEEN 0.1 AND 10 AS same FROM histories" for p, v in _PUBLISHED.items()))
+def _(spark, d):
+    lengths = profile.histories(prepare(spark, d).log)
+    row = lengths.agg(profile.percentiles("length", [p / 100 for p in _PUBLISHED])).first()[0]
+    return r6(spark.createDataFrame([(p, float(x), profile.same_magnitude(x, v)) for (p, v), x in zip(_PUBLISHED.items(), row, strict=True)], "percentile int, value double, same boolean"), "value")
+
+
 @register("S9_replaced_table", "SELECT * FROM val UNION ALL SELECT * FROM test")
 def _(spark, d):
     """A table written twice: the second write takes the place of the first."""

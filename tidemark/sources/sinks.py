@@ -9,11 +9,13 @@ import tempfile
 import uuid
 import warnings
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .work import discard
 
@@ -141,6 +143,26 @@ def verify_export(df: DataFrame, columns: Sequence[str], vector: str | None = No
         raise ValueError(f"{vector} has {len(row[vector])} dimensions, not {dim}")
 
 
+def export_report(spark: SparkSession, path: str) -> DataFrame:
+    """(split, problem, found): everything in which the splits under ``path`` differ from their manifest, over all rows.
+
+    Problems are columns that are missing, extra or of another type, nulls by column, and
+    another number of rows. Each split is read once.
+    """
+    manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))
+    fixed, counts = [], []
+    for name, want in manifest["splits"].items():
+        df = spark.read.parquet(f"{path}/{name}")
+        have, expected = dict(df.dtypes), dict(map(tuple, want["columns"]))
+        fixed += [(name, f"missing column {c}", expected[c]) for c in expected if c not in have] + [(name, f"extra column {c}", have[c]) for c in have if c not in expected]
+        fixed += [(name, f"type of {c}", have[c]) for c in expected if c in have and have[c] != expected[c]]
+        found = [F.struct(F.lit(f"nulls in {c}").alias("problem"), F.count_if(F.col(c).isNull()).alias("n"), F.lit(0).cast("long").alias("want")) for c in df.columns]
+        found.append(F.struct(F.lit("rows").alias("problem"), F.count(F.lit(1)).alias("n"), F.lit(want["rows"]).cast("long").alias("want")))
+        counts.append(df.agg(F.array(*found).alias("x")).select(F.lit(name).alias("split"), F.explode("x").alias("x")))
+    differ = [c.filter("x.n <> x.want").select("split", "x.problem", F.col("x.n").cast("string").alias("found")) for c in counts]
+    return reduce(DataFrame.unionByName, differ, spark.createDataFrame(fixed, "split string, problem string, found string"))
+
+
 def _plain(x: Any) -> Any:
     if isinstance(x, Path):
         return str(x)
