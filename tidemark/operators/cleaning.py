@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.work import discard, stored
+from ..sources.work import discard, hand_over, stored
 from .order import percentiles
 
 KEY = ("uid", "timestamp", "item_id")
@@ -73,6 +73,7 @@ def min_counts(log: DataFrame, min_user: int, min_item: int, max_rounds: int = 2
         discard(log.sparkSession, path)
         snapshot, path = after, after_path
         if left == rows:
+            hand_over(log.sparkSession, path)
             return snapshot, turn
         rows = left
     raise RuntimeError(f"minimum counts did not settle in {max_rounds} rounds")

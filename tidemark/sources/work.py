@@ -14,19 +14,22 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without the setting, by application.
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name inside ``spark.checkpoint.dir``, which all executors can reach.
 
     Only where that setting is absent and the master is local (tests, a laptop) a temporary
     folder is made; on a cluster its absence is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(spark.sparkContext.applicationId)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        base = _temporary[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -82,16 +85,23 @@ def owning(tables: Scratch) -> Iterator[Scratch]:
         _owner.reset(before)
 
 
+def _owning(spark: SparkSession) -> Scratch:
+    owner = _owner.get()
+    return owner if owner is not None else _thread.__dict__.setdefault("tables", Scratch(spark))
+
+
+def hand_over(spark: SparkSession, path: str) -> None:
+    """A folder that stored() wrote now belongs to whom materialise() would write for."""
+    _owning(spark).paths.append(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage for good.
 
     As what is made of the table is computed later, it stays: until its owner, see owning(), is
     closed, or without one until the same thread calls release().
     """
-    owner = _owner.get()
-    if owner is None:
-        owner = _thread.__dict__.setdefault("tables", Scratch(df.sparkSession))
-    return owner.store(df)
+    return _owning(df.sparkSession).store(df)
 
 
 def release(spark: SparkSession) -> None:
