@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import Scratch, discard, materialise, owning, release, shared_dir, stored
+from ..sources.work import Scratch, discard, hand_over, materialise, owning, release, shared_dir, stored
 
-__all__ = ["SPACES", "WORD", "Scratch", "bind", "discard", "fold", "in_batches", "materialise", "owning", "release", "shared_dir", "stored", "table", "words_of"]
+__all__ = ["SPACES", "WORD", "Scratch", "bind", "discard", "fold", "hand_over", "in_batches", "materialise", "owning", "release", "shared_dir", "stored", "table", "words_of"]
 
 #: A word, everywhere in these operators: a run of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, discard, in_batches, materialise, stored
+from .common import Scratch, discard, hand_over, in_batches, materialise, stored
 
 SHINGLE = 5
 #: Texts are hashed about so many bytes at a time; a longer text is hashed alone.
@@ -314,6 +314,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels, path = fresh.select("v", "label"), fresh_path
         if done:
             discard(spark, both_path)
+            hand_over(spark, path)
             return labels
 
 
