@@ -32,12 +32,9 @@ MIN_COVERED = 0.5
 MIN_ORDINARY = 3
 #: An item of fewer tokens matches only a document that is nothing else.
 MIN_ITEM = 4
-#: The benchmark's rare windows are broadcast up to this many (about 10 MB), else shuffled.
+#: The benchmark's rare windows, and the documents that they bring, are broadcast up to this many (about 10 MB), else shuffled.
 BROADCAST_WINDOWS = 200_000
 
-#: What tells the hashes of one kind of window from those of the next.
-_APART = 0x5851F42D4C957F2D >> 5
-
 # Marks of the placeholders, what they replace, and what is dropped from tokens.
 MARK = "\u0002"
 NAME = r"([\p{Ll}\p{N},;] +)(\p{Lu}[\p{L}'’-]*(?: +\p{Lu}[\p{L}'’-]*)*)"
@@ -146,38 +143,40 @@ def _telling(known: DataFrame, min_covered: float) -> DataFrame:
     return counted.join(levels, "item_id").withColumn("rare", F.col("items") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))).drop("items", "level")
 
 
-def _hashed(docs: DataFrame, kinds: list[tuple[bool, int]]) -> DataFrame:
-    """(doc_id, th, hs, offsets): the hashes of each document's windows, one kind after the other, all of one tokenisation, and where each kind starts.
+def _seen(docs: DataFrame, kinds: list[tuple[bool, int]]) -> DataFrame:
+    """(doc_id, th, kind, pos, h): the windows of each kind, by its number, of every document, of one tokenisation.
 
-    A kind's number times a constant is added to its hashes, so that kinds do not meet.
+    The arrays are made within explode(): Spark tests a named one for being empty where the
+    table is read, and so would make it twice, and for rows that a join is to drop.
     """
     texts = {literal: F.col("__literal" if literal else "__template") for literal, _ in kinds}
     tokens = docs.select("doc_id", "th", *[(_literal if literal else template)(F.col("text")).alias("__literal" if literal else "__template") for literal in texts])
 
-    def windows(k: int, literal: bool, n: int) -> Column:
-        whole = F.array(F.xxhash64(F.transform(texts[literal], lambda t: F.xxhash64(t))))
-        hs = F.coalesce(_windows(texts[literal], n), F.array().cast("array<bigint>")) if n else whole
-        return F.transform(hs, lambda h: h.bitwiseXOR(F.lit(k * _APART))) if k else hs
+    def windows(literal: bool, n: int) -> Column:
+        if n:
+            return F.coalesce(_windows(texts[literal], n), F.array().cast("array<bigint>"))
+        return F.array(F.xxhash64(F.transform(texts[literal], lambda t: F.xxhash64(t))))
 
-    tokens = tokens.withColumns({f"__h{k}": windows(k, *kind) for k, kind in enumerate(kinds)})
-    every = [F.col(f"__h{k}") for k in range(len(kinds))]
-    offsets = F.array(*[sum((F.size(h) for h in every[:k]), F.lit(0)) for k in range(len(kinds))])
-    return tokens.select("doc_id", "th", F.concat(*every).alias("hs") if len(every) > 1 else every[0].alias("hs"), offsets.alias("offsets"))
+    if len(kinds) == 1:
+        return tokens.select("doc_id", "th", F.lit(0).alias("kind"), F.posexplode(windows(*kinds[0])).alias("pos", "h"))
+    placed = lambda k, kind: F.transform(windows(*kind), lambda h, i: F.struct(F.lit(k).alias("kind"), i.alias("pos"), h.alias("h")))
+    return tokens.select("doc_id", "th", F.explode(F.concat(*[placed(*x) for x in enumerate(kinds)])).alias("p")).select("doc_id", "th", "p.*")
 
 
 def _hits(docs: DataFrame, known: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, item_id, n, pos, ipos, slotted): the windows that documents share with the items that a rare window brought them to."""
     kinds = sorted(map(tuple, known.select("literal", "n").distinct().collect())) or [(False, window)]  # at most two a length up to the window
     kind = F.coalesce(*[F.when((F.col("literal") == literal) & (F.col("n") == n), F.lit(k)) for k, (literal, n) in enumerate(kinds)])
-    known = known.withColumn("kind", kind).withColumn("h", F.col("h").bitwiseXOR(F.col("kind") * F.lit(_APART)))
-    rare = known.filter("rare").select("h", "item_id")
-    seen = _hashed(docs, kinds).select("doc_id", "th", F.explode("hs").alias("h"))
-    brought = seen.join(F.broadcast(rare) if rare.count() <= BROADCAST_WINDOWS else rare, "h").select("doc_id", "th", "item_id").distinct()
-    brought = materialise(brought)
-    asked = brought.join(known.select("item_id", "kind", "n", "h", "ipos", "slotted"), "item_id")
-    again = _hashed(docs.join(brought.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi"), kinds).select("doc_id", "th", "offsets", F.posexplode("hs").alias("at", "h"))
-    met = again.join(asked, ["doc_id", "th", "h"])
-    return materialise(met.select("doc_id", "th", "item_id", "n", (F.col("at") - F.get("offsets", F.col("kind"))).alias("pos"), "ipos", "slotted"))
+    known = known.withColumn("kind", kind)
+    key = ["kind", "h"]
+    rare = known.filter("rare").select(*key, "item_id")
+    rare = F.broadcast(rare) if rare.count() <= BROADCAST_WINDOWS else rare
+    brought = materialise(_seen(docs, kinds).join(rare, key).select("doc_id", "th", "item_id").distinct())
+    asked = brought.join(known.select("item_id", *key, "n", "ipos", "slotted"), "item_id")
+    ids = brought.select("doc_id", "th").distinct()
+    ids = F.broadcast(ids) if brought.count() <= BROADCAST_WINDOWS else ids
+    again = _seen(docs.join(ids, ["doc_id", "th"], "left_semi"), kinds)
+    return materialise(again.join(asked, ["doc_id", "th", *key]).select("doc_id", "th", "item_id", "n", "pos", "ipos", "slotted"))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_covered: float) -> DataFrame:
