@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -209,6 +210,45 @@ def test_ranking(spark):
         ranking.rank_blocks(users, items, 61)
 
 
+def test_ranking_of_equal_vectors_and_parts(spark):
+    rng = np.random.default_rng(1)
+    kinds = [[0.0, 0.0], [1.0, 0.0], [0.0, -0.0], [1e-12, 0.0], [0.5, 0.25]]
+    x = {i: kinds[rng.integers(5)] if i % 3 else [float(v) for v in rng.normal(size=2)] for i in range(90)}
+    u = {i: kinds[rng.integers(5)] if i % 2 else [float(v) for v in rng.normal(size=2)] for i in range(30)}
+    users, items = spark.createDataFrame(list(u.items()), "uid long, vec array<double>"), spark.createDataFrame(list(x.items()), "item_id long, vec array<double>")
+    want = {(i, r, j) for i in u for r, j in enumerate(sorted(x, key=lambda j: (-round(float(np.dot(u[i], x[j])), 10), j))[:40], 1)}
+    for sizes in ({}, {"item_bytes": 64, "user_rows": 3}, {"item_bytes": 64, "part_bytes": 1_000, "part_users": 7}):
+        assert {(r.uid, r.rank, r.item_id) for r in ranking.rank_blocks(users, items, 40, **sizes).collect()} == want
+    with pytest.raises(Exception, match="finite"):
+        ranking.rank_blocks(users, items.withColumn("vec", F.array(F.lit(1.0), F.lit(float("nan")))), 5).collect()
+
+
+def _shuffled(spark) -> int:
+    """Shuffle records written by the session so far."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_small_blocks_move_no_more_rows(spark):
+    items = spark.range(3_000).select(F.col("id").alias("item_id"), F.array(*[F.rand(j) for j in range(4)]).alias("vec")).localCheckpoint()
+    moved = []
+    for sizes in ({}, {"item_bytes": 320, "user_rows": 20}):
+        before = _shuffled(spark)
+        ranking.rank_blocks(items.withColumnRenamed("item_id", "uid"), items, 5, **sizes).collect()
+        moved.append(_shuffled(spark) - before)
+    assert 0 < moved[1] <= moved[0]
+
+
+def test_scores_of_few_pairs_are_in_memory_at_once():
+    x = np.random.default_rng(0).normal(size=(200_000, 2))
+    tracemalloc.start()
+    ranking.best_items(np.arange(512), x[:512], np.arange(len(x)), x, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a row of scores for each of 128 users would take 200 MB
+
+
 def test_baselines(spark):
     users = spark.createDataFrame([(1,), (2,)], "uid long")
     pop = lambda xs: spark.createDataFrame(list(enumerate(xs)), "item_id long, popularity long")
