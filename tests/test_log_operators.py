@@ -4,6 +4,7 @@ import math
 import os
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -230,6 +231,29 @@ def _shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
+def test_cleaning_moves_heard_rows_once(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40) if i % 50 else 1000 + i, rng.randrange(30) if i % 70 else 1000 + i, rng.randrange(60), 1, rng.choice([10, 20, 49, 50, 90]), rng.randrange(3)) for i in range(20_000)]
+    df = log(spark, rows).localCheckpoint()
+    heard = cleaning.played(cleaning.key_dedup(cleaning.exact_dedup(df)), 50)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of a real size
+    try:
+        before = _shuffled(spark)
+        got = sorted(map(tuple, cleaning.clean(df, 50, 5, 5).collect()))
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {tuple(r) for r in heard.collect()}
+    while True:
+        users, items = (Counter(r[c] for r in want) for c in (0, 1))
+        left = {r for r in want if users[r[0]] >= 5 and items[r[1]] >= 5}
+        if left == want:
+            break
+        want = left
+    assert got == sorted(want) and moved < len(rows)
+
+
 def test_small_blocks_move_no_more_rows(spark):
     items = spark.range(3_000).select(F.col("id").alias("item_id"), F.array(*[F.rand(j) for j in range(4)]).alias("vec")).localCheckpoint()
     moved = []
