@@ -244,6 +244,16 @@ def test_normalised_zero_vector(spark):
     assert spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(normalised(F.col("v")).alias("v")).first().v == [0.0, 0.0]
 
 
+def test_objective_comes_with_the_solution(spark, log, monkeypatch):
+    df = log[1].unionByName(log[1].filter("uid < 3"))
+    plain = factors.objective
+    monkeypatch.setattr(factors, "objective", lambda *args: pytest.fail("joins the pairs again"))
+    users, items, costs = factors.factorise(df, 3, 2)
+    pairs = df.filter("uid IS NOT NULL AND item_id IS NOT NULL").groupBy("uid", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    assert costs[-1] == pytest.approx(plain(pairs, users, items, 3, factors.ALPHA, factors.PENALTY), rel=1e-9)
+    assert users.columns == items.columns == ["id", "vec"]
+
+
 def test_weekly_stream_equals_the_table(spark, tmp_path):
     from tidemark.config import WEEK
     from tidemark.operators.profile import weekly as table_weekly

@@ -31,16 +31,18 @@ def gramian(factors: DataFrame, rank: int) -> np.ndarray:
 
 
 def solved(pairs: DataFrame, mine: str, other: str, factors: DataFrame, rank: int, alpha: float, penalty: float) -> DataFrame:
-    """(id, vec): for each ``mine`` of ``pairs`` (uid, item_id, n) the least-squares vector, given those of the ``other`` side.
+    """(id, vec, seen): for each ``mine`` of ``pairs`` (uid, item_id, n) the least-squares vector, given those of the ``other`` side.
 
     The unseen pairs come in by the Gramian, the same for all. What a pair adds to its id's
     equations are sums of products, added up by tasks before they move, so a heavy id is
-    never gathered; the small systems are solved in batches.
+    never gathered; the small systems are solved in batches. The same sums give ``seen``, what
+    the id's pairs add to the objective: the sum of c (1 - s)^2 - s^2 over them, s = x . v, is
+    sum(c) - 2 x . b + x' a x.
     """
     shared = gramian(factors, rank) + penalty * np.eye(rank)
     joined = salted_join(pairs.select(F.col(mine).alias("__id"), F.col(other).alias("id"), (F.col("n") * alpha).alias("c")), factors, ["id"])
     v, upper = F.col("vec"), [(i, j) for i in range(rank) for j in range(i, rank)]
-    sums = joined.groupBy("__id").agg(F.array(*[F.sum(F.col("c") * v[i] * v[j]) for i, j in upper]).alias("a"), F.array(*[F.sum((F.col("c") + 1) * v[i]) for i in range(rank)]).alias("b"))
+    sums = joined.groupBy("__id").agg(F.array(*[F.sum(F.col("c") * v[i] * v[j]) for i, j in upper]).alias("a"), F.array(*[F.sum((F.col("c") + 1) * v[i]) for i in range(rank)]).alias("b"), F.sum(F.col("c") + 1).alias("w"))
     rows, columns = np.array(upper).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,10 +52,11 @@ def solved(pairs: DataFrame, mine: str, other: str, factors: DataFrame, rank: in
             a[:, columns, rows] = a[:, rows, columns]
             b = batch.column("b").flatten().to_numpy().reshape(-1, rank, 1)
             x = np.linalg.solve(a + shared, b)
+            seen = batch.column("w").to_numpy() + (x.transpose(0, 2, 1) @ (a @ x - 2 * b))[:, 0, 0]
             vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), rank).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), vec], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), vec, pa.array(seen)], names=["id", "vec", "seen"])
 
-    return sums.mapInArrow(run, "id long, vec array<double>")
+    return sums.mapInArrow(run, "id long, vec array<double>, seen double")
 
 
 def objective(pairs: DataFrame, users: DataFrame, items: DataFrame, rank: int, alpha: float, penalty: float) -> float:
@@ -65,6 +68,10 @@ def objective(pairs: DataFrame, users: DataFrame, items: DataFrame, rank: int, a
     both = salted_join(salted_join(pairs, users.select(F.col("id").alias("uid"), F.col("vec").alias("u")), ["uid"]), items.select(F.col("id").alias("item_id"), F.col("vec").alias("i")), ["item_id"])
     score = sum((F.col("u")[j] * F.col("i")[j] for j in range(rank)), F.lit(0.0))
     seen = both.select((1 + F.col("n") * alpha).alias("c"), score.alias("s")).agg(F.coalesce(F.sum(F.col("c") * (1 - F.col("s")) ** 2 - F.col("s") ** 2), F.lit(0.0))).first()[0]
+    return _with_unseen(seen, users, items, rank, penalty)
+
+
+def _with_unseen(seen: float, users: DataFrame, items: DataFrame, rank: int, penalty: float) -> float:
     gu, gi = gramian(users, rank), gramian(items, rank)
     return float(seen + (gu * gi).sum() + penalty * (np.trace(gu) + np.trace(gi)))
 
@@ -73,7 +80,7 @@ def factorise(log: DataFrame, rank: int, rounds: int = ROUNDS, alpha: float = AL
     """(users, items, objective after each round): vectors (id, vec) of all users and items of ``log`` (uid, item_id).
 
     n counts a pair's rows. A round solves all users, then all items; each table is written and
-    those of the round before are deleted.
+    those of the round before are deleted. The objective needs no join of its own, see solved().
     """
     pairs = materialise(log.filter("uid IS NOT NULL AND item_id IS NOT NULL").groupBy("uid", "item_id").agg(F.count(F.lit(1)).alias("n")))
     costs: list[float] = []
@@ -83,5 +90,6 @@ def factorise(log: DataFrame, rank: int, rounds: int = ROUNDS, alpha: float = AL
             last = turn + 1 == rounds
             users = (materialise if last else tables.store)(solved(pairs, "uid", "item_id", items, rank, alpha, penalty))
             items = materialise(solved(pairs, "item_id", "uid", users, rank, alpha, penalty))
-            costs.append(objective(pairs, users, items, rank, alpha, penalty))
-    return users, items, costs
+            seen = items.agg(F.coalesce(F.sum("seen"), F.lit(0.0))).first()[0]
+            costs.append(_with_unseen(seen, users, items, rank, penalty))
+    return users.drop("seen"), items.drop("seen"), costs
