@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import codes, factors, moments, neighbours
-from tidemark.operators.skew import salted_join
+from tidemark.operators.skew import hot_keys, salted_join
 from tidemark.operators.vectors import normalised
 
 LOG = "uid long, item_id long, timestamp long"
@@ -155,6 +155,16 @@ def test_item_neighbours_equal_loops(spark, log):
         assert [lists.get((u, k)) for k in range(1, len(best) + 1)] == [(b, -s) for s, b in best] and (u, len(best) + 1) not in lists
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_only_hot_keys_are_dealt(spark, how):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 40 + [2] * 5 + [3] * 41 + [None] * 50 + [9])], "k int, i int")
+    small = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (4, "e"), (None, "f")], "k int, x string")
+    hot = hot_keys(rows, ["k"], 40, 1)
+    assert sorted(r.k for r in hot.collect()) == [1, 3]
+    for some in (hot, hot.limit(0)):
+        assert sorted(map(tuple, salted_join(rows, small, ["k"], how, hot=some).collect()), key=str) == sorted(map(tuple, rows.join(small, "k", how).collect()), key=str)
+
+
 def test_user_neighbours_leave_out_oneself(spark, log):
     rows, df = log
     rng = np.random.default_rng(3)

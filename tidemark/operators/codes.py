@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..sources.work import Scratch, materialise
 from .order import with_before
-from .skew import salted_join
+from .skew import hot_keys, salted_join
 from .splits import md5_order
 
 #: Steps of the grid to a unit, and its largest number: sums of products of these are exact in doubles.
@@ -44,7 +44,7 @@ def _located(log: DataFrame, items: DataFrame) -> tuple[DataFrame, int]:
     """``log`` with v, the grid vector of its item, and the number of components; rows whose item has none are left out."""
     row = items.select(F.size("vec")).first()
     placed = items.select("item_id", on_grid(F.col("vec")).alias("v"))
-    return salted_join(log, placed, ["item_id"]), row[0] if row else 0
+    return salted_join(log, placed, ["item_id"], hot=hot_keys(log, ["item_id"])), row[0] if row else 0
 
 
 def pooled(log: DataFrame, items: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def history_cuts(log: DataFrame, items: DataFrame, cuts: Sequence[int] = CUTS) -
     located, d = _located(log.select("uid", "timestamp", "item_id"), items)
     numbered = with_before(located, ["uid", "timestamp", "item_id"])
     sizes = numbered.groupBy("uid").agg(F.min("before").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    at = salted_join(numbered, sizes, ["uid"])
+    at = salted_join(numbered, sizes, ["uid"], hot=hot_keys(log, ["uid"]))
     ends = [(c, F.expr(f"({c} * __n + 99) div 100")) for c in sorted(cuts)]
     band = F.coalesce(*[F.when(F.col("before") - F.col("__first") < end, F.lit(c)) for c, end in ends])
     bands = _sums(at.withColumn("band", band).filter("band IS NOT NULL"), ["uid", "band"], d)
