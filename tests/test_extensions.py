@@ -191,6 +191,21 @@ def test_user_neighbours_leave_out_oneself(spark, log):
     assert neighbours.user_neighbours(one, one, 3).collect() == [] and neighbours.user_neighbours(one, users.limit(0), 3).collect() == []
 
 
+def test_equal_users_are_compared_once(spark, monkeypatch):
+    vecs = {u: [float(u % 3), 1.0, float(u % 2)] for u in range(60)}
+    users = spark.createDataFrame(list(vecs.items()), "uid long, vec array<double>").repartition(3)
+    sizes = []
+    plain = neighbours.rank_blocks
+    monkeypatch.setattr(neighbours, "rank_blocks", lambda u, i, k: sizes.append((u.count(), i.count())) or plain(u, i, k))
+    got = defaultdict(list)
+    for r in sorted(neighbours.user_neighbours(users.filter("uid < 20"), users, 12).collect(), key=lambda r: (r.uid, r.rank)):
+        got[r.uid].append(r.neighbour)
+    unit = {u: np.array(v) / np.linalg.norm(v) for u, v in vecs.items()}
+    assert sizes == [(6, 6)] and len(got) == 20
+    for u in range(20):
+        assert got[u] == [v for _, v in sorted((-round(float(unit[u] @ unit[v]), 10), v) for v in vecs if v != u)[:12]]
+
+
 @pytest.mark.parametrize("half_life", [40.0, 3600.0, 86_400.0 * 30])
 def test_decayed_popularity_equals_sums(spark, log, half_life):
     rows, df = log
