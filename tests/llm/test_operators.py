@@ -685,3 +685,15 @@ def test_token_file_round_trip(spark, odd, none):
         rng.shuffle(texts)
         assert ours(texts) == [np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u2").tobytes() for t in texts]
     assert token_file.round_trip(none, BPE).count() == 0 and token_file.round_trip(odd, BPE).count() == odd.count()
+
+
+def test_pieces_are_looked_up_once_and_older_ones_go(monkeypatch):
+    monkeypatch.setattr(token_file, "REMEMBERED", 20)
+    assert set(token_file._OTHER_SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()} - {" ", "\n"}
+    ours, plain = token_file.Ids(BPE), token_file.tokenizer(BPE)
+    texts = [None, "", "One two, two. Three", "x" * 60 + " " + "x" * 60, *(f"w{n % 30} and w{n % 7}\nagain, {n}." for n in range(80))]
+    for low in range(0, len(texts), 10):
+        part = texts[low : low + 10]
+        ids = [plain.encode(t or "", add_special_tokens=False).ids + [0] for t in part]
+        assert [np.frombuffer(b, ours.kind).tolist() for b in ours(part)] == ids
+    assert not ours.known.new and ours.known.older and not ours.known.older.older and None not in ours.known.values()

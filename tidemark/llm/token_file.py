@@ -60,7 +60,8 @@ def tokenizer(path: str):
 JOINED, BEGIN = "\x01", "\x02"
 #: How a byte-level vocabulary writes a space.
 SPACE = "Ġ"
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: All characters that are spaces but for these two; each is looked for by itself, which is faster than a pattern.
+_OTHER_SPACES = tuple("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _ODD_MARK = re.compile(r"[.,](?<![^\W\d_][.,])[ \n]")
 
 
@@ -74,7 +75,7 @@ def pieces(text: str) -> list[str]:
     """
     if JOINED in text or BEGIN in text:
         return [BEGIN + text]
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or _OTHER_SPACE.search(text):
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(map(text.__contains__, _OTHER_SPACES)):
         first, *rest = text.split(" ")
         out = [BEGIN + first]
         for p in rest:
@@ -88,6 +89,19 @@ def pieces(text: str) -> list[str]:
     return (BEGIN + text).split(" ")
 
 
+class _Known(dict):
+    """Ids of pieces. Those asked for that neither this nor the ``older`` table has are noted in ``new``, and are None until they are learned."""
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older, self.new = older, []
+
+    def __missing__(self, piece: str) -> bytes | None:
+        found = self[piece] = self.older.get(piece)
+        if found is None:
+            self.new.append(piece)
+        return found
+
+
 class Ids:
     """Ids of texts as little-endian bytes, remembering those of short pieces while they recur."""
 
@@ -99,8 +113,7 @@ class Ids:
         self.spaced = np.zeros(self.n_ids, bool)  # ids of tokens that start with a space
         self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
         self.end = np.array([END], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known({})
 
     def _alone(self, plain: list[str]) -> list[bytes]:
         return [array(self.kind.char, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
@@ -130,17 +143,20 @@ class Ids:
 
     def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+            self.known.older = {}
+            self.known = _Known(self.known)
+        known = self.known
         cut = [pieces(t) if t else [] for t in texts]
-        new = []
-        for p in set().union(*cut) - known.keys():
-            if (v := older.get(p)) is not None:
-                known[p] = v
-            else:
-                new.append(p)
+        found = [list(map(known.__getitem__, ps)) for ps in cut]
+        new, known.new = known.new, []
         self._learn(new)
-        out = [b"".join(map(known.__getitem__, ps)) + self.end for ps in cut]
+        if new:
+            for ps, ids in zip(cut, found, strict=True):
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = known[ps[at]]
+        out = [b"".join(ids) + self.end for ids in found]
         for p in new:
             if len(p) > LONGEST:
                 del known[p]
