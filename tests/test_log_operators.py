@@ -60,6 +60,14 @@ def test_dedup_and_threshold(spark):
     assert sorted(r.played_ratio_pct for r in cleaning.played(kept, 50).collect()) == [50, 80, 159]
 
 
+def test_unique_keys_hold_no_table_beside_the_grouping(spark):
+    df = spark.createDataFrame([(1, 5, 2, 1, 60, 10), (1, 5, 2, 0, 70, 10), (1, None, 2, 1, 60, 10), (1, None, 2, 1, 60, 10), (2, 5, 2, 1, 60, 10)], tables.INTERACTIONS.fieldNames())
+    assert not cleaning.unique_keys(df).first().ok
+    once = cleaning.unique_keys(cleaning.key_dedup(df))
+    assert once.first().ok and cleaning.unique_keys(df.limit(0)).first().ok
+    assert once._jdf.queryExecution().sparkPlan().toString().count("HashAggregate(keys=[uid") == 2  # by tasks, and of all
+
+
 def test_min_counts_takes_both_from_one_snapshot(spark):
     rows = [(u, i, 0, 0, 60, 1) for u in range(4) for i in range(3)] + [(9, 0, 0, 0, 60, 1), (9, 7, 0, 0, 60, 1), (8, 7, 0, 0, 60, 1)]
     out, rounds = cleaning.min_counts(log(spark, rows), 3, 3)
