@@ -217,6 +217,12 @@ def test_decayed_popularity_equals_sums(spark, log, half_life):
         assert abs(r.decayed - slow) <= 1e-9 * max(1.0, slow)
 
 
+def test_decayed_popularity_deals_the_log_by_bucket_once(spark, log):
+    asked = spark.createDataFrame([(0, 5)], "item_id long, timestamp long")
+    plan = moments.decayed_before(log[1], asked, "item_id", 50.0)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 2  # the rows asked for, and a row a bucket
+
+
 @pytest.mark.parametrize("strict", [True, False])
 def test_as_of_equals_loops(spark, log, strict):
     rows, df = log

@@ -32,19 +32,22 @@ def decayed_before(log: DataFrame, moments: DataFrame, key: str, half_life: floa
     of = lambda df, n, asked: df.select(F.col(key).alias("k"), F.col("timestamp").alias("t"), F.lit(n).cast("long").alias("n"), F.lit(asked).alias("asked"))
     at = of(log, 1, False).unionByName(of(moments, 0, True)).filter("k IS NOT NULL AND t IS NOT NULL").groupBy("k", "t").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     at = at.withColumn("b", start(F.col("t"), bucket)).withColumn("s", start(F.col("b"), span))
-    at = materialise(at)
     up = lambda t, reference: F.pow(F.lit(2.0), (t - reference) / F.lit(float(half_life)))
-    sums = at.groupBy("k", "s", "b").agg(F.sum(F.col("n") * up(F.col("t"), F.col("b"))).alias("v"))
-    below = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
-    spans = sums.groupBy("k", "s").agg(F.sum(F.col("v") * up(F.col("b"), F.col("s"))).alias("v"))
-    earlier = F.collect_list(F.struct("s", "v")).over(below("k", "s"))  # a few: SPAN half-lives each
-    carried = F.aggregate(earlier, F.lit(0.0), lambda sum_, x: sum_ + x["v"] * down(F.col("s") - x["s"]))
-    spans = spans.select("k", "s", carried.alias("before_span"))
-    within_span = F.coalesce(F.sum(F.col("v") * up(F.col("b"), F.col("s"))).over(below("k", "s", "b")), F.lit(0.0))
-    buckets = sums.withColumn("before_bucket", within_span).join(spans, ["k", "s"])
-    buckets = buckets.select("k", "b", ((F.col("before_bucket") + F.col("before_span")) * down(F.col("b") - F.col("s"))).alias("before_bucket"))
-    within = F.coalesce(F.sum(F.col("n") * up(F.col("t"), F.col("b"))).over(below("k", "b", "t")), F.lit(0.0))
-    here = at.withColumn("within", within).filter("asked").join(buckets, ["k", "b"])
+    below = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    whole = lambda w: w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # a bucket's sum leaves with its last row, so rows are dealt by bucket once and only sums go on
+    here, own = W.partitionBy("k", "b").orderBy("t"), F.col("n") * up(F.col("t"), F.col("b"))
+    ends = at.withColumns({"within": F.coalesce(F.sum(own).over(below(here)), F.lit(0.0)), "wanted": F.max("asked").over(whole(here)), "end": F.lead("t").over(here).isNull()})
+    ends = ends.filter("asked OR end").select("k", "s", "b", F.when(F.col("asked"), F.col("t")).alias("t"), F.when(F.col("asked"), F.col("within")).alias("within"), F.when(F.col("end"), F.col("within") + own).alias("v"), "wanted")
+    ends = materialise(ends)
+    spans, earlier, own = W.partitionBy("k", "s").orderBy("b"), W.partitionBy("k").orderBy("s", "b"), F.col("v") * up(F.col("b"), F.col("s"))
+    # a key's buckets are no more than the log's time has, and of its spans there are a few
+    sums = ends.filter("v IS NOT NULL").select("k", "s", "b", "v", "wanted").repartition("k")
+    sums = sums.withColumns({"before_bucket": F.coalesce(F.sum(own).over(below(spans)), F.lit(0.0)), "end": F.lead("b").over(spans).isNull()})
+    sums = sums.withColumn("earlier", F.collect_list(F.when(F.col("end"), F.struct("s", (F.col("before_bucket") + own).alias("v")))).over(below(earlier)))
+    carried = F.aggregate("earlier", F.lit(0.0), lambda sum_, x: sum_ + x["v"] * down(F.col("s") - x["s"]))
+    buckets = sums.filter("wanted").select("k", "b", ((F.col("before_bucket") + carried) * down(F.col("b") - F.col("s"))).alias("before_bucket"))
+    here = ends.filter("t IS NOT NULL").select("k", "b", "t", "within").join(buckets, ["k", "b"])
     values = here.select(F.col("k").alias(key), F.col("t").alias("timestamp"), ((F.col("within") + F.col("before_bucket")) * down(F.col("t") - F.col("b"))).alias("decayed"))
     return moments.join(values, [key, "timestamp"], "left").withColumn("decayed", F.coalesce("decayed", F.lit(0.0)))
 
