@@ -271,6 +271,19 @@ def test_factors_equal_numpy(spark, log):
     assert abs(costs[-1] - slow) < 1e-6 * slow
 
 
+def test_vectors_move_to_ids_that_are_not_hot(spark, log):
+    pairs = log[1].dropna().groupBy("uid", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    start = factors.start(pairs.select(F.col("item_id").alias("id")).distinct(), 3, 1)
+    solve = lambda hot: factors.solved(pairs, "uid", "item_id", start, 3, 10.0, 0.1, hot_mine=hot)
+    plain, mixed = solve(None), solve(spark.createDataFrame([(0,), (3,)], "id long"))
+    assert "RepartitionByExpression [__id" in plain._jdf.queryExecution().optimizedPlan().toString()
+    other = {r.id: r for r in mixed.collect()}
+    rows = plain.collect()
+    assert len(rows) == len(other) > 2
+    for r in rows:
+        assert np.allclose([*r.vec, r.seen], [*other[r.id].vec, other[r.id].seen], atol=1e-9)
+
+
 def test_normalised_zero_vector(spark):
     assert spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(normalised(F.col("v")).alias("v")).first().v == [0.0, 0.0]
 

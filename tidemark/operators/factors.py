@@ -30,19 +30,27 @@ def gramian(factors: DataFrame, rank: int) -> np.ndarray:
     return np.array(row, np.float64).reshape(rank, rank)
 
 
-def solved(pairs: DataFrame, mine: str, other: str, factors: DataFrame, rank: int, alpha: float, penalty: float, hot: DataFrame | None = None) -> DataFrame:
+def solved(pairs: DataFrame, mine: str, other: str, factors: DataFrame, rank: int, alpha: float, penalty: float, hot: DataFrame | None = None, hot_mine: DataFrame | None = None) -> DataFrame:
     """(id, vec, seen): for each ``mine`` of ``pairs`` (uid, item_id, n) the least-squares vector, given those of the ``other`` side.
 
     The unseen pairs come in by the Gramian, the same for all. What a pair adds to its id's
-    equations are sums of products, added up by tasks before they move, so a heavy id is
-    never gathered; the small systems are solved in batches. The same sums give ``seen``, what
-    the id's pairs add to the objective: the sum of c (1 - s)^2 - s^2 over them, s = x . v, is
-    sum(c) - 2 x . b + x' a x. ``hot`` names the ids (id) of the other side with very many pairs.
+    equations are sums of products. Vectors move to the ids and are multiplied there, as products
+    are larger than vectors; for the ids with very many pairs, ``hot_mine`` (id), the sums are
+    added up by tasks before they move, so a heavy id is never gathered. The small systems are
+    solved in batches. The same sums give ``seen``, what the id's pairs add to the objective: the
+    sum of c (1 - s)^2 - s^2 over them, s = x . v, is sum(c) - 2 x . b + x' a x. ``hot`` names
+    the ids (id) of the other side with very many pairs.
     """
     shared = gramian(factors, rank) + penalty * np.eye(rank)
     joined = salted_join(pairs.select(F.col(mine).alias("__id"), F.col(other).alias("id"), (F.col("n") * alpha).alias("c")), factors.select("id", "vec"), ["id"], hot=hot)
     v, upper = F.col("vec"), [(i, j) for i in range(rank) for j in range(i, rank)]
-    sums = joined.groupBy("__id").agg(F.array(*[F.sum(F.col("c") * v[i] * v[j]) for i, j in upper]).alias("a"), F.array(*[F.sum((F.col("c") + 1) * v[i]) for i in range(rank)]).alias("b"), F.sum(F.col("c") + 1).alias("w"))
+    joined = joined.select("__id", "c", "vec")
+    added = lambda rows: rows.groupBy("__id").agg(F.array(*[F.sum(F.col("c") * v[i] * v[j]) for i, j in upper]).alias("a"), F.array(*[F.sum((F.col("c") + 1) * v[i]) for i in range(rank)]).alias("b"), F.sum(F.col("c") + 1).alias("w"))
+    if hot_mine is None or hot_mine.isEmpty():
+        sums = added(joined.repartition("__id"))
+    else:
+        heavy = F.broadcast(hot_mine.select(F.col("id").alias("__id")))
+        sums = added(joined.join(heavy, "__id", "left_anti").repartition("__id")).unionByName(added(joined.join(heavy, "__id", "left_semi")))
     rows, columns = np.array(upper).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +97,8 @@ def factorise(log: DataFrame, rank: int, rounds: int = ROUNDS, alpha: float = AL
     for turn in range(rounds):
         with Scratch(log.sparkSession) as tables:
             last = turn + 1 == rounds
-            users = (materialise if last else tables.store)(solved(pairs, "uid", "item_id", items, rank, alpha, penalty, hot_items))
-            items = materialise(solved(pairs, "item_id", "uid", users, rank, alpha, penalty, hot_users))
+            users = (materialise if last else tables.store)(solved(pairs, "uid", "item_id", items, rank, alpha, penalty, hot_items, hot_users))
+            items = materialise(solved(pairs, "item_id", "uid", users, rank, alpha, penalty, hot_users, hot_items))
             seen = items.agg(F.coalesce(F.sum("seen"), F.lit(0.0))).first()[0]
             costs.append(_with_unseen(seen, users, items, rank, penalty))
     return users.drop("seen"), items.drop("seen"), costs
