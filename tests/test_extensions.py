@@ -90,6 +90,13 @@ def test_pooled_and_cut_histories(log, items):
     assert cuts == {(u, c): mean(x[: -(-c * len(x) // 100)]) for u, x in by_user.items() for c in (50, 100)}
 
 
+def test_cut_histories_are_numbered_without_vectors(log, items, monkeypatch):
+    seen = []
+    monkeypatch.setattr(codes, "with_before", lambda rows, keys, _real=codes.with_before: seen.append(rows.columns) or _real(rows, keys))
+    codes.history_cuts(log[1], items[1], (50, 100))
+    assert [sorted(columns) for columns in seen] == [["item_id", "timestamp", "uid"]]
+
+
 def test_stability(spark):
     rows = [(1, 70, [1, 2]), (1, 100, [1, 3]), (2, 70, [0, 0]), (2, 100, [0, 0])]
     df = spark.createDataFrame([(u, c, x, [0, 0]) for u, c, x in rows], "uid long, cut int, codes array<int>, residual array<long>")

@@ -210,15 +210,17 @@ def history_cuts(log: DataFrame, items: DataFrame, cuts: Sequence[int] = CUTS) -
     """(uid, cut, v): the pooled vector of the first ``cut`` percent of each user's rows in order of time, rounded up.
 
     Rows are numbered by ranges of (uid, timestamp, item_id), so a heavy user is no single
-    task's. What lies between two cuts is summed once, and each cut adds up what lies below.
+    task's, and meet their vectors after that. What lies between two cuts is summed once, and
+    each cut adds up what lies below.
     """
-    located, d = _located(log.select("uid", "timestamp", "item_id"), items)
-    numbered = with_before(located, ["uid", "timestamp", "item_id"])
+    known = salted_join(log.select("uid", "timestamp", "item_id"), items.select("item_id"), ["item_id"], hot=hot_keys(log, ["item_id"]))
+    numbered = with_before(known, ["uid", "timestamp", "item_id"])
     sizes = numbered.groupBy("uid").agg(F.min("before").alias("__first"), F.count(F.lit(1)).alias("__n"))
     at = salted_join(numbered, sizes, ["uid"], hot=hot_keys(log, ["uid"]))
     ends = [(c, F.expr(f"({c} * __n + 99) div 100")) for c in sorted(cuts)]
     band = F.coalesce(*[F.when(F.col("before") - F.col("__first") < end, F.lit(c)) for c, end in ends])
-    bands = _sums(at.withColumn("band", band).filter("band IS NOT NULL"), ["uid", "band"], d)
+    located, d = _located(at.select("uid", "item_id", "before", band.alias("band")).filter("band IS NOT NULL"), items)
+    bands = _sums(located, ["uid", "band"], d)
     above = F.explode(F.filter(F.array(*[F.lit(c) for c in sorted(cuts)]), lambda c: c >= F.col("band")))
     both = bands.withColumn("cut", above).groupBy("uid", "cut").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
     return _floored_means(both, ["uid", "cut"], d)
