@@ -286,6 +286,15 @@ def slow_template(text):
     return tokens, values
 
 
+def test_decontamination_of_long_runs_of_names_and_numbers(spark):
+    passage = "the red fox was seen near an old stone bridge"
+    names, numbers = " ".join("Ab" + "c" * (i % 5) for i in range(6000)), ".".join(str(i) for i in range(6000))
+    df = frame(spark, [(1, f"by {names}, {passage}", "a"), (2, f"from {numbers} on {passage}", "a"), (3, f"by {names} from {numbers}", "a")])
+    assert [r[0] for r in df.orderBy("doc_id").select(F.size(decontaminate.template(F.col("text")))).collect()] == [12, 13, 4]
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contaminated(df, bench).collect()) == [1, 2]
+
+
 def slow_contaminated(docs, items, n=8):
     out = {}
     made = {i: slow_template(t) for i, t in items}
