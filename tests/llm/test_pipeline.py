@@ -79,6 +79,15 @@ def test_empty(spark):
     assert docs.count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_long_runs_of_names_and_numbers(spark):
+    leak = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    runs = [" ".join("Ab" + "c" * (i % 5) for i in range(6000)), ".".join(str(i) for i in range(6000))]
+    rows = [(80_000 + k, f"of {runs[k % 2]}" + f". {leak}" * (k < 2), "en", "a", 1) for k in range(4)]
+    left = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted(r.doc_id for r in left.collect()) == [80_002, 80_003]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_run_leaves_only_what_it_returns(spark):
     base = spark.conf.get("spark.checkpoint.dir")
