@@ -239,6 +239,26 @@ def _shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
+def test_ranking_of_cells_repeats_no_vectors(spark):
+    rng = np.random.default_rng(4)
+    kinds = [[0.0, 0.0], [1.0, 0.0], [0.0, -0.0], [1e-12, 0.0], [0.5, 0.25]]
+    x = {i: kinds[rng.integers(5)] if i % 3 else [float(v) for v in rng.normal(size=2)] for i in range(90)}
+    u = {i: kinds[rng.integers(5)] if i % 2 else [float(v) for v in rng.normal(size=2)] for i in range(30)}
+    users, items = spark.createDataFrame(list(u.items()), "uid long, vec array<double>"), spark.createDataFrame(list(x.items()), "item_id long, vec array<double>")
+    for k, cell in ((40, 200), (3, 500), (90, 1 << 20)):
+        want = {(i, r, j) for i in u for r, j in enumerate(sorted(x, key=lambda j: (-round(float(np.dot(u[i], x[j])), 10), j))[:k], 1)}
+        got = ranking.rank_blocks(users, items, k, item_bytes=64, user_rows=7, repeated=0, cell=cell).collect()
+        assert {(r.uid, r.rank, r.item_id) for r in got} == want and len(got) == len(want)
+    with pytest.raises(Exception, match="finite"):
+        ranking.rank_blocks(users, items.withColumn("vec", F.array(F.lit(1.0), F.lit(float("nan")))), 5, repeated=0).collect()
+    singles = items.withColumn("vec", F.col("vec").cast("array<float>"))
+    assert sorted(map(tuple, ranking.rank_blocks(users, singles, 5, repeated=0).collect())) == sorted(map(tuple, ranking.rank_blocks(users, singles, 5).collect()))
+    many = spark.range(2_000).select(F.col("id").alias("item_id"), F.array(*[F.rand(j) for j in range(4)]).alias("vec")).localCheckpoint()
+    before = _shuffled(spark)
+    ranking.rank_blocks(many.limit(1_000).withColumnRenamed("item_id", "uid"), many, 1, part_bytes=3_200, part_users=50, repeated=0, cell=3_200).collect()
+    assert _shuffled(spark) - before < 16_000  # 1,000 users and 2,000 items once or twice, and the best of each partition; the grid of 40 parts by 20 repeats 80,000
+
+
 def test_cleaning_moves_heard_rows_once(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(40) if i % 50 else 1000 + i, rng.randrange(30) if i % 70 else 1000 + i, rng.randrange(60), 1, rng.choice([10, 20, 49, 50, 90]), rng.randrange(3)) for i in range(20_000)]
