@@ -209,6 +209,26 @@ def test_quality_rules(spark, odd, none):
     assert quality_rules.clean(none).count() == 0 and quality_rules.clean(odd).count() == odd.count()
 
 
+def test_jaccard_finds_near_copies_of_others_than_the_hub(spark):
+    rng = random.Random(11)
+
+    def edited(words, k):
+        out = list(words)
+        for at in rng.sample(range(0, len(out), 5), k):  # five shingles each, or fewer at the ends
+            out[at] = f"{rng.randrange(10**9)}x"
+        return out
+
+    docs = []
+    for _ in range(40):
+        base = prose(rng, 300).split()
+        some = [edited(base, 6) for _ in range(4)]
+        docs += [base, *some, *(edited(s, 7) for s in some)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, [(i, t, "a") for i, t in rows])).collect()}
+    assert got == want and len({c for _, c in want.values()}) < 60
+
+
 def test_decontamination_finds_changed_numbers_and_names(spark, odd, none):
     item = "A train leaves the station at a speed of 60 km per hour while Anna Smith walks 5 km towards it, and later Anna Smith stops after 60 minutes."
     other = "Completely different question about birds that sing in the early morning over green hills by the sea."

@@ -426,7 +426,8 @@ def _apart(rows: DataFrame, texts: DataFrame, tables: Scratch) -> DataFrame:
             fit = (label[i] != label[j]) & ((minor[j] == 0) | (fp[i] < fp[j])) & (7 * alone <= both) & (7 * (n[i] - own[i]) >= 3 * both) & (7 * (n[j] - own[j]) >= 3 * both)
             i, j, both = i[fit], j[fit], both[fit]
             # two sets differ in a feature at least wherever one has an odd number of a part's features and the other an even one
-            near = 7 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= both
+            odd = (sketch[i] ^ sketch[j]).view(np.uint64)  # of a signed word numpy counts the bits of the absolute value
+            near = 7 * np.bitwise_count(odd).sum(1, dtype=np.int64) <= both
             i, j = i[near], j[near]
             columns = [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), sig[i] & 31]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "band"])
